@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reposift.llm import bpe, chat, urls
+from reposift.llm import bpe, chat, decontam, lines, simhash, toxicity, urls
 from reposift.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,15 +27,35 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_control(load(spark, sf_dir, "conversations")))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(load(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(load(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
         "op2_chat_format": op2_chat_format,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_toxicity": op4_toxicity,
+        "op6_simhash": op6_simhash,
         "op8_url_filter": op8_url_filter,
+        "op9_decontamination": op9_decontamination,
     }
 
 
