@@ -16,13 +16,13 @@ def brute(docs, min_lines, long_words):
         own = [every[k].strip(" \t\r\x0b\x0c\n") for k in full]
         gone = set()
         for i in range(len(own)):
-            for n in (min_lines, 1):
+            for n, least in ((min_lines, 0), (1, long_words)):
                 run = tuple(own[i : i + n])
-                if len(run) < n or n == 1 and len(run[0].split()) < long_words:
+                if len(run) < n or len(run[0].split()) < least:
                     continue
-                if (n, run) in seen:
+                if (n, least, run) in seen:
                     gone.update(range(i, i + n))
-                seen[(n, run)] = True
+                seen[(n, least, run)] = True
         drop = {full[i] for i in gone}
         for i in gone:
             if i + 1 in gone:
