@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reposift.llm import bpe, chat, decontam, lines, simhash, toxicity, urls
+from reposift.llm import bpe, chat, decontam, embeddings, lines, simhash, toxicity, urls
 from reposift.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_embeddings(load(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(load(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op2_chat_format": op2_chat_format,
         "op3_line_dedup": op3_line_dedup,
         "op4_toxicity": op4_toxicity,
+        "op5_embedding_links": op5_embedding_links,
         "op6_simhash": op6_simhash,
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,

@@ -246,3 +246,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 def digests(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows whose doc_id is the smallest of its group of near-duplicates.
+
+    Rows with one doc_id stand or fall together; rows without doc_id stay, as
+    no other row can name them.
+    """
+    found = near_duplicates(df.where(F.col(doc_id).isNotNull()), doc_id, text, **options)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone.hint("shuffle_hash"), F.col(doc_id) == F.col("__gone"), "left_anti").select(*df.columns)
