@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reposift.llm import bpe, chat, decontam, embeddings, lines, simhash, toxicity, urls
+from reposift.llm import bpe, chat, decontam, embeddings, lines, simhash, suffix, toxicity, urls
 from reposift.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op6_simhash": op6_simhash,
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
