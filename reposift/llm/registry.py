@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reposift.llm import bpe, chat, decontam, embeddings, lines, simhash, suffix, toxicity, urls
+from reposift.llm import bpe, chat, decontam, embeddings, lines, lm, simhash, suffix, toxicity, urls
 from reposift.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(load(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(load(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": op4_toxicity,
         "op5_embedding_links": op5_embedding_links,
         "op6_simhash": op6_simhash,
+        "op7_lm_score": op7_lm_score,
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
