@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reposift import schemas
 
@@ -15,7 +16,7 @@ def explode_trees(trees: DataFrame, repo_id: str = "repo_id") -> DataFrame:
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TREE.add("repo_id", "long")).json(path)
+    return spark.read.schema(T.StructType([T.StructField("repo_id", T.LongType()), *schemas.TREE.fields])).json(path)
 
 
 def decode_body(content: Column) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from reposift import schemas
@@ -21,7 +22,7 @@ from reposift.sources import stars as source
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Envelopes with user_id from JSON files as they arrive."""
-    return spark.readStream.schema(schemas.ENVELOPE.add("user_id", "long")).json(path)
+    return spark.readStream.schema(T.StructType([T.StructField("user_id", T.LongType()), *schemas.ENVELOPE.fields])).json(path)
 
 
 def merge_batch(existing: DataFrame | None, envelopes: DataFrame, fetched_at: Column) -> tuple[DataFrame, DataFrame]:
