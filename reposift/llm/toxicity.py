@@ -34,6 +34,8 @@ LEXICON = 2_000
 SUPPORT, CONTEXTS = 12, 8
 #: Times likelier in toxic documents than in others.
 LIFT = 15.0
+#: Units that a task counts before it passes them on.
+HELD_UNITS = 150_000
 #: Letters (as UTF-8 bytes) of a stem.
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -196,11 +198,20 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Model:
 
     def count(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
+
+        def flush() -> pd.DataFrame:
+            names = list(seen[0].keys() | seen[1].keys())
+            out = pd.DataFrame({"unit": names, "bad": [seen[1][x] for x in names], "good": [seen[0][x] for x in names]})
+            seen[0].clear()
+            seen[1].clear()
+            return out
+
         for part in parts:
             for text, toxic in zip(part["text"], part["toxic"], strict=True):
                 seen[int(toxic == 1)].update({u for w in set(TOKEN.findall(text.lower())) for u in _units(w)})
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"unit": names, "bad": [seen[1][x] for x in names], "good": [seen[0][x] for x in names]})
+                if len(seen[0]) + len(seen[1]) > HELD_UNITS:  # Spark adds up the parts
+                    yield flush()
+        yield flush()
 
     total = {r["toxic"] == 1: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = total.get(True, 0), total.get(False, 0)
@@ -218,6 +229,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Model:
                     for word in TOKEN.findall(text.lower()):
                         met.update((u, before) for u in _units(word) if u in likely)
                         before = word
+                if len(met) > HELD_UNITS:
+                    yield pd.DataFrame(sorted(met), columns=["unit", "before"])
+                    met.clear()
         yield pd.DataFrame(sorted(met), columns=["unit", "before"])
 
     # Copies of one document repeat its words in one context; insults stand in many.
