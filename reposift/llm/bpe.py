@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from reposift.llm.common import ragged, text_blocks
 
 NONE = np.int32(2**31 - 1)
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Distinct pieces that a task remembers before it starts anew.
+REMEMBERED = 150_000
 #: Pieces of one text handled at a time.
-PIECES = 200_000
+PIECES = 100_000
 #: Longest piece, in bytes, that goes through the padded matrices.
 WIDEST = 256
 #: Cells of one padded matrix.
@@ -272,8 +272,8 @@ def _binary_array(raw: np.ndarray, rows: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _with(df: DataFrame, work, **new: T.DataType) -> DataFrame:
-    """Run work(batch) -> iterator of batches over df; new columns replace those of the same name."""
+def _with(df: DataFrame, work, last=lambda: None, **new: T.DataType) -> DataFrame:
+    """Run work(batch) -> iterator of (first row, end row, new columns) over df, and last() after it; new columns replace those of the same name."""
     kept = [f for f in df.schema.fields if f.name not in new]
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in new.items())])
     names = [f.name for f in schema.fields]
@@ -283,6 +283,7 @@ def _with(df: DataFrame, work, **new: T.DataType) -> DataFrame:
             for lo, hi, columns in work(batch):
                 cut = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([columns[x] if x in columns else cut.column(x) for x in names], names=names)
+        last()
 
     return df.mapInArrow(run, schema)
 
@@ -313,8 +314,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 columns[decoded] = _binary_array(back, np.diff(row_ends))
             yield lo, hi, columns
 
+    def forget() -> None:  # an idle worker holds the vocabulary only
+        codec(path, pattern)._forget()
+
     new = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
-    return _with(df, work, **new)
+    return _with(df, work, forget, **new)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
