@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reposift import schemas
 from reposift.functions import text
 from reposift.operators import search
 
@@ -44,4 +45,5 @@ def worklist(inputs: DataFrame, vectors: DataFrame, model: str, force: bool = Fa
 def vector_rows(embedded: DataFrame, model: str, at: Column) -> DataFrame:
     """Rows for the vector table from the successful results of inference."""
     rows = embedded.where("status = 'done'").withColumns({"kind": F.split_part("id", F.lit(":"), F.lit(1)), "model": F.lit(model), "embedded_at": at})
-    return search.with_norm(rows).drop("status", "error_kind", "error_message", "tokens", "tries", "input")
+    rows = search.with_norm(rows)
+    return rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.VECTOR.fields))

@@ -628,6 +628,13 @@ def c8_chunk_rows(spark, sf_dir):
     return code_index.chunk_rows(code_index.window_chunks(fx.plain_files(spark, sf_dir))).select("id", "snippet", "content_hash")
 
 
+@query(f"SELECT 'code:' || repo_id || ':doc-' || repo_id || '.txt:' || part AS id FROM {_windows(40, 10)} WHERE repo_id % 4 = 0 OR repo_id % 3 = 0")
+def c9_worklist(spark, sf_dir):
+    rows = code_index.chunk_rows(code_index.window_chunks(fx.plain_files(spark, sf_dir)))
+    stored = rows.where("star_id % 4 <> 0").select("id", F.when(F.col("star_id") % 3 == 0, "stale").otherwise(F.col("content_hash")).alias("content_hash"), F.lit("m1").alias("model"))
+    return embedding.worklist(rows, stored, "m1").select("id")
+
+
 @query("""SELECT r.repo_id, count(w.repo_id) AS n, count(w.repo_id) > 0 AS deep_indexed, CASE WHEN count(w.repo_id) = 0 THEN 'no chunks' END AS reason
 FROM (SELECT doc_id AS repo_id FROM documents) r LEFT JOIN (SELECT * FROM """ + _windows(40, 10) + """ WHERE repo_id % 5 <> 0) w USING (repo_id) GROUP BY 1""")
 def c10_mark_indexed(spark, sf_dir):
