@@ -357,7 +357,7 @@ def _groups(rows: pa.RecordBatch, length: int, hot: int | None) -> Iterator[pa.R
 
 
 def repeated_spans(docs: DataFrame, length: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Two tables of (__id, spans) that together hold the byte spans covered by strings which start earlier as well. docs: __id, text."""
+    """Two tables of (__id, spans) that together hold the byte spans covered by strings which start earlier as well. docs: __id, doc_id, text."""
     parts = shuffle_partitions(docs)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +401,7 @@ def repeated_spans(docs: DataFrame, length: int, hot: int = HOT) -> tuple[DataFr
             size, items = _list_of(batch, "items")
             ends = np.append(0, np.cumsum(size))
             h, place = _field(items, "h"), _field(items, "place")
-            for lo, hi, raw, offsets in text_blocks(batch.column(1)):
+            for lo, hi, raw, offsets in text_blocks(batch.column(2)):
                 own = slice(ends[lo], ends[hi])
                 row = np.repeat(np.arange(hi - lo), size[lo:hi])
                 at, anchor, windows = place[own] >> 24, (place[own] >> 12) & 4095, place[own] & 4095
@@ -412,7 +412,8 @@ def repeated_spans(docs: DataFrame, length: int, hot: int = HOT) -> tuple[DataFr
                     yield _batch(h[own][s], who, at[s], anchor[s], np.zeros(len(who)), _strings_array(raw, begin, windows[s] + length - 1))
 
     wanted = each.select("__id", F.filter("items", lambda x: ~x["copy"]).alias("items")).where(F.size("items") > 0)
-    strings = docs.select("__id", "text").join(wanted.hint("shuffle_hash"), "__id").mapInArrow(cut, STRINGS)
+    # The same columns as in the last join, so that one exchange of the texts serves both.
+    strings = docs.join(wanted.hint("shuffle_hash"), "__id").mapInArrow(cut, STRINGS)
     in_order = lambda df: df.repartition(parts, "key").sortWithinPartitions("key", "id", "at")
     solved = in_order(in_order(strings).mapInArrow(_stage(length, hot), STRINGS)).mapInArrow(_stage(length, None), STRINGS)
     begin = lambda x: F.shiftright(x["place"], 24) - F.shiftright(x["place"], 12).bitwiseAND(4095)
