@@ -240,8 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Model:
     stems = {x for x in found if x.endswith("*") and not any(x[:-1].startswith(y[:-1]) for y in found if y.endswith("*") and y != x)}
     words = {x for x in found if not x.endswith("*")} | set(INSULTS)
     model = Model(tuple(map(text_hash, sorted(words))), tuple(text_hash(x[:-1]) for x in sorted(stems)), ())
-    seen = rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", "toxic")
-    table = _counted(seen, model, "text", ["toxic"]).toPandas()
+    table = _counted(rows, model, "text", ["toxic"]).toPandas()
     if table.empty or not 0 < (table["toxic"] == 1).sum() < len(table):
         return Model(model.words, model.stems, (-3.0, 3.0, *[1.0] * len(PATTERNS), 1.0))
     x = features(np.array(table["counts"].tolist()), table["words"].to_numpy())
