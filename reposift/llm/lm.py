@@ -5,8 +5,8 @@ are numbered by a vocabulary counted over the whole corpus: the frequent ones by
 themselves, all others by a hash class. The network adds one table row per
 context place, applies tanh, and predicts first a class of words, then the word
 in its class. It is trained in numpy on every word of every document: in each
-round all tasks start from the same weights, pass over their documents, and
-Spark averages what they learned, weighted by words.
+round all tasks start from the same weights, take their share of the words of
+all their documents, and Spark averages what they learned, weighted by words.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ CLASSES = WORDS // CLASS
 SIDE, HIDDEN = 2, 32
 #: Number that stands outside a document.
 EDGE = WORDS
-ROUNDS, BATCH, RATE = 2, 2048, 0.1
+ROUNDS, RATE = 2, 0.1
+#: Words of a minibatch: few at first, then a quarter of the words seen, up to the larger number.
+BATCH = (512, 4096)
 #: Weights in one row of what tasks send.
 ROW = 1024
 
@@ -92,7 +94,7 @@ def contexts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Number at each context place of each word (places x words); EDGE outside the word's row."""
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     at = np.arange(len(words))
-    out = np.full((len(SHAPE.places), len(words)), EDGE, np.int64)
+    out = np.full((len(SHAPE.places), len(words)), EDGE, np.int16)
     for k, shift in enumerate(SHAPE.places):
         inside = (at + shift >= rows[row]) & (at + shift < rows[row + 1])
         out[k, inside] = words[at[inside] + shift]
@@ -111,12 +113,12 @@ def _hidden(w: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     return np.tanh(total)
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the words by class, and (class, begin, end) of each class in it."""
+    kind = own // CLASS
     order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c + 1] > edges[c]:
-            yield c, order[edges[c] : edges[c + 1]]
+    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, edges[c], edges[c + 1]) for c in range(CLASSES) if edges[c + 1] > edges[c]]
 
 
 def log_probs(w: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -124,11 +126,12 @@ def log_probs(w: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -
     out = np.zeros(len(words))
     for lo in range(0, len(words), 1 << 15):
         own, near = words[lo : lo + (1 << 15)], around[:, lo : lo + (1 << 15)]
-        h, kind = _hidden(w, near), own // CLASS
-        found = _soft(h @ w["class_w"] + w["class_b"])[np.arange(len(own)), kind].astype(float)
-        for c, at in _by_class(kind):
-            found[at] += _soft(h[at] @ w["word_w"][c] + w["word_b"][c])[np.arange(len(at)), own[at] % CLASS]
-        out[lo : lo + (1 << 15)] = found
+        order, classes = _by_class(own)
+        own, h, n = own[order], _hidden(w, near[:, order]), np.arange(len(own))
+        found = _soft(h @ w["class_w"] + w["class_b"])[n, own // CLASS].astype(float)
+        for c, a, b in classes:
+            found[a:b] += _soft(h[a:b] @ w["word_w"][c] + w["word_b"][c])[n[: b - a], own[a:b] % CLASS]
+        out[lo + order] = found
     return out
 
 
@@ -137,35 +140,46 @@ class Trainer:
 
     def __init__(self, flat: np.ndarray):
         self.w = unpacked(flat)
+        self.words = 0
         self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.w.items()}
 
     def _step(self, name: str, at, gradient: np.ndarray) -> None:
-        self.seen[name][at] += gradient * gradient
-        self.w[name][at] -= RATE * gradient / np.sqrt(self.seen[name][at])
+        seen = self.seen[name][at] + gradient * gradient
+        self.seen[name][at] = seen
+        self.w[name][at] -= RATE * gradient / np.sqrt(seen)
 
     def train(self, words: np.ndarray, around: np.ndarray) -> None:
-        for lo in range(0, len(words), BATCH):
-            own, near = words[lo : lo + BATCH], around[:, lo : lo + BATCH]
-            n, h, kind = len(own), _hidden(self.w, near), own // CLASS
-            miss = np.exp(_soft(h @ self.w["class_w"] + self.w["class_b"]))
-            miss[np.arange(n), kind] -= 1
-            miss /= n
-            back = miss @ self.w["class_w"].T
-            steps = [("class_w", slice(None), h.T @ miss), ("class_b", slice(None), miss.sum(0))]
-            for c, at in _by_class(kind):
-                part = np.exp(_soft(h[at] @ self.w["word_w"][c] + self.w["word_b"][c]))
-                part[np.arange(len(at)), own[at] % CLASS] -= 1
-                part /= n
-                back[at] += part @ self.w["word_w"][c].T
-                steps += [("word_w", c, h[at].T @ part), ("word_b", c, part.sum(0))]
-            back *= 1 - h * h
-            steps.append(("bias", slice(None), back.sum(0)))
-            for k in range(len(near)):
-                order = np.argsort(near[k], kind="stable")
-                names, first = np.unique(near[k][order], return_index=True)
-                steps.append(("table", (k, names), np.add.reduceat(back[order], first, axis=0)))
-            for step in steps:
-                self._step(*step)
+        lo = 0
+        while lo < len(words):
+            n = min(len(words) - lo, max(BATCH[0], min(BATCH[1], self.words // 4)))
+            self._batch(words[lo : lo + n], around[:, lo : lo + n])
+            self.words += n
+            lo += n
+
+    def _batch(self, own: np.ndarray, near: np.ndarray) -> None:
+        order, classes = _by_class(own)
+        own, near, n, k = own[order], near[:, order], np.float32(len(own)), np.arange(len(own))
+        h = _hidden(self.w, near)
+        miss = np.exp(_soft(h @ self.w["class_w"] + self.w["class_b"]))
+        miss[k, own // CLASS] -= 1
+        miss /= n
+        back = miss @ self.w["class_w"].T
+        steps = [("class_w", slice(None), h.T @ miss), ("class_b", slice(None), miss.sum(0))]
+        for c, a, b in classes:
+            part = np.exp(_soft(h[a:b] @ self.w["word_w"][c] + self.w["word_b"][c]))
+            part[k[: b - a], own[a:b] % CLASS] -= 1
+            part /= n
+            back[a:b] += part @ self.w["word_w"][c].T
+            steps += [("word_w", c, h[a:b].T @ part), ("word_b", c, part.sum(0))]
+        back *= 1 - h * h
+        steps.append(("bias", slice(None), back.sum(0)))
+        for place, names in enumerate(near):
+            by_word = np.argsort(names, kind="stable")
+            sorted_names = names[by_word]
+            first = np.flatnonzero(np.diff(sorted_names, prepend=-1))
+            steps.append(("table", (place, sorted_names[first]), np.add.reduceat(back[by_word], first, axis=0)))
+        for step in steps:
+            self._step(*step)
 
 
 @dataclass(frozen=True)
@@ -205,11 +219,15 @@ def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return numbers.astype(np.int16), counts
 
 
-def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """Train on all words of all documents; what tasks send and Spark averages grows with their number, what the driver gets is one set of weights."""
+def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, passes: int = 1) -> Model:
+    """Train on all words of all documents; what tasks send and Spark averages grows with their number, what the driver gets is one set of weights.
+
+    Each pass takes every word once: of every document, round r takes the words r, r + rounds and so on.
+    """
     numbers, counts = vocabulary(docs, text)
     flat = first_weights(counts)
-    for _ in range(rounds):
+    for k in range(passes * rounds):
+        turn = k % rounds
         start = docs.sparkSession.sparkContext.broadcast((numbers, flat))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +236,9 @@ def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
             for batch in batches:
                 for _, _, raw, offsets in _texts(batch, 0):
                     found, rows = buckets(raw, offsets)
-                    words = numbers[found].astype(np.int64)
-                    trainer.train(words, contexts(words, rows))
-                    n += len(words)
+                    words = numbers[found]
+                    trainer.train(words[turn::rounds], contexts(words, rows)[:, turn::rounds])  # noqa: B023
+                    n += len(words[turn::rounds])  # noqa: B023
             if n:
                 end = packed(trainer.w)
                 lists = pa.array([end[k : k + ROW].astype(np.float64) for k in range(0, len(end), ROW)], pa.list_(pa.float64()))
@@ -250,7 +268,7 @@ def score(df: DataFrame, model: Model, text: str = "text", n_words: str = "n_wor
         for batch in batches:
             for lo, hi, raw, offsets in _texts(batch, batch.schema.get_field_index(text)):
                 found, rows = buckets(raw, offsets)
-                words = numbers[found].astype(np.int64)
+                words = numbers[found]
                 total = np.append(0, np.cumsum(log_probs(w, words, contexts(words, rows))))
                 cut = batch.slice(lo, hi - lo)
                 own = [cut.column(cut.schema.get_field_index(x)) for x in names]

@@ -25,7 +25,7 @@ def corpus(n=400, seed=2):
 def trained(spark):
     docs, words = corpus()
     df = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string").repartition(3)
-    return df, lm.learn(df, rounds=4), words
+    return df, lm.learn(df, passes=5), words
 
 
 def test_held_out_documents_beat_scrambled_ones_and_frequencies(spark, trained):
