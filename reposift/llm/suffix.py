@@ -367,13 +367,29 @@ def repeated_spans(docs: DataFrame, length: int, hot: int = HOT) -> tuple[DataFr
                 row, at, first, last, h = anchors(prefix, offsets, length)
                 whole = span_hash(prefix, first, last + length)
                 place = ((at - offsets[row]) << 24) | ((at - first) << 12) | (last - first + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(row + lo)), pa.array(place)], names=["h", "c", "id", "place"])
+                who = batch.column(0).to_numpy()[lo + row]
+                # A string that stands earlier in the block too is a copy whatever else there is: it needs no meeting under its anchor and is dealt anywhere.
+                order = np.lexsort((place, who, whole, h))
+                again = order[1:][(h[order[1:]] == h[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]])]
+                copy = np.zeros(len(h), bool)
+                copy[again] = True
+                new = order[~copy[order]]
+                first_of = np.repeat(new, np.diff(np.append(np.flatnonzero(~copy[order]), len(order))))
+                same = (who[order] == who[first_of]) & (place[order] == place[first_of])
+                copy[order[same]] = False
+                spread = np.where(copy, mix(who.astype(np.uint64) ^ (place.astype(np.uint64) << np.uint64(20))), h)
+                kinds = np.where(copy, np.uint64(0), whole)
+                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(kinds.view(np.int64)), pa.array(who), pa.array(place), pa.array(copy)], names=["h", "c", "id", "place", "copy"])
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of sorted anchors: the later copies of a string, and the first copies of the strings of anchors that have several."""
         held, several = [np.zeros(0, np.int64)] * 4, False  # the first copy of the last string, and whether its anchor had another before
         out = lambda keep, copy, x: pa.RecordBatch.from_arrays([*(pa.array(x[k][keep]) for k in (0, 2, 3)), pa.array(copy)], names=["h", "id", "place", "copy"])
         for batch in batches:
+            sure = batch.column(4).to_numpy(zero_copy_only=False)
+            if sure.any():
+                yield out(np.flatnonzero(sure), sure[sure], [batch.column(k).to_numpy() for k in range(4)])
+                batch = batch.filter(pa.array(~sure))
             x = [np.append(a, batch.column(k).to_numpy()) for k, a in enumerate(held)]
             if not len(x[0]):
                 continue
@@ -392,7 +408,7 @@ def repeated_spans(docs: DataFrame, length: int, hot: int = HOT) -> tuple[DataFr
         if several:
             yield out(np.array([0]), np.array([False]), held)
 
-    grams = docs.select("__id", "text").mapInArrow(scan, "h long, c long, id long, place long")
+    grams = docs.select("__id", "text").mapInArrow(scan, "h long, c long, id long, place long, copy boolean")
     sifted = grams.repartition(parts, "h").sortWithinPartitions("h", "c", "id", "place").mapInArrow(sift, "h long, id long, place long, copy boolean")
     each = sifted.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("h", "place", "copy")).alias("items"))
 
