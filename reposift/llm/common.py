@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass holds at a time; a single longer text is a pass of its own.
@@ -42,28 +43,32 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets) of consecutive rows of a string or binary column.
 
     Null counts as empty. The bytes are one contiguous array; row i of the block
-    is bytes[offsets[i]:offsets[i + 1]].
+    is bytes[offsets[i]:offsets[i + 1]]. With lower the texts are lower-cased
+    first, block by block. Memory that Arrow keeps for later is given back after
+    the last block, so that idle workers stay small.
     """
-    kind = pa.large_binary()
-    column = column.cast(pa.large_string() if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else kind)
-    n = len(column)
-    if not n:
-        return
-    if column.null_count:
-        column = column.fill_null("" if pa.types.is_large_string(column.type) else b"")
-    _, where, data = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + n + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    first = 0
+    n, first = len(column), 0
+    wide = column.type in (pa.large_string(), pa.large_binary())
+    kind = np.int64 if wide else np.int32
+    _, where, _ = column.buffers()
+    ends = np.frombuffer(where, kind)[column.offset : column.offset + n + 1] if n else np.zeros(1, kind)
     while first < n:
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        end = min(end, n)
-        yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+        end = min(n, max(first + 1, int(np.searchsorted(ends, int(ends[first]) + limit, "right")) - 1))
+        part = column.slice(first, end - first)
+        if part.null_count:
+            part = part.fill_null("" if part.type in (pa.string(), pa.large_string()) else b"")
+        if lower:
+            part = pc.utf8_lower(part)
+        _, where, data = part.buffers()
+        offsets = np.frombuffer(where, kind)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        yield first, end, raw[offsets[0] : offsets[-1]], offsets - offsets[0]
         first = end
+    pa.default_memory_pool().release_unused()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,6 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +93,7 @@ def overlap(item: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, f
 
 
 def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts = [words_of(raw, offsets) for _, _, raw, offsets in text_blocks(pc.utf8_lower(texts))]
+    parts = [words_of(raw, offsets) for _, _, raw, offsets in text_blocks(texts, lower=True)]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     rows = np.concatenate([np.diff(r) for _, r in parts])
@@ -125,7 +124,7 @@ def _by_broadcast(docs: DataFrame, items: pa.Table, schema: str) -> DataFrame:
         seen[(h >> np.uint64(42)).astype(np.int64)] = True
         item_of = np.searchsorted(item_rows, at, "right") - 1
         for batch in batches:
-            for lo, _, raw, offsets in text_blocks(pc.utf8_lower(batch.column(1))):
+            for lo, _, raw, offsets in text_blocks(batch.column(1), lower=True):
                 words, rows = words_of(raw, offsets)
                 pairs = []
                 for place, key in all_seeds(words, rows, short):
@@ -152,7 +151,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
     def seeds(of_items: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo, _, raw, offsets in text_blocks(pc.utf8_lower(batch.column(1))):
+                for lo, _, raw, offsets in text_blocks(batch.column(1), lower=True):
                     words, rows = words_of(raw, offsets)
                     if of_items:
                         h, at = item_seeds(words, rows)

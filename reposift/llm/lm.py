@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -189,7 +188,7 @@ class Model:
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    yield from text_blocks(pc.utf8_lower(batch.column(k)))
+    yield from text_blocks(batch.column(k), lower=True)
 
 
 def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -17,9 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +33,7 @@ SUPPORT, CONTEXTS = 12, 8
 #: Times likelier in toxic documents than in others.
 LIFT = 15.0
 #: Units that a task counts before it passes them on.
-HELD_UNITS = 150_000
+HELD_UNITS = 60_000
 #: Letters (as UTF-8 bytes) of a stem.
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -192,50 +190,61 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> DataFr
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
 
 
+def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
+    """(text, toxic) of all rows, a few hundred of them as Python values at a time."""
+    for batch in batches:
+        for lo in range(0, len(batch), 500):
+            cut = batch.slice(lo, 500)
+            yield from zip(cut.column(0).to_pylist(), cut.column(1).to_pylist(), strict=True)
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Model:
     """Learn the insults and weights from a bounded sample of labelled rows (most of them); the driver gets at most LEXICON units and one small row per sampled document."""
     rows = checkpointed(sample(docs, labels, most))
 
-    def count(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             names = list(seen[0].keys() | seen[1].keys())
-            out = pd.DataFrame({"unit": names, "bad": [seen[1][x] for x in names], "good": [seen[0][x] for x in names]})
+            counts = [pa.array([seen[k][x] for x in names], pa.int64()) for k in (1, 0)]
             seen[0].clear()
             seen[1].clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["unit", "bad", "good"])
 
-        for part in parts:
-            for text, toxic in zip(part["text"], part["toxic"], strict=True):
-                seen[int(toxic == 1)].update({u for w in set(TOKEN.findall(text.lower())) for u in _units(w)})
-                if len(seen[0]) + len(seen[1]) > HELD_UNITS:  # Spark adds up the parts
-                    yield flush()
+        for text, toxic in _pairs(batches):
+            seen[int(toxic == 1)].update({u for w in set(TOKEN.findall(text.lower())) for u in _units(w)})
+            if len(seen[0]) + len(seen[1]) > HELD_UNITS:  # Spark adds up the parts
+                yield flush()
         yield flush()
 
     total = {r["toxic"] == 1: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = total.get(True, 0), total.get(False, 0)
     lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
-    units = rows.mapInPandas(count, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    units = rows.mapInArrow(count, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     likely = units.where((F.col("bad") >= SUPPORT) & (lift >= LIFT)).orderBy(F.desc("bad"), "unit").limit(20 * LEXICON)
     likely = frozenset(r["unit"] for r in likely.select("unit").collect())
 
-    def contexts(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
-        for part in parts:
-            for text, toxic in zip(part["text"], part["toxic"], strict=True):
-                if toxic == 1:
-                    before = ""
-                    for word in TOKEN.findall(text.lower()):
-                        met.update((u, before) for u in _units(word) if u in likely)
-                        before = word
-                if len(met) > HELD_UNITS:
-                    yield pd.DataFrame(sorted(met), columns=["unit", "before"])
-                    met.clear()
-        yield pd.DataFrame(sorted(met), columns=["unit", "before"])
+
+        def flush() -> pa.RecordBatch:
+            found = sorted(met)
+            met.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["unit", "before"])
+
+        for text, toxic in _pairs(batches):
+            if toxic == 1:
+                before = ""
+                for word in TOKEN.findall(text.lower()):
+                    met.update((u, before) for u in _units(word) if u in likely)
+                    before = word
+            if len(met) > HELD_UNITS:
+                yield flush()
+        yield flush()
 
     # Copies of one document repeat its words in one context; insults stand in many.
-    varied = rows.mapInPandas(contexts, "unit string, before string").groupBy("unit").agg(F.count_distinct("before").alias("n")).where(F.col("n") >= CONTEXTS)
+    varied = rows.mapInArrow(contexts, "unit string, before string").groupBy("unit").agg(F.count_distinct("before").alias("n")).where(F.col("n") >= CONTEXTS)
     found = {r["unit"] for r in varied.orderBy(F.desc("n"), "unit").limit(LEXICON).collect()}
     stems = {x for x in found if x.endswith("*") and not any(x[:-1].startswith(y[:-1]) for y in found if y.endswith("*") and y != x)}
     words = {x for x in found if not x.endswith("*")} | set(INSULTS)
@@ -256,8 +265,7 @@ def _counted(df: DataFrame, model: Model, text: str, kept: list[str]) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(words, stems)
         for batch in batches:
-            column = pc.utf8_lower(batch.column(batch.schema.get_field_index(text)))
-            for lo, hi, raw, offsets in text_blocks(column):
+            for lo, hi, raw, offsets in text_blocks(batch.column(batch.schema.get_field_index(text)), lower=True):
                 counts, n = grammar.patterns(raw, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(PATTERNS), pa.int32()), pa.array(counts.ravel()))
                 own = [batch.column(batch.schema.get_field_index(x)).slice(lo, hi - lo) for x in kept]
@@ -282,7 +290,7 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(words, stems)
         for batch in batches:
-            for lo, hi, raw, offsets in text_blocks(pc.utf8_lower(batch.column(batch.schema.get_field_index(text)))):
+            for lo, hi, raw, offsets in text_blocks(batch.column(batch.schema.get_field_index(text)), lower=True):
                 x = features(*grammar.patterns(raw, offsets)) @ weights
                 cut = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(cut.column(cut.schema.get_field_index(k)) for k in names), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=[*names, score])
