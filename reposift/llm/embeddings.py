@@ -31,6 +31,8 @@ CELLS, AXES = 6, 16
 STRETCH, SMALL = 16_384, 256
 #: Tree nodes under one parent: 2 ** FANOUT_BITS.
 FANOUT_BITS = 4
+#: Numbers kept for the stretches of one partition.
+PART = 1 << 20
 SLACK = 1e-9
 
 
@@ -147,7 +149,7 @@ def stretches(reps: DataFrame, n: int, axes: np.ndarray, least: float) -> DataFr
             table = table.combine_chunks()
             x = unit(matrix(table.column(0).combine_chunks(), dims))
             points = x @ wide
-            node = (table.column(3)[0].as_py() << 20) + made
+            node = table.column(3)[0].as_py() * PART + made
             made += 1
             return pa.RecordBatch.from_arrays(
                 [
@@ -172,7 +174,10 @@ def stretches(reps: DataFrame, n: int, axes: np.ndarray, least: float) -> DataFr
 def near_pairs(boxes: DataFrame, least: float) -> DataFrame:
     """(a, b) with a <= b: the stretches whose boxes are not provably too far apart, by a self-join of the tree of boxes from its root down."""
     axes = len(boxes.select("lo").first()[0])
-    flat = boxes.select("node", *(F.col("lo")[k].alias(f"lo{k}") for k in range(axes)), *(F.col("hi")[k].alias(f"hi{k}") for k in range(axes)))
+    # Nodes are (part, stretch in it); the tree's numbers leave no gap between the two.
+    bits = int(boxes.agg(F.max(F.col("node").bitwiseAND(PART - 1))).first()[0]).bit_length()
+    compact = F.shiftright("node", PART.bit_length() - 1 - bits).bitwiseAND(F.lit(-1 << bits)).bitwiseOR(F.col("node").bitwiseAND(PART - 1))
+    flat = boxes.select(compact.alias("node"), *(F.col("lo")[k].alias(f"lo{k}") for k in range(axes)), *(F.col("hi")[k].alias(f"hi{k}") for k in range(axes)))
     levels = [flat]
     while levels[-1].agg(F.max("node")).first()[0] > 0:
         up = levels[-1].groupBy(F.shiftright("node", FANOUT_BITS).alias("node"))
@@ -183,7 +188,8 @@ def near_pairs(boxes: DataFrame, least: float) -> DataFrame:
         gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}")), 2) for k in range(axes)), F.lit(0.0))
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a_node") <= F.col("b_node")) & (gap <= 2 - 2 * least + SLACK))
         pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    return pairs
+    plain = lambda x: (F.shiftright(x, bits) * PART + F.col(x).bitwiseAND(F.lit((1 << bits) - 1))).alias(x)
+    return pairs.select(plain("a"), plain("b"))
 
 
 def _joined(reps: DataFrame, dims: int, least: float) -> DataFrame:
