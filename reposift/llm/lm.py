@@ -4,9 +4,9 @@ Every word is predicted from the words on both sides of it, itself masked. Words
 are numbered by a vocabulary counted over the whole corpus: the frequent ones by
 themselves, all others by a hash class. The network adds one table row per
 context place, applies tanh, and predicts first a class of words, then the word
-in its class. It is trained in numpy on every word of every document: in each
-round all tasks start from the same weights, take their share of the words of
-all their documents, and Spark averages what they learned, weighted by words.
+in its class. It is trained in numpy on every word of every document, PASSES times:
+in each round all tasks start from the same weights, take their share of the words
+of all their documents, and Spark averages what they learned, weighted by words.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ CLASSES = WORDS // CLASS
 SIDE, HIDDEN = 2, 32
 #: Number that stands outside a document.
 EDGE = WORDS
-ROUNDS, RATE = 2, 0.1
+ROUNDS, PASSES, RATE = 2, 2, 0.1
 #: Words of a minibatch: few at first, then a quarter of the words seen, up to the larger number.
 BATCH = (512, 4096)
 #: Weights in one row of what tasks send.
@@ -218,7 +218,7 @@ def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return numbers.astype(np.int16), counts
 
 
-def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, passes: int = 1) -> Model:
+def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, passes: int = PASSES) -> Model:
     """Train on all words of all documents; what tasks send and Spark averages grows with their number, what the driver gets is one set of weights.
 
     Each pass takes every word once: of every document, round r takes the words r, r + rounds and so on.

@@ -42,6 +42,14 @@ def test_held_out_documents_beat_scrambled_ones_and_frequencies(spark, trained):
     assert good.mean() > -np.log(len(words)) + 0.8  # the frequencies alone give about -log(words)
 
 
+def test_held_out_quality_of_the_passes_that_scores_takes(spark, trained):
+    df, _, words = trained
+    fresh = corpus(500, seed=2)[0][400:]
+    rows = spark.createDataFrame(list(enumerate(fresh)), "doc_id long, text string")
+    got = lm.score(rows, lm.learn(df)).collect()
+    assert np.mean([r.log_prob / r.n_words for r in got]) > -np.log(len(words)) + 1.8  # one pass reaches + 1.5
+
+
 def brute(model, text):
     """Log-probabilities summed word by word with plain loops."""
     w = lm.unpacked(model.weights)
