@@ -7,6 +7,8 @@ context place, applies tanh, and predicts first a class of words, then the word
 in its class. It is trained in numpy on every word of every document, PASSES times:
 in each round all tasks start from the same weights, take their share of the words
 of all their documents, and Spark averages what they learned, weighted by words.
+Inside a hash class, a word is predicted by its counted share of the class; these
+counts are of single words, grow with the corpus and stay sharded in Spark.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reposift.llm.common import prefix_hash, span_hash, text_blocks
+from reposift.llm.common import checkpointed, prefix_hash, span_hash, text_blocks
 from reposift.llm.toxicity import runs
 
 #: Buckets in which words are counted; the most frequent buckets get a number of their own, the rest share TAIL numbers.
@@ -82,11 +84,34 @@ def first_weights(counts: np.ndarray) -> np.ndarray:
     return packed(weights)
 
 
+def hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word, and the first word of each row (rows + 1)."""
+    start, end, row = runs(raw, offsets)
+    return span_hash(prefix_hash(raw), start, end), np.searchsorted(row, np.arange(len(offsets)))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash bucket of every word, and the first word of each row (rows + 1)."""
-    start, end, row = runs(raw, offsets)
-    h = span_hash(prefix_hash(raw), start, end) >> np.uint64(64 - BUCKET_BITS)
-    return h.astype(np.int64), np.searchsorted(row, np.arange(len(offsets)))
+    h, rows = hashes(raw, offsets)
+    return _bucket(h), rows
+
+
+def _tail_words(h: np.ndarray, words: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """The different words of each row that share a number of the tail, with that number and how often they occur in the row."""
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    at = np.flatnonzero(words >= FREQUENT)
+    at = at[np.lexsort((h[at], row[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(at)))
+    parts = [pa.array(h[at[first]].view(np.int64)), pa.array(words[at[first]].astype(np.int32)), pa.array(n.astype(np.int32))]
+    ends = np.searchsorted(row[at[first]], np.arange(len(rows))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["word", "number", "n"]))
 
 
 def contexts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -251,7 +276,7 @@ def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, passes: int
     return Model(numbers, flat)
 
 
-def score(df: DataFrame, model: Model, text: str = "text", n_words: str = "n_words", log_prob: str = "log_prob") -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text", n_words: str = "n_words", log_prob: str = "log_prob", tail: str | None = None) -> DataFrame:
     """df with the number of words of each whole text and the sum of their conditional log-probabilities.
 
     Null and empty texts have no words and the sum 0. All rows and columns
@@ -266,19 +291,40 @@ def score(df: DataFrame, model: Model, text: str = "text", n_words: str = "n_wor
         numbers, w = sent.value[0], unpacked(sent.value[1])
         for batch in batches:
             for lo, hi, raw, offsets in _texts(batch, batch.schema.get_field_index(text)):
-                found, rows = buckets(raw, offsets)
-                words = numbers[found]
+                h, rows = hashes(raw, offsets)
+                words = numbers[_bucket(h)]
                 total = np.append(0, np.cumsum(log_probs(w, words, contexts(words, rows))))
                 cut = batch.slice(lo, hi - lo)
                 own = [cut.column(cut.schema.get_field_index(x)) for x in names]
                 sums = np.where(np.diff(rows) > 0, np.diff(total[rows]), 0.0)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(rows)), pa.array(sums)], names=[*names, n_words, log_prob])
+                more = [_tail_words(h, words, rows)] if tail else []
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(rows)), pa.array(sums), *more], names=[f.name for f in schema.fields])
+
+    schema = T.StructType([*kept, T.StructField(n_words, T.LongType()), T.StructField(log_prob, T.DoubleType())])
+    if tail:
+        entry = T.StructType([T.StructField("word", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("n", T.IntegerType())])
+        schema = schema.add(tail, T.ArrayType(entry))
+    return df.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(n_words, T.LongType()), T.StructField(log_prob, T.DoubleType())]))
+
+def shared(scored: DataFrame, log_prob: str = "log_prob", tail: str = "tail") -> DataFrame:
+    """scored with each word of the tail at its counted share of its class, over all rows of scored; the column tail goes.
+
+    The counts of single words are joined by shuffle. A word of the tail is rarer than every word with
+    a number of its own, so no key of the join is hot.
+    """
+    rows = checkpointed(scored).withColumn("__row", F.monotonically_increasing_id())
+    found = rows.select("__row", F.explode(tail).alias("t")).select("__row", "t.word", "t.number", "t.n")
+    counts = checkpointed(found.groupBy("word", "number").agg(F.sum("n").alias("own")))
+    classes = counts.groupBy("number").agg(F.sum("own").alias("whole"))
+    shares = counts.join(F.broadcast(classes), "number").select("word", F.log(F.col("own") / F.col("whole")).alias("share"))
+    sums = found.join(shares, "word").groupBy("__row").agg(F.sum(F.col("n") * F.col("share")).alias("__shares"))
+    done = rows.join(sums, "__row", "left").withColumn(log_prob, F.col(log_prob) + F.coalesce("__shares", F.lit(0.0)))
+    return done.select(*(c for c in scored.columns if c != tail))
 
 
 def scores(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, log_prob (their sum) and mean_log_prob (null without words) of each document."""
     own = documents.select("doc_id", "text")
-    done = score(own, learn(own))
+    done = shared(score(own, learn(own), tail="tail"))
     return done.select("doc_id", "n_words", "log_prob", (F.col("log_prob") / F.nullif("n_words", F.lit(0))).alias("mean_log_prob"))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,6 +99,27 @@ def test_gradient_is_the_numerical_one(monkeypatch):
             assert (loss[0] - loss[1]) / 0.04 == pytest.approx(gradient[at], rel=0.05), name
 
 
+def test_tail_words_score_by_their_share_of_the_class(spark):
+    rnd = random.Random(3)
+    common = [f"c{k}" for k in range(lm.FREQUENT)]
+    rare = [f"r{k}" for k in range(1500)]
+    texts = [" ".join([*common, *rnd.choices(rare, [1 + 20 * (k % 7 == 0) for k in range(1500)], k=100)]) for _ in range(40)]
+    texts = [*texts, texts[0], None, "", "c1 " + rare[0] * 2]
+    df = spark.createDataFrame([(k % 44, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    model = lm.learn(df)
+    hashed = lambda t: lm.hashes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len(t or "")]))[0].tolist()
+    number = lambda h: int(model.numbers[h >> (64 - lm.BUCKET_BITS)])
+    own, whole = Counter(h for t in texts for h in hashed(t)), Counter()
+    for h, n in own.items():
+        whole[number(h)] += n
+    share = lambda t: sum(np.log(own[h] / whole[number(h)]) for h in hashed(t) if number(h) >= lm.FREQUENT)
+    network = {r.doc_id: r.log_prob for r in lm.score(df, model).collect()}
+    got = {r.doc_id: r.log_prob for r in lm.shared(lm.score(df, model, tail="tail")).collect()}
+    assert got == pytest.approx({k: network[k] + share(t) for k, t in enumerate(texts)}, rel=1e-6, abs=1e-6)
+    assert got[0] < network[0] - 50
+    assert {r.doc_id: r.log_prob for r in lm.scores(df).collect()} == pytest.approx(got, rel=1e-3, abs=1e-6)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.scores(df).count() == 0
