@@ -54,8 +54,12 @@ def strongest(log: DataFrame, by: str, ord: str = "ord", kind: str = "kind", mes
     return best.select(by, "best.kind", "best.message")
 
 
-def run_report(results: DataFrame, by: list[str] | None = None, listed: int = 100) -> DataFrame:
-    """Counts by status, token sum and the first failed ids of a run."""
-    failed = F.slice(F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("id")))), 1, listed)
+def run_report(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts by status and token sum of a run; the failed ids are failed_rows()."""
     done = lambda s: F.count_if(F.col("status") == s)
-    return results.groupBy(*(by or [])).agg(done("done").alias("done"), done("skipped").alias("skipped"), done("failed").alias("failed"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), failed.alias("failed_ids"))
+    return results.groupBy(*(by or [])).agg(done("done").alias("done"), done("skipped").alias("skipped"), done("failed").alias("failed"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
+def failed_rows(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, id): every failed id of a run, one row each."""
+    return results.where(F.col("status") == "failed").select(*(by or []), "id")

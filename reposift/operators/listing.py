@@ -161,5 +161,4 @@ def missing_keys(bundles: DataFrame, base: str = "en") -> DataFrame:
     """(locale, key) of the base locale's keys that another locale lacks. bundles: locale, key."""
     locales = bundles.select("locale").where(F.col("locale") != base).distinct()
     wanted = bundles.where(F.col("locale") == base).select("key").distinct()
-    per_key = wanted.withColumn("locale", F.explode(F.array(*(F.lit(r["locale"]) for r in locales.limit(1000).collect()))))
-    return per_key.select("locale", "key").join(bundles, ["locale", "key"], "left_anti")
+    return wanted.crossJoin(locales).select("locale", "key").join(bundles, ["locale", "key"], "left_anti")

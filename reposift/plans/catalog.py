@@ -337,7 +337,9 @@ FROM (SELECT ord AS id, star_id, CASE WHEN http_status < 400 THEN 'done' ELSE 'f
 def g7_run_report(spark, sf_dir):
     log = fx.call_log(spark, sf_dir)
     results = log.select(F.col("ord").alias("id"), "star_id", F.when(F.col("http_status") < 400, "done").otherwise("failed").alias("status"), F.col("http_status").alias("tokens"))
-    return failures.run_report(results, ["star_id"]).select("star_id", n("done").alias("done"), n("failed").alias("failed"), n("tokens").alias("tokens"), F.array_join("failed_ids", ",").alias("failed_ids"))
+    lost = failures.failed_rows(results, ["star_id"]).groupBy("star_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("failed_ids"))
+    report = failures.run_report(results, ["star_id"]).join(lost, "star_id", "left")
+    return report.select("star_id", n("done").alias("done"), n("failed").alias("failed"), n("tokens").alias("tokens"), F.coalesce("failed_ids", F.lit("")).alias("failed_ids"))
 
 
 @query(f"""--with bad AS (SELECT star_id, ord, CASE WHEN http_status = 400 THEN NULL ELSE {KIND} END AS kind, 'status ' || http_status AS message, http_status = 413 AS weak FROM call_log WHERE http_status >= 400),

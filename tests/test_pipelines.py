@@ -230,3 +230,28 @@ def test_worklist_knows_content_and_model(spark):
     vectors = spark.createDataFrame([("star:1", rows[1].content_hash, "m"), ("star:2", rows[2].content_hash, "old"), ("star:3", "stale", "m")], "id string, content_hash string, model string")
     assert {r.star_id for r in embedding.worklist(inputs, vectors, "m").collect()} == {2, 3}
     assert embedding.worklist(inputs, vectors, "m", force=True).count() == 3
+
+
+def test_report_keeps_every_failed_id(spark):
+    rows = [(k, k % 2, "failed" if k % 2 else "done", 3) for k in range(400)]
+    results = spark.createDataFrame(rows, "id long, star_id long, status string, tokens long").repartition(3)
+    got = {r.star_id: (r.done, r.failed, r.tokens) for r in failures.run_report(results, ["star_id"]).collect()}
+    assert got == {0: (200, 0, 600), 1: (0, 200, 600)}
+    assert sorted(tuple(r) for r in failures.failed_rows(results, ["star_id"]).collect()) == [(1, k) for k in range(1, 400, 2)]
+    assert failures.failed_rows(results).count() == failures.run_report(results).first().failed == 200
+
+
+def test_registered_report_lists_more_than_a_hundred_failures(spark, monkeypatch):
+    from reposift.plans import catalog
+
+    log = spark.createDataFrame([(k, 7, 500) for k in range(150)] + [(150, 8, 200)], "ord long, star_id long, http_status int")
+    monkeypatch.setattr(catalog.fx, "call_log", lambda *_: log)
+    got = {r.star_id: r.failed_ids for r in catalog.g7_run_report(spark, "").collect()}
+    assert got == {7: ",".join(map(str, range(150))), 8: ""}
+
+
+def test_missing_keys_of_over_a_thousand_locales(spark):
+    rows = [("en", "a"), ("en", "b")] + [(f"l{k}", "a") for k in range(1100)]
+    got = listing.missing_keys(spark.createDataFrame(rows, "locale string, key string"))
+    assert {tuple(r) for r in got.collect()} == {(f"l{k}", "b") for k in range(1100)}
+    assert listing.missing_keys(spark.createDataFrame([("en", "a")], "locale string, key string")).count() == 0
