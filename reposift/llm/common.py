@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,38 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (a local session, as in tests) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a
+    temporary one is made for a session that runs in one process, as in tests;
+    on a cluster, whose executors would not share it, that is an error.
     """
-    context = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table below the checkpoint folder and read back, so that later filters reach the files."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.option("parquet.page.size", 1 << 16).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df does not have, in any letter case."""
+    taken = {x.lower() for x in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shuffle_partitions(df: DataFrame) -> int:

@@ -2,11 +2,14 @@
 
 Equal vectors are one node. Unit vectors are rotated to principal axes, given
 grid cells as wide as the join distance on the leading ones, and sorted by cell.
-Stretches of that sequence are boxes in principal coordinates; a tree of boxes is
-joined with itself level by level, leaving out pairs of boxes that are provably
-farther apart than the distance. The stretches of each pair that is left are
-joined by splitting them further in the same way, down to small blocks that are
-multiplied in double precision.
+Stretches of that sequence are boxes in the leading principal coordinates and
+the length of what lies outside them; a tree of boxes is joined with itself
+level by level, leaving out pairs of boxes that are provably farther apart than
+the distance. The pairs of stretches that are left go to tasks by square tiles,
+so that a stretch is sent once to a tile and not once to a pair. There they are
+joined by splitting them further in the same way, down to small blocks. In a
+block the leading coordinates bound every cosine from above; what the bound does
+not rule out is multiplied in double precision.
 """
 
 from __future__ import annotations
@@ -15,11 +18,10 @@ from collections.abc import Iterable, Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reposift.llm.common import checkpointed
@@ -27,13 +29,17 @@ from reposift.llm.components import connected_components, forest
 
 #: Leading principal dimensions with grid cells, and those that boxes have.
 CELLS, AXES = 6, 16
-#: Vectors of one stretch (what a task holds twice) and of one multiplied block.
-STRETCH, SMALL = 16_384, 256
+#: Vectors of one stretch and of one multiplied block.
+STRETCH, SMALL = 4096, 256
+#: Most stretches on a side of a tile; a task holds those of one side.
+TILE = 32
 #: Tree nodes under one parent: 2 ** FANOUT_BITS.
 FANOUT_BITS = 4
 #: Numbers kept for the stretches of one partition.
 PART = 1 << 20
 SLACK = 1e-9
+#: What single precision may take from the bound of a cosine.
+BOUND_SLACK = 1e-5
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -82,11 +88,19 @@ def box_gap(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarr
     return float(gap @ gap)
 
 
-class Boxes:
-    """Bounding boxes of all dyadic intervals that join() asks for."""
+def leading(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates of unit vectors on the axes, and the length of the rest: distances and products of these bound those of the vectors."""
+    lead = x @ axes
+    rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", lead, lead)))
+    return np.column_stack((lead, rest))
 
-    def __init__(self, points: np.ndarray):
-        self.points, self.known = points, {}
+
+class Side:
+    """The vectors of a stretch in grid order, with what bounds them and the boxes of all dyadic intervals that join() asks for."""
+
+    def __init__(self, x: np.ndarray, axes: np.ndarray):
+        self.x, points = x, leading(x, axes)
+        self.points, self.bound, self.known = points, points.astype(np.float32), {}
 
     def __getitem__(self, interval: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         if interval not in self.known:
@@ -95,25 +109,25 @@ class Boxes:
         return self.known[interval]
 
 
-def join(a: np.ndarray, b: np.ndarray | None, axes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of rows of a and b with cosine of least or more; with b None pairs i < j of a."""
+def join(a: Side, b: Side | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of vectors of a and b with cosine of least or more; with b None pairs i < j of a."""
     same = b is None
     b = a if same else b
     near = 2 - 2 * least + SLACK
-    boxes_a = Boxes(a @ axes)
-    boxes_b = boxes_a if same else Boxes(b @ axes)
-    todo = [(0, len(a), 0, len(b))]
+    todo = [(0, len(a.x), 0, len(b.x))]
     while todo:
         i0, i1, j0, j1 = todo.pop()
-        if i0 == i1 or j0 == j1 or same and j1 <= i0 + 1 or box_gap(*boxes_a[i0, i1], *boxes_b[j0, j1]) > near:
+        if i0 == i1 or j0 == j1 or same and j1 <= i0 + 1 or box_gap(*a[i0, i1], *b[j0, j1]) > near:
             continue
         if i1 - i0 <= SMALL and j1 - j0 <= SMALL:
-            i, j = np.nonzero(a[i0:i1] @ b[j0:j1].T >= least)
-            i, j = i + i0, j + j0
+            maybe = np.flatnonzero((a.bound[i0:i1] @ b.bound[j0:j1].T).ravel() >= least - BOUND_SLACK)
+            i, j = maybe // (j1 - j0) + i0, maybe % (j1 - j0) + j0
             if same:
                 i, j = i[i < j], j[i < j]
             if len(i):
-                yield i, j
+                good = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= least
+                if good.any():
+                    yield i[good], j[good]
             continue
         cut_i = [i0, i1] if i1 - i0 <= SMALL else [i0, (i0 + i1) // 2, i1]
         cut_j = [j0, j1] if j1 - j0 <= SMALL else [j0, (j0 + j1) // 2, j1]
@@ -124,7 +138,7 @@ def join(a: np.ndarray, b: np.ndarray | None, axes: np.ndarray, least: float) ->
 
 
 def stretches(reps: DataFrame, n: int, axes: np.ndarray, least: float) -> DataFrame:
-    """One row per stretch of the grid order: node, box (lo, hi arrays), and the packed vectors, ids and multiplicities."""
+    """One row per stretch of the grid order: node, box (lo, hi arrays), and the packed vectors (as given), ids and multiplicities."""
     dims, width = len(axes), float(np.sqrt(2 - 2 * least))
     lead, wide = axes[:, :CELLS], axes[:, :AXES]
     cells = min(CELLS, dims)
@@ -137,36 +151,44 @@ def stretches(reps: DataFrame, n: int, axes: np.ndarray, least: float) -> DataFr
     order = [f"c{k}" for k in range(cells)] + ["rep"]
     kind = reps.schema["embedding"].dataType.simpleString()
     placed = reps.select("embedding", "rep", "copies").mapInArrow(place, f"embedding {kind}, rep long, copies long, " + ", ".join(f"c{k} int" for k in range(cells)))
-    parts = max(1, ceil(n / STRETCH))
+    parts = max(1, ceil(n / (8 * STRETCH)))  # several stretches a partition, whose borders cut groups apart
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("embedding", "rep", "copies", F.spark_partition_id().alias("part"))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         made = 0
 
-        def out(table: pa.Table) -> pa.RecordBatch:
+        def out(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            """The first stretch of the rows, and the rest. A stretch ends at the widest step between neighbours of its second half, so that groups stay together."""
             nonlocal made
             table = table.combine_chunks()
-            x = unit(matrix(table.column(0).combine_chunks(), dims))
-            points = x @ wide
+            plain = table.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)[:STRETCH]
+            points, n = leading(unit(plain.astype(np.float64)), wide), len(plain)
+            if not (last and len(table) == n):
+                half = max(1, n // 2)
+                n = half + int(np.square(points[half:] - points[half - 1 : -1]).sum(1).argmax())
+            points = points[:n]
             node = table.column(3)[0].as_py() * PART + made
             made += 1
-            return pa.RecordBatch.from_arrays(
+            batch = pa.RecordBatch.from_arrays(
                 [
                     pa.array([node]), pa.array([points.min(0).tolist()], pa.list_(pa.float64())), pa.array([points.max(0).tolist()], pa.list_(pa.float64())),
-                    pa.array([x.tobytes()]), pa.array([table.column(1).to_numpy().tobytes()]), pa.array([table.column(2).to_numpy().tobytes()]),
+                    pa.array([plain[:n].tobytes()]), pa.array([table.column(1)[:n].to_numpy().tobytes()]), pa.array([table.column(2)[:n].to_numpy().tobytes()]),
                 ],
                 names=["node", "lo", "hi", "x", "rep", "copies"],
             )
+            return batch, table.slice(n)
 
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) >= STRETCH:
-                table = pa.Table.from_batches(held)
-                yield out(table.slice(0, STRETCH))
-                held = table.slice(STRETCH).to_batches()
-        if sum(map(len, held)):
-            yield out(pa.Table.from_batches(held))
+            while sum(map(len, held)) > STRETCH:
+                made_now, rest = out(pa.Table.from_batches(held), False)
+                yield made_now
+                held = rest.to_batches()
+        while sum(map(len, held)):
+            made_now, rest = out(pa.Table.from_batches(held), True)
+            yield made_now
+            held = rest.to_batches()
 
     return ordered.mapInArrow(pack, "node long, lo array<double>, hi array<double>, x binary, rep binary, copies binary")
 
@@ -192,38 +214,68 @@ def near_pairs(boxes: DataFrame, least: float) -> DataFrame:
     return pairs.select(plain("a"), plain("b"))
 
 
+def tiles(pairs: DataFrame, count: int) -> DataFrame:
+    """(x, y, side, node, partners): the stretches that each tile of pairs needs; those of side 1 name their partners of side 0. At most TILE stretches a side and tile."""
+    # Stretches in grid order, numbered without gaps; fewer on a side while there are few, so that there are tiles to share.
+    wide = min(TILE, max(1, ceil(count / 6)))
+    placed = pairs.select(F.floor(F.col("na") / wide).alias("x"), F.floor(F.col("nb") / wide).alias("y"), "a", "b")
+    right = placed.groupBy("x", "y", F.col("b").alias("node")).agg(F.collect_list("a").alias("partners"))
+    left = placed.groupBy("x", "y", F.col("a").alias("node")).agg(F.lit(None).cast("array<bigint>").alias("partners"))
+    return left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+
+
 def _joined(reps: DataFrame, dims: int, least: float) -> DataFrame:
     """(a, b, n): a forest of links (n null), and the number of vectors linked to a (b null)."""
     n, axes = principal_axes(reps, dims)
     packed = checkpointed(stretches(reps, n, axes, least))
     wide = axes[:, :AXES]
+    kind = np.float32 if reps.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    # Stretches of one partition are numbered from its number * PART on; ranks need only the order.
+    nodes = packed.select("node").withColumn("part", F.shiftright("node", PART.bit_length() - 1))
+    before = nodes.groupBy("part").agg(F.count("*").alias("n"))
+    count = packed.count()
     pairs = near_pairs(packed.select("node", "lo", "hi"), least)
-    side = lambda s: packed.select(F.col("node").alias(s), *(F.col(x).alias(f"{s}_{x}") for x in ("x", "rep", "copies")))
-    # A pair is heavy work: each gets a task of its own as far as there are partitions.
-    tasks = pairs.join(side("a"), "a").join(side("b"), "b").repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    start = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    ranks = nodes.join(F.broadcast(start), "part").select("node", (F.col("start") + F.col("node").bitwiseAND(PART - 1)).alias("rank"))
+    rank = lambda s: ranks.select(F.col("node").alias(s), F.col("rank").alias(f"n{s}"))
+    needed = tiles(pairs.join(rank("a"), "a").join(rank("b"), "b"), count)
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = needed.join(packed.select("node", "x", "rep", "copies").toDF("node", "vectors", "rep", "copies"), "node").select("x", "y", "side", "node", "partners", "vectors", "rep", "copies")
+    dealt = sent.repartition(parts, "x", "y").sortWithinPartitions("x", "y", "side", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
         for batch in batches:
             for k in range(len(batch)):
                 row = {x: batch.column(batch.schema.get_field_index(x))[k].as_py() for x in batch.schema.names}
-                x, rep, copies = ({s: np.frombuffer(row[f"{s}_{c}"], t) for s in "ab"} for c, t in (("x", np.float64), ("rep", np.int64), ("copies", np.int64)))
-                same = row["a"] == row["b"]
-                a, b = x["a"].reshape(-1, dims), x["b"].reshape(-1, dims)
-                count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+                if (row["x"], row["y"]) != tile:
+                    tile, held = (row["x"], row["y"]), {}
+                rep, copies = (np.frombuffer(row[c], np.int64) for c in ("rep", "copies"))
+                own = None
+                if row["side"] == 0 or row["node"] not in held:
+                    own = Side(unit(np.frombuffer(row["vectors"], kind).astype(np.float64).reshape(-1, dims)), wide), rep, copies
+                if row["side"] == 0:
+                    held[row["node"]] = own
+                    continue
+                count_b, named, numbers = np.zeros(len(rep), np.int64), [], []
                 tree = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                for i, j in join(a, None if same else b, wide, least):
-                    np.add.at(count_a, i, copies["b"][j])
-                    np.add.at(count_b, j, copies["a"][i])
-                    tree = forest(np.concatenate((tree[0], rep["a"][i])), np.concatenate((tree[1], rep["b"][j])))
-                own = [(rep["a"], count_a), (rep["b"], count_b)]
-                named, number = (np.concatenate([y[k][y[1] > 0] for y in own]) for k in (0, 1))
+                for partner in row["partners"]:
+                    side, rep_a, copies_a = held[partner]
+                    count_a = np.zeros(len(rep_a), np.int64)
+                    for i, j in join(side, None if partner == row["node"] else own[0] if own else held[row["node"]][0], least):
+                        np.add.at(count_a, i, copies[j])
+                        np.add.at(count_b, j, copies_a[i])
+                        tree = forest(np.concatenate((tree[0], rep_a[i])), np.concatenate((tree[1], rep[j])))
+                    named.append(rep_a[count_a > 0])
+                    numbers.append(count_a[count_a > 0])
+                named, number = np.concatenate((*named, rep[count_b > 0])), np.concatenate((*numbers, count_b[count_b > 0]))
                 blank = pa.nulls
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate((tree[0], named))), pa.concat_arrays([pa.array(tree[1]), blank(len(named), pa.int64())]), pa.concat_arrays([blank(len(tree[0]), pa.int64()), pa.array(number)])],
                     names=["a", "b", "n"],
                 )
 
-    return tasks.mapInArrow(run, "a long, b long, n long")
+    return dealt.mapInArrow(run, "a long, b long, n long")
 
 
 def link_embeddings(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95) -> DataFrame:
@@ -256,3 +308,15 @@ def link_embeddings(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     linked = rows.join(nodes, "embedding", "left")
     named = linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def oracle(least: float = 0.95) -> str:
+    """The links of the embeddings table in DuckDB SQL, for tables of a size at which all pairs can be compared."""
+    return f"""
+WITH RECURSIVE good AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {least}),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, least(vec_id, coalesce(low.b, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN counts ON counts.a = vec_id"""

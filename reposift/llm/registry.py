@@ -75,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.oracle(), "op8_url_filter": urls.oracle()}
+    return {"op2_chat_format": chat.oracle(), "op3_line_dedup": lines.oracle(), "op5_embedding_links": embeddings.oracle(), "op8_url_filter": urls.oracle(), "op9_decontamination": decontam.oracle()}

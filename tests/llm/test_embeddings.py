@@ -42,6 +42,31 @@ def test_same_as_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_many_tiles_and_double_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "STRETCH", 16)
+    monkeypatch.setattr(embeddings, "TILE", 3)
+    x = clusters(2, 300, 12, 0.2).astype(float)
+    rows = [(k, [float(v) for v in x[k]]) for k in range(len(x))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((tuple(r) for r in embeddings.link_embeddings(df).collect()), key=str)
+    rows = [(k, v) for k, v in rows]
+    unit = embeddings.unit(x)
+    assert [r[1] for r in sorted(got)] == [int((unit @ unit[k] >= 0.95).sum()) - 1 for k in range(len(x))]
+
+
+def test_far_stretches_are_not_sent(spark, monkeypatch):
+    """Vectors in a few tight groups: less than a fifth of the pairs of stretches is left."""
+    monkeypatch.setattr(embeddings, "STRETCH", 64)
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(40, 32))
+    x = np.repeat(centres, 50, axis=0) + 0.05 * rnd.normal(size=(40 * 50, 32))
+    df = spark.createDataFrame([(k, [float(y) for y in v], 1) for k, v in enumerate(x)], "rep long, embedding array<double>, copies long")
+    n, axes = embeddings.principal_axes(df, 32)
+    packed = embeddings.stretches(df, n, axes, 0.95).select("node", "lo", "hi").cache()
+    count, left = packed.count(), embeddings.near_pairs(packed, 0.95).count()
+    assert count >= 32 and left < 0.2 * count * (count + 1) / 2
+
+
 def test_empty_and_unlinked(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in embeddings.link_embeddings(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
@@ -55,6 +80,7 @@ def test_join_prunes_and_loses_nothing(monkeypatch):
     axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1]
     for least in (0.8, 0.95, 0.999):
         want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= least), strict=True) if i < j}
-        assert {(i, j) for a, b in embeddings.join(x, None, axes, least) for i, j in zip(a, b, strict=True)} == want
-        got = {(i, j + 100) for a, b in embeddings.join(x[:100], x[100:], axes, least) for i, j in zip(a, b, strict=True)}
+        side = lambda y: embeddings.Side(y, axes[:, :4])
+        assert {(i, j) for a, b in embeddings.join(side(x), None, least) for i, j in zip(a, b, strict=True)} == want
+        got = {(i, j + 100) for a, b in embeddings.join(side(x[:100]), side(x[100:]), least) for i, j in zip(a, b, strict=True)}
         assert got == {(i, j) for i, j in want if i < 100 <= j}
