@@ -11,8 +11,8 @@ so together they cover it. The match of a position that stands later (by documen
 id, then line) is deleted. A line of long_words words or more is a run by itself
 and always selected.
 
-Lines are compared by 64-bit hashes, so a run by min_lines of them together; a
-single long line by its hash and its length. Two different long lines of one
+Lines are compared by 64-bit hashes, a run by one of them and 128 bits of the
+others; a single long line by its hash and its length. Two different long lines of one
 length are taken for one with a chance of 2**-64 a pair.
 """
 
@@ -31,7 +31,7 @@ from reposift.llm.common import prefix_hash, span_hash, stored, text_blocks, unu
 MIN_LINES = 3
 LONG_WORDS = 20
 #: Parts into which the positions of one match are dealt.
-SALTS = 16
+SALTS = 4
 
 
 def line_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +127,8 @@ def repeated_runs(df: DataFrame, doc_id: str, text: str, min_lines: int, long_wo
         for left in range(min_lines)
     ]
     alone = F.when(F.col("size") > 0, F.struct(F.lit(-1).alias("left"), F.array(F.col("size").cast("long")).alias("lines")))
-    matches = near.select("h", "key", "id", "line", F.explode(F.array_compact(F.array(*both_ways, alone))).alias("m")).select("h", "key", "id", "line", "m.left", F.xxhash64("m.lines").alias("reach"), "m.lines")
-    same = ["h", "left", "reach", "lines"]
+    matches = near.select("h", "key", "id", "line", F.explode(F.array_compact(F.array(*both_ways, alone))).alias("m")).select("h", "key", "id", "line", "m.left", F.xxhash64("m.lines").alias("reach"), F.xxhash64(F.lit(1), "m.lines").alias("again"))
+    same = ["h", "left", "reach", "again"]  # the lines of the match by 64 bits of its fingerprint and 128 of the others
     first = matches.groupBy(*same).agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").select(*same, "origin")
     dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     later = matches.withColumn("salt", F.pmod(F.xxhash64("key", "line"), F.lit(SALTS)).cast("int")).join(dealt, [*same, "salt"]).where(place > F.col("origin"))

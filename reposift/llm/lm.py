@@ -1,14 +1,19 @@
 """Masked pseudo-likelihood scoring with a bidirectional window network.
 
 Every word is predicted from the words on both sides of it, itself masked. Words
-are numbered by a vocabulary counted over the whole corpus: the frequent ones by
-themselves, all others by a hash class. The network adds one table row per
-context place, applies tanh, and predicts first a class of words, then the word
-in its class. It is trained in numpy on every word of every document, PASSES times:
-in each round all tasks start from the same weights, take their share of the words
-of all their documents, and Spark averages what they learned, weighted by words.
-Inside a hash class, a word is predicted by its counted share of the class; these
-counts are of single words, grow with the corpus and stay sharded in Spark.
+are counted over the whole corpus. The most frequent ones have a number of their
+own, all others the number of their ending, which tells the network what kind of
+word stands there. The network adds one table row per context place, applies
+tanh, and predicts first a class of numbers, then the number in its class. Words
+that share a number are told apart by their counts: a word's probability is its
+number's by the network times the word's counted share of the number. The counts
+are of single words, grow with the corpus and stay sharded in Spark.
+
+Training is synchronous: documents are dealt into ROUNDS rounds by a hash, and in
+each step tasks add up the gradient of all words of a round at the same weights,
+Spark adds up the tasks, and the driver takes one Adam step. So what is learned
+does not depend on how the input is partitioned. PASSES passes take every word of
+every document as often.
 """
 
 from __future__ import annotations
@@ -24,23 +29,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reposift.llm.common import checkpointed, prefix_hash, span_hash, text_blocks
+from reposift.llm.common import prefix_hash, span_hash, stored, text_blocks, unused
 from reposift.llm.toxicity import runs
 
-#: Buckets in which words are counted; the most frequent buckets get a number of their own, the rest share TAIL numbers.
-BUCKET_BITS = 18
+#: Words with a number of their own, and numbers that words share by their ending.
 FREQUENT, TAIL = 768, 256
 WORDS = FREQUENT + TAIL
-#: Words of one class; classes are cut by frequency.
+#: Bytes of a word's ending.
+ENDING = 3
+#: Numbers of one class; classes are cut by frequency.
 CLASS = 32
 CLASSES = WORDS // CLASS
 #: Context places on each side, and hidden units.
 SIDE, HIDDEN = 2, 32
 #: Number that stands outside a document.
 EDGE = WORDS
-ROUNDS, PASSES, RATE = 2, 2, 0.1
-#: Words of a minibatch: few at first, then a quarter of the words seen, up to the larger number.
-BATCH = (512, 4096)
+#: Steps of one pass, passes, and the size of the first steps (it falls to a tenth).
+ROUNDS, PASSES, RATE = 16, 2, 0.1
+#: Words that one numpy pass takes, and different words that a task counts before it passes them on.
+CHUNK, HELD_WORDS = 1 << 15, 500_000
+#: What a counted word is more than its count, and a word that was never counted in all.
+UNSEEN = 0.5
 #: Weights in one row of what tasks send.
 ROW = 1024
 
@@ -84,36 +93,6 @@ def first_weights(counts: np.ndarray) -> np.ndarray:
     return packed(weights)
 
 
-def hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word, and the first word of each row (rows + 1)."""
-    start, end, row = runs(raw, offsets)
-    return span_hash(prefix_hash(raw), start, end), np.searchsorted(row, np.arange(len(offsets)))
-
-
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash bucket of every word, and the first word of each row (rows + 1)."""
-    h, rows = hashes(raw, offsets)
-    return _bucket(h), rows
-
-
-def _tail_words(h: np.ndarray, words: np.ndarray, rows: np.ndarray) -> pa.Array:
-    """The different words of each row that share a number of the tail, with that number and how often they occur in the row."""
-    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    at = np.flatnonzero(words >= FREQUENT)
-    at = at[np.lexsort((h[at], row[at]))]
-    new = np.ones(len(at), bool)
-    new[1:] = (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(at)))
-    parts = [pa.array(h[at[first]].view(np.int64)), pa.array(words[at[first]].astype(np.int32)), pa.array(n.astype(np.int32))]
-    ends = np.searchsorted(row[at[first]], np.arange(len(rows))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["word", "number", "n"]))
-
-
 def contexts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Number at each context place of each word (places x words); EDGE outside the word's row."""
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
@@ -148,8 +127,8 @@ def _by_class(own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
 def log_probs(w: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log-probability of each word given the words around it."""
     out = np.zeros(len(words))
-    for lo in range(0, len(words), 1 << 15):
-        own, near = words[lo : lo + (1 << 15)], around[:, lo : lo + (1 << 15)]
+    for lo in range(0, len(words), CHUNK):
+        own, near = words[lo : lo + CHUNK], around[:, lo : lo + CHUNK]
         order, classes = _by_class(own)
         own, h, n = own[order], _hidden(w, near[:, order]), np.arange(len(own))
         found = _soft(h @ w["class_w"] + w["class_b"])[n, own // CLASS].astype(float)
@@ -159,172 +138,260 @@ def log_probs(w: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -
     return out
 
 
-class Trainer:
-    """Adagrad over minibatches of words."""
+def gradient(w: dict[str, np.ndarray], own: np.ndarray, near: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the summed negative log-probabilities of the words."""
+    out = {k: np.zeros(v.shape) for k, v in w.items()}
+    for lo in range(0, len(own), CHUNK):
+        _add_gradient(out, w, own[lo : lo + CHUNK], near[:, lo : lo + CHUNK])
+    return out
 
-    def __init__(self, flat: np.ndarray):
-        self.w = unpacked(flat)
-        self.words = 0
-        self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.w.items()}
 
-    def _step(self, name: str, at, gradient: np.ndarray) -> None:
-        seen = self.seen[name][at] + gradient * gradient
-        self.seen[name][at] = seen
-        self.w[name][at] -= RATE * gradient / np.sqrt(seen)
+def _add_gradient(out: dict[str, np.ndarray], w: dict[str, np.ndarray], own: np.ndarray, near: np.ndarray) -> None:
+    order, classes = _by_class(own)
+    own, near, k = own[order], near[:, order], np.arange(len(own))
+    h = _hidden(w, near)
+    miss = np.exp(_soft(h @ w["class_w"] + w["class_b"]))
+    miss[k, own // CLASS] -= 1
+    back = miss @ w["class_w"].T
+    out["class_w"] += h.T @ miss
+    out["class_b"] += miss.sum(0)
+    for c, a, b in classes:
+        part = np.exp(_soft(h[a:b] @ w["word_w"][c] + w["word_b"][c]))
+        part[k[: b - a], own[a:b] % CLASS] -= 1
+        back[a:b] += part @ w["word_w"][c].T
+        out["word_w"][c] += h[a:b].T @ part
+        out["word_b"][c] += part.sum(0)
+    back *= 1 - h * h
+    out["bias"] += back.sum(0)
+    for place, names in enumerate(near):
+        by_word = np.argsort(names, kind="stable")
+        sorted_names = names[by_word]
+        first = np.flatnonzero(np.diff(sorted_names, prepend=-1))
+        out["table"][place, sorted_names[first]] += np.add.reduceat(back[by_word], first, axis=0)
+
+
+class Adam:
+    """Steps from mean gradients; the rate falls along a half cosine from RATE to a tenth of it."""
+
+    def __init__(self, flat: np.ndarray, steps: int):
+        self.flat, self.steps, self.done = flat.astype(np.float64), steps, 0
+        self.mean, self.square = np.zeros(len(flat)), np.zeros(len(flat))
+
+    def step(self, gradient: np.ndarray) -> None:
+        rate = RATE * (0.55 + 0.45 * np.cos(np.pi * self.done / self.steps))
+        self.done += 1
+        self.mean = 0.8 * self.mean + 0.2 * gradient
+        self.square = 0.95 * self.square + 0.05 * gradient * gradient
+        self.flat -= rate * (self.mean / (1 - 0.8**self.done)) / (np.sqrt(self.square / (1 - 0.95**self.done)) + 1e-6)
 
-    def train(self, words: np.ndarray, around: np.ndarray) -> None:
-        lo = 0
-        while lo < len(words):
-            n = min(len(words) - lo, max(BATCH[0], min(BATCH[1], self.words // 4)))
-            self._batch(words[lo : lo + n], around[:, lo : lo + n])
-            self.words += n
-            lo += n
 
-    def _batch(self, own: np.ndarray, near: np.ndarray) -> None:
-        order, classes = _by_class(own)
-        own, near, n, k = own[order], near[:, order], np.float32(len(own)), np.arange(len(own))
-        h = _hidden(self.w, near)
-        miss = np.exp(_soft(h @ self.w["class_w"] + self.w["class_b"]))
-        miss[k, own // CLASS] -= 1
-        miss /= n
-        back = miss @ self.w["class_w"].T
-        steps = [("class_w", slice(None), h.T @ miss), ("class_b", slice(None), miss.sum(0))]
-        for c, a, b in classes:
-            part = np.exp(_soft(h[a:b] @ self.w["word_w"][c] + self.w["word_b"][c]))
-            part[k[: b - a], own[a:b] % CLASS] -= 1
-            part /= n
-            back[a:b] += part @ self.w["word_w"][c].T
-            steps += [("word_w", c, h[a:b].T @ part), ("word_b", c, part.sum(0))]
-        back *= 1 - h * h
-        steps.append(("bias", slice(None), back.sum(0)))
-        for place, names in enumerate(near):
-            by_word = np.argsort(names, kind="stable")
-            sorted_names = names[by_word]
-            first = np.flatnonzero(np.diff(sorted_names, prepend=-1))
-            steps.append(("table", (place, sorted_names[first]), np.add.reduceat(back[by_word], first, axis=0)))
-        for step in steps:
-            self._step(*step)
+@dataclass(frozen=True)
+class Vocabulary:
+    """Hashes of the frequent words in order and their numbers; how often each number and how many different words of it were counted; the counts (word, n) of all words."""
+
+    words: np.ndarray
+    numbers: np.ndarray
+    counts: np.ndarray
+    kinds: np.ndarray
+    table: DataFrame
 
 
 @dataclass(frozen=True)
 class Model:
-    numbers: np.ndarray  # word number of each bucket
+    vocabulary: Vocabulary
     weights: np.ndarray
 
 
-def _texts(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    yield from text_blocks(batch.column(k), lower=True)
-
+def hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of every word, number of its ending, and the first word of each row (rows + 1)."""
+    start, end, row = runs(raw, offsets)
+    prefix = prefix_hash(raw)
+    ending = FREQUENT + (span_hash(prefix, np.maximum(start, end - ENDING), end) % np.uint64(TAIL)).astype(np.int64)
+    return span_hash(prefix, start, end), ending, np.searchsorted(row, np.arange(len(offsets)))
 
-def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Word number of each bucket, and how often each number occurs, counted over all documents.
 
-    The driver gets one count for each of FREQUENT buckets and TAIL classes.
-    """
+def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """Count the words of all documents. The driver gets one count for each of FREQUENT words and TAIL endings; all counts are written as a table."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            word, number, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, first, which = np.unique(word, return_index=True, return_inverse=True)
+            return word, number[first], np.bincount(which, n, len(word)).astype(np.int64)
+
+        def rows() -> pa.RecordBatch:
+            word, number, n = merged()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(number, pa.int32()), pa.array(n)], names=["word", "number", "n"])
+
         for batch in batches:
-            for _, _, raw, offsets in _texts(batch, 0):
-                total += np.bincount(buckets(raw, offsets)[0], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
-
-    counted = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    tail = counted.groupBy((F.col("bucket") % TAIL).alias("tail")).agg(F.sum("n").alias("n")).collect()
-    top = counted.orderBy(F.desc("n"), "bucket").limit(FREQUENT).collect()
-    numbers = FREQUENT + np.arange(1 << BUCKET_BITS) % TAIL
-    counts = np.zeros(WORDS)
+            for _, _, raw, offsets in text_blocks(batch.column(0), lower=True):
+                h, ending, _ = hashes(raw, offsets)
+                held.append((h, ending, np.ones(len(h), np.int64)))
+                if sum(len(x[0]) for x in held) > HELD_WORDS:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD_WORDS // 2:
+                        yield rows()
+        if held:
+            yield rows()
+
+    table = docs.select(text).mapInArrow(count, "word long, number int, n long").groupBy("word").agg(F.min("number").alias("number"), F.sum("n").alias("n"))
+    table = stored(table)
+    tail = table.groupBy("number").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
+    top = table.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    counts, kinds = np.zeros(WORDS), np.zeros(WORDS)
     for r in tail:
-        counts[FREQUENT + r["tail"]] = r["n"]
+        counts[r["number"]], kinds[r["number"]] = r["n"], r["kinds"]
     for k, r in enumerate(top):
-        counts[numbers[r["bucket"]]] -= r["n"]
-        numbers[r["bucket"]], counts[k] = k, r["n"]
-    return numbers.astype(np.int16), counts
+        counts[r["number"]] -= r["n"]
+        kinds[r["number"]] -= 1
+        counts[k], kinds[k] = r["n"], 1
+    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return Vocabulary(words[order], order, counts, kinds, table.select("word", "n"))
+
+
+def numbered(h: np.ndarray, ending: np.ndarray, words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Number of each word."""
+    out = ending.astype(np.int16)
+    if len(words):
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        own = words[at] == h
+        out[own] = numbers[at[own]]
+    return out
 
 
-def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, passes: int = PASSES) -> Model:
-    """Train on all words of all documents; what tasks send and Spark averages grows with their number, what the driver gets is one set of weights.
+def _tail_words(h: np.ndarray, words: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """The different words of each row that share a number, with how often they occur in the row."""
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    at = np.flatnonzero(words >= FREQUENT)
+    at = at[np.lexsort((h[at], row[at]))]
+    new = np.ones(len(at), bool)
+    new[1:] = (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(at)))
+    parts = [pa.array(h[at[first]].view(np.int64)), pa.array(n.astype(np.int32))]
+    ends = np.searchsorted(row[at[first]], np.arange(len(rows))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["word", "n"]))
 
-    Each pass takes every word once: of every document, round r takes the words r, r + rounds and so on.
-    """
-    numbers, counts = vocabulary(docs, text)
-    flat = first_weights(counts)
-    for k in range(passes * rounds):
-        turn = k % rounds
-        start = docs.sparkSession.sparkContext.broadcast((numbers, flat))
+
+TOKENS = T.StructType([
+    T.StructField("__numbers", T.BinaryType()), T.StructField("__turn", T.IntegerType()), T.StructField("__row", T.LongType()),
+    T.StructField("__tail", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.IntegerType())]))),
+])
+
+
+def tokens(df: DataFrame, known: Vocabulary, text: str = "text", rounds: int = ROUNDS, keep_text: bool = True) -> DataFrame:
+    """df with the numbers of its words (two bytes each), its round, a number of its row, and its words that share a number; written as a table in the order of rounds."""
+    words, numbers = known.words, known.numbers
+    turn = F.pmod(F.xxhash64(text), F.lit(rounds)).cast("int")
+    given = df.withColumns({"__turn": turn, "__row": F.monotonically_increasing_id()})
+    names = df.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, offsets in text_blocks(batch.column(names.index(text)), lower=True):
+                h, ending, rows = hashes(raw, offsets)
+                own = numbered(h, ending, words, numbers)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * rows).astype(np.int32)), pa.py_buffer(own)])
+                cut = batch.slice(lo, hi - lo)
+                kept = [cut.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, packed, cut.column(len(names)), cut.column(len(names) + 1), _tail_words(h, own, rows)], names=[*names, *TOKENS.names])
+
+    made = given.mapInArrow(run, T.StructType([*df.schema.fields, *TOKENS.fields]))
+    return stored((made if keep_text else made.drop(text)).sortWithinPartitions("__turn"))
+
+
+def _unpacked_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, numbers, first number of each row) of bounded blocks of packed numbers."""
+    for lo, hi, raw, offsets in text_blocks(column):
+        yield lo, hi, np.frombuffer(raw.tobytes(), np.int16).astype(np.int64), offsets // 2
+
+
+def train(table: DataFrame, known: Vocabulary, rounds: int = ROUNDS, passes: int = PASSES) -> Model:
+    """Train on all words of a table of tokens. What tasks send grows with their number, what the driver gets is one gradient a step."""
+    flat = first_weights(known.counts)
+    state = Adam(flat, rounds * passes)
+    context = table.sparkSession.sparkContext
+    for step in range(rounds * passes):
+        sent = context.broadcast(state.flat.astype(np.float32))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, flat = start.value  # noqa: B023
-            trainer, n = Trainer(flat), 0
+            w, total, n = unpacked(sent.value), None, 0  # noqa: B023
             for batch in batches:
-                for _, _, raw, offsets in _texts(batch, 0):
-                    found, rows = buckets(raw, offsets)
-                    words = numbers[found]
-                    trainer.train(words[turn::rounds], contexts(words, rows)[:, turn::rounds])  # noqa: B023
-                    n += len(words[turn::rounds])  # noqa: B023
+                for _, _, own, rows in _unpacked_rows(batch.column(0)):
+                    if len(own):
+                        found = np.concatenate([x.ravel() for x in gradient(w, own, contexts(own, rows)).values()])
+                        total, n = found if total is None else total + found, n + len(own)
             if n:
-                end = packed(trainer.w)
-                lists = pa.array([end[k : k + ROW].astype(np.float64) for k in range(0, len(end), ROW)], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(lists)), pa.int32()), pa.array([float(n)] * len(lists)), lists], names=["row", "n", "weights"])
+                lists = pa.array([total[k : k + ROW] for k in range(0, len(total), ROW)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(lists)), pa.int32()), pa.array([n] * len(lists), pa.int64()), lists], names=["row", "n", "gradient"])
 
-        sent = docs.select(text).mapInArrow(run, "row int, n double, weights array<double>")
-        mean = sent.groupBy("row").agg(vector_to_array(Summarizer.mean(array_to_vector("weights"), F.col("n"))).alias("weights")).orderBy("row").collect()
-        if mean:
-            flat = np.concatenate([r["weights"] for r in mean]).astype(np.float32)
-        start.unpersist()
-    return Model(numbers, flat)
+        # A round is a fraction of the corpus: no more tasks than can run at once, as each sends a whole gradient.
+        part = table.where(F.col("__turn") == step % rounds).select("__numbers").coalesce(context.defaultParallelism)
+        sums = part.mapInArrow(run, "row int, n long, gradient array<double>").groupBy("row")
+        got = sums.agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("gradient"))).alias("gradient")).orderBy("row").collect()
+        if got:
+            state.step(np.concatenate([r["gradient"] for r in got]) / got[0]["n"])
+        sent.unpersist()
+    return Model(known, state.flat.astype(np.float32))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", n_words: str = "n_words", log_prob: str = "log_prob", tail: str | None = None) -> DataFrame:
-    """df with the number of words of each whole text and the sum of their conditional log-probabilities.
+def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, passes: int = PASSES) -> Model:
+    known = vocabulary(docs, text)
+    return train(tokens(docs.select(text), known, text, rounds, keep_text=False), known, rounds, passes)
 
-    Null and empty texts have no words and the sum 0. All rows and columns
-    stay, input columns of the new names are replaced; an empty table gives an
-    empty table.
-    """
-    kept = [f for f in df.schema.fields if f.name not in (n_words, log_prob)]
-    names = [f.name for f in kept]
-    sent = df.sparkSession.sparkContext.broadcast((model.numbers, model.weights))
+
+def score_tokens(table: DataFrame, model: Model, n_words: str, log_prob: str) -> DataFrame:
+    """The table's own columns with the number of words and the sum of their conditional log-probabilities."""
+    names = [x for x in table.columns if x not in (n_words, log_prob) and x not in TOKENS.names]
+    known = model.vocabulary
+    sent = table.sparkSession.sparkContext.broadcast((model.weights, known.counts, known.kinds))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, w = sent.value[0], unpacked(sent.value[1])
+        flat, counts, kinds = sent.value
+        w = unpacked(flat)
+        # Of words that share a number, the share is (n + UNSEEN) / base; n is joined later.
+        base = np.log(counts + UNSEEN * (kinds + 1))
+        base[:FREQUENT] = 0
         for batch in batches:
-            for lo, hi, raw, offsets in _texts(batch, batch.schema.get_field_index(text)):
-                h, rows = hashes(raw, offsets)
-                words = numbers[_bucket(h)]
-                total = np.append(0, np.cumsum(log_probs(w, words, contexts(words, rows))))
+            for lo, hi, own, rows in _unpacked_rows(batch.column(batch.schema.get_field_index("__numbers"))):
+                total = np.append(0, np.cumsum(log_probs(w, own, contexts(own, rows)) - base[own]))
                 cut = batch.slice(lo, hi - lo)
-                own = [cut.column(cut.schema.get_field_index(x)) for x in names]
                 sums = np.where(np.diff(rows) > 0, np.diff(total[rows]), 0.0)
-                more = [_tail_words(h, words, rows)] if tail else []
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(rows)), pa.array(sums), *more], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*(cut.column(cut.schema.get_field_index(x)) for x in [*names, "__row"]), pa.array(np.diff(rows)), pa.array(sums)], names=[*names, "__row", n_words, log_prob])
 
-    schema = T.StructType([*kept, T.StructField(n_words, T.LongType()), T.StructField(log_prob, T.DoubleType())])
-    if tail:
-        entry = T.StructType([T.StructField("word", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("n", T.IntegerType())])
-        schema = schema.add(tail, T.ArrayType(entry))
-    return df.mapInArrow(run, schema)
+    fields = [table.schema[x] for x in [*names, "__row"]]
+    scored = table.drop("__tail", "__turn").mapInArrow(run, T.StructType([*fields, T.StructField(n_words, T.LongType()), T.StructField(log_prob, T.DoubleType())]))
+    # A word that shares its number is rarer than every word with a number of its own, so no key of this join is hot.
+    found = table.select("__row", F.explode("__tail").alias("t")).select("__row", "t.word", "t.n")
+    shares = known.table.select("word", F.log(F.col("n") + UNSEEN).alias("share"))
+    sums = found.join(shares, "word", "left").groupBy("__row").agg(F.sum(F.col("n") * F.coalesce("share", F.lit(float(np.log(UNSEEN))))).alias("__shares"))
+    done = scored.join(sums, "__row", "left").withColumn(log_prob, F.col(log_prob) + F.coalesce("__shares", F.lit(0.0)))
+    return done.select(*names, n_words, log_prob)
 
 
-def shared(scored: DataFrame, log_prob: str = "log_prob", tail: str = "tail") -> DataFrame:
-    """scored with each word of the tail at its counted share of its class, over all rows of scored; the column tail goes.
+def score(df: DataFrame, model: Model, text: str = "text", n_words: str = "n_words", log_prob: str = "log_prob") -> DataFrame:
+    """df with the number of words of each whole text and the sum of their conditional log-probabilities.
 
-    The counts of single words are joined by shuffle. A word of the tail is rarer than every word with
-    a number of its own, so no key of the join is hot.
+    A word that shares its number and was never counted has the share of half a
+    count. Null and empty texts have no words and the sum 0. All rows and
+    columns stay, input columns of the new names are replaced; an empty table
+    gives an empty table. Columns named like those of a table of tokens
+    (__numbers, __turn, __row, __tail) are renamed for the while.
     """
-    rows = checkpointed(scored).withColumn("__row", F.monotonically_increasing_id())
-    found = rows.select("__row", F.explode(tail).alias("t")).select("__row", "t.word", "t.number", "t.n")
-    counts = checkpointed(found.groupBy("word", "number").agg(F.sum("n").alias("own")))
-    classes = counts.groupBy("number").agg(F.sum("own").alias("whole"))
-    shares = counts.join(F.broadcast(classes), "number").select("word", F.log(F.col("own") / F.col("whole")).alias("share"))
-    sums = found.join(shares, "word").groupBy("__row").agg(F.sum(F.col("n") * F.col("share")).alias("__shares"))
-    done = rows.join(sums, "__row", "left").withColumn(log_prob, F.col(log_prob) + F.coalesce("__shares", F.lit(0.0)))
-    return done.select(*(c for c in scored.columns if c != tail))
+    plain = df.drop(n_words, log_prob)
+    clash = {x: unused(df, f"own{k}") for k, x in enumerate(plain.columns) if x.lower() in TOKENS.names}
+    done = score_tokens(tokens(plain.withColumnsRenamed(clash), model.vocabulary, clash.get(text, text)), model, n_words, log_prob)
+    return done.withColumnsRenamed({v: k for k, v in clash.items()})
 
 
 def scores(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, log_prob (their sum) and mean_log_prob (null without words) of each document."""
     own = documents.select("doc_id", "text")
-    done = shared(score(own, learn(own), tail="tail"))
+    known = vocabulary(own)
+    table = tokens(own, known, keep_text=False)
+    done = score_tokens(table, train(table, known), "n_words", "log_prob")
     return done.select("doc_id", "n_words", "log_prob", (F.col("log_prob") / F.nullif("n_words", F.lit(0))).alias("mean_log_prob"))

@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Three transducers are composed. The lexical one turns words into classes
-(insult, threat, target, negation, reported speech, end of clause); insults are
-words and word stems learned from labelled documents, the other classes are
-short fixed lists. The clause transducer runs over the classes of each clause
-and emits a pattern for every insult or threat: bare, aimed at a target,
-negated, or reported. The scoring one weighs a document's patterns; its weights
-are a logistic fit on the labelled sample.
+A lexical transducer turns words into classes: insult, threat, target, negation,
+reported speech. Insults are words and word stems learned from labelled
+documents beside a short fixed list, the other classes are fixed lists. Four small
+transducers read the classes of a clause: insult, threat and target give
+each insult and threat a weight, more where it is aimed at somebody; negation and
+reported speech scale what they cover down. They are composed into one machine, a
+table of states by classes, whose arcs carry the product of the weights. Running
+it over a clause sums the weights of its path: the clause's score. A document's
+score is a logistic function of its clauses' scores, fitted on the sample.
 """
 
 from __future__ import annotations
@@ -22,16 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reposift.llm.common import checkpointed, prefix_hash, span_hash, text_blocks
+from reposift.llm.common import checkpointed, prefix_hash, span_hash, text_blocks, unused
 
 #: Labelled rows, by hash order, from which lexicon and weights are learned.
 LEARN_ROWS = 24_000
-#: Most insults of the lexicon.
-LEXICON = 2_000
 #: Toxic sample documents, and different words before it in them, that an insult needs.
 SUPPORT, CONTEXTS = 12, 8
 #: Times likelier in toxic documents than in others.
-LIFT = 15.0
+LIFT = 10.0
+#: Times likelier that give an insult its full strength.
+SURE = 60.0
 #: Units that a task counts before it passes them on.
 HELD_UNITS = 60_000
 #: Letters (as UTF-8 bytes) of a stem.
@@ -39,9 +41,16 @@ STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
 # Insults known without labels.
-INSULTS = ("idiot", "imbecile", "moron", "stupid", "idiota", "estupido", "dummkopf", "trottel", "connard", "imbécile")
+INSULTS = (
+    "idiot", "idiots", "idiotic", "imbecile", "moron", "morons", "moronic", "stupid", "dimwit", "halfwit", "cretin", "bastard", "scumbag", "dumbass", "asshole",
+    "dummkopf", "trottel", "vollidiot", "schwachkopf", "arschloch", "connard", "imbécile", "crétin", "abruti", "salaud", "enculé",
+    "idiota", "estupido", "estúpido", "imbécil", "gilipollas", "cabrón", "pendejo",
+)
 # Verbs of threats.
-THREATS = ("kill", "hurt", "destroy", "beat", "burn", "shoot", "töten", "schlagen", "tuer", "frapper", "matar", "golpear")
+THREATS = (
+    "kill", "hurt", "destroy", "beat", "burn", "shoot", "murder", "strangle", "stab", "töten", "schlagen", "ermorden", "umbringen", "erschießen", "verprügeln",
+    "tuer", "frapper", "tuerai", "assassiner", "matar", "golpear", "mataré", "asesinar",
+)
 # Whom a clause is aimed at.
 TARGETS = ("you", "your", "yours", "u", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "toi", "vous", "votre", "ton", "usted", "ti", "te", "vosotros")
 # Negations.
@@ -49,9 +58,10 @@ NEGATIONS = ("not", "no", "never", "nobody", "nicht", "kein", "keine", "nie", "p
 # Words that bring in the speech of others.
 REPORTS = ("said", "says", "called", "quoted", "wrote", "sagte", "nannte", "schrieb", "dit", "appelé", "écrit", "dijo", "llamó", "escribió")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-#: Patterns that the clause transducer emits.
-PATTERNS = ("insult", "aimed_insult", "negated_insult", "reported_insult", "threat", "aimed_threat", "negated_threat", "reported_threat")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+CLASSES = 6
+#: Weight of an insult or threat: plain, aimed at somebody, and what a negation or a reporting verb before it leaves.
+PLAIN, AIMED, NEGATED, REPORTED = (1.0, 0.4), (1.6, 1.6), 0.25, 0.25
 #: Words after a negation that it still covers.
 SCOPE = 3
 WORD = np.zeros(256, bool)
@@ -66,15 +76,19 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Hashes of insult words and stems, and the weights of the scoring transducer."""
+    """Hashes of insult words and stems with their strengths (up to 1), and the weights of the features."""
 
-    words: tuple[int, ...]
-    stems: tuple[int, ...]
+    words: dict[int, float]
+    stems: dict[int, float]
     weights: tuple[float, ...]
 
 
 def text_hash(text: str) -> int:
-    raw = np.frombuffer(text.encode(), np.uint8)
+    return _bytes_hash(text.encode())
+
+
+def _bytes_hash(data: bytes) -> int:
+    raw = np.frombuffer(data, np.uint8)
     return int(span_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
 
 
@@ -98,75 +112,143 @@ def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+class Lexicon:
+    """Strengths of hashes."""
+
+    def __init__(self, strengths: dict[int, float]):
+        self.known = np.array(sorted(strengths), np.uint64)
+        self.strength = np.array([strengths[x] for x in sorted(strengths)] or [0.0])
+
+    def __getitem__(self, values: np.ndarray) -> np.ndarray:
+        """Strength of each value, 0 if unknown."""
+        at = np.minimum(np.searchsorted(self.known, values), len(self.strength) - 1)
+        return np.where(member(values, self.known), self.strength[at], 0.0)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted machine: next[state, class], and what the arc weighs for insults and threats (states x classes x 2). It starts each clause in state 0."""
+
+    next: np.ndarray
+    weight: np.ndarray
+
+    def __mul__(self, other: Transducer) -> Transducer:
+        """Composition: both read the clause in step, and an arc weighs the product of both arcs."""
+        n, m = len(self.next), len(other.next)
+        follow = self.next[:, None] * m + other.next[None, :]
+        weight = self.weight[:, None] * other.weight[None, :]
+        return Transducer(follow.reshape(n * m, CLASSES), weight.reshape(n * m, CLASSES, 2))
+
+
+def target_transducer() -> Transducer:
+    """Insults and threats and whom they are aimed at. States: nothing yet, a target, an insult waiting for one, a threat waiting for one."""
+    follow = np.tile(np.arange(4)[:, None], CLASSES)
+    weight = np.zeros((4, CLASSES, 2))
+    for k, kind in enumerate((INSULT, THREAT)):
+        follow[[0, 2, 3], kind] = 2 + k
+        weight[[0, 2, 3], kind, k] = PLAIN[k]
+        weight[1, kind, k] = AIMED[k]
+        weight[2 + k, TARGET, k] = AIMED[k] - PLAIN[k]  # the target comes after it
+    follow[:, TARGET] = 1
+    return Transducer(follow, weight)
+
+
+def negation_transducer(left: float = NEGATED) -> Transducer:
+    """States: how many of the next words a negation covers."""
+    follow = np.tile(np.maximum(np.arange(SCOPE + 1) - 1, 0)[:, None], CLASSES)
+    follow[:, NEGATION] = SCOPE
+    return Transducer(follow, np.where(np.arange(SCOPE + 1) > 0, left, 1.0)[:, None, None] * np.ones((1, CLASSES, 2)))
+
+
+def report_transducer(left: float = REPORTED) -> Transducer:
+    """States: own words, and those after a reporting verb, up to the clause's end."""
+    follow = np.tile(np.arange(2)[:, None], CLASSES)
+    follow[:, REPORT] = 1
+    return Transducer(follow, np.array([1.0, left])[:, None, None] * np.ones((1, CLASSES, 2)))
+
+
+def composed(negated: float = NEGATED, reported: float = REPORTED) -> Transducer:
+    return target_transducer() * negation_transducer(negated) * report_transducer(reported)
+
+
 class Grammar:
-    """The lexical and the clause transducer for one lexicon."""
+    """The lexical transducer for one lexicon, and the composed machine."""
 
-    def __init__(self, words: Iterable[int], stems: Iterable[int]):
+    def __init__(self, words: dict[int, float], stems: dict[int, float], machine: Transducer | None = None):
         known = lambda found: np.array(sorted(set(found)), np.uint64)
         self.lists = [(kind, known(map(text_hash, x))) for kind, x in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS))]
-        self.insults, self.stems = known(words), known(stems)
+        self.words, self.stems = Lexicon(words), Lexicon(stems)
+        self.machine = machine or composed()
 
-    def classes(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def classes(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word, and how much the machine's weights count there: an insult's strength, else 1."""
         whole = span_hash(prefix, start, end)
-        out = np.zeros(len(start), np.int8)
+        kinds, bad = np.zeros(len(start), np.int8), self.words[whole]
         for kind, known in self.lists:
-            out[member(whole, known)] = kind
-        bad = member(whole, self.insults)
-        if len(self.stems):
+            kinds[member(whole, known)] = kind
+        if len(self.stems.known):
             for n in STEMS:
                 long = np.flatnonzero(end - start >= n)
-                bad[long] |= member(span_hash(prefix, start[long], start[long] + n), self.stems)
-        out[bad] = INSULT
-        return out
+                bad[long] = np.maximum(bad[long], self.stems[span_hash(prefix, start[long], start[long] + n)])
+        kinds[bad > 0] = INSULT
+        return kinds, np.where(bad > 0, bad, 1.0)
 
-    def patterns(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of each pattern, and words, of each row."""
-        rows = len(offsets) - 1
+    def clauses(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, scores) of the clauses that hold an insult or threat, scores being one column for each of the two, and the words of each row."""
         start, end, row = runs(raw, offsets)
-        counts, words = np.zeros((rows, len(PATTERNS)), np.int64), np.bincount(row, minlength=rows)
+        words = np.bincount(row, minlength=len(offsets) - 1)
         if not len(start):
-            return counts, words
-        kinds = self.classes(prefix_hash(raw), start, end)
+            return row, np.zeros((0, 2)), words
+        kinds, strength = self.classes(prefix_hash(raw), start, end)
         clause = np.concatenate(([0], np.cumsum(BREAK[raw])))[start] + row * np.int64(1 << 32)
-        hot = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
-        if not len(hot):
-            return counts, words
-        edges = np.flatnonzero(np.diff(clause)) + 1
-        edges = np.concatenate(([0], edges, [len(clause)]))
-        for k in np.unique(np.searchsorted(edges, hot, "right") - 1).tolist():
-            lo, hi = edges[k], edges[k + 1]
-            for pattern in self.clause(kinds[lo:hi]):
-                counts[row[lo], pattern] += 1
-        return counts, words
-
-    @staticmethod
-    def clause(kinds: np.ndarray) -> Iterator[int]:
-        """Pattern of each insult and threat of one clause. States: in reported speech, and words since a negation; a target anywhere in the clause aims it."""
-        aimed, reported, since = bool((kinds == TARGET).any()), False, SCOPE + 1
-        for kind in kinds.tolist():
-            since += 1
-            if kind == REPORT:
-                reported = True
-            elif kind == NEGATION:
-                since = 0
-            elif kind in (INSULT, THREAT):
-                base = 0 if kind == INSULT else 4
-                yield base + (3 if reported else 2 if since <= SCOPE else 1 if aimed else 0)
-
-
-def features(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Inputs of the scoring transducer: each pattern's presence and count, and the share of matched words."""
-    share = counts.sum(1) / np.maximum(words, 1)
-    return np.column_stack((np.ones(len(counts)), (counts > 0).any(1), np.log1p(counts), np.sqrt(share)))
+        first = np.flatnonzero(np.diff(clause, prepend=-1))
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(clause))))
+        hot = np.zeros(len(first), bool)
+        hot[number[(kinds == INSULT) | (kinds == THREAT)]] = True
+        # Words without a class only move the negation's scope on: those beyond it change nothing and are left out.
+        at = np.arange(len(kinds))
+        since = at - np.maximum.accumulate(np.where(kinds == NEGATION, at, -SCOPE - 1))
+        read = np.flatnonzero(hot[number] & ((kinds != OTHER) | (since <= SCOPE)))
+        return row[first[hot]], self.run(kinds[read], strength[read], np.searchsorted(number[read], np.flatnonzero(hot))), words
+
+    def run(self, kinds: np.ndarray, strength: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Summed weights (insults, threats) of the machine's paths over the clauses that begin there; all clauses take each step together."""
+        size = np.diff(np.append(begin, len(kinds)))
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        state, total = np.zeros(len(begin), np.int64), np.zeros((len(begin), 2))
+        for k in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -k, "left"))  # clauses longer than k
+            at = begin[:n] + k
+            kind = kinds[at]
+            total[:n] += self.machine.weight[state[:n], kind] * strength[at, None]
+            state[:n] = self.machine.next[state[:n], kind]
+        out = np.zeros_like(total)
+        out[order] = total
+        return out
+
+
+def features(row: np.ndarray, scores: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What a document's score depends on: its strongest clause (up to 1), the sums of its clauses' scores for insults and threats, and their share of its words."""
+    rows = len(words)
+    best, sums = np.zeros(rows), np.zeros((rows, 2))
+    np.maximum.at(best, row, np.minimum(scores.sum(1), 1))
+    np.add.at(sums, row, scores)
+    return np.column_stack((np.ones(rows), best, np.log1p(sums), np.sqrt(sums.sum(1) / np.maximum(words, 1))))
+
+
+#: Weights of the features before any label is seen; the fit shrinks towards them, so that what the sample lacks keeps its weight.
+PRIOR = (-3.0, 3.0, 1.0, 1.0, 1.0)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic weights by Newton's method; the first column, the constant, is not shrunk."""
-    w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    """Logistic weights by Newton's method, shrunk towards PRIOR; the first one, the constant, hardly."""
+    prior = np.array(PRIOR)
+    w, shrink = prior.copy(), np.full(x.shape[1], ridge)
     shrink[0] = 1e-3
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * (w - prior))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -199,7 +281,12 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Model:
-    """Learn the insults and weights from a bounded sample of labelled rows (most of them); the driver gets at most LEXICON units and one small row per sampled document."""
+    """Learn the insults and weights from a bounded sample of labelled rows (most of them).
+
+    The driver gets one small row per sampled document, and the units that SUPPORT or more toxic documents
+    of the sample hold and others hardly, however many these are. Labels without id, with an id that no
+    document has, and null labels teach nothing; without toxic and other labels the weights are PRIOR.
+    """
     rows = checkpointed(sample(docs, labels, most))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +309,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Model:
     bad, good = total.get(True, 0), total.get(False, 0)
     lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
     units = rows.mapInArrow(count, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    likely = units.where((F.col("bad") >= SUPPORT) & (lift >= LIFT)).orderBy(F.desc("bad"), "unit").limit(20 * LEXICON)
-    likely = frozenset(r["unit"] for r in likely.select("unit").collect())
+    likely = units.where((F.col("bad") >= SUPPORT) & (lift >= LIFT)).select("unit", lift.alias("lift"))
+    likely = {r["unit"]: min(1.0, float(np.log(r["lift"]) / np.log(SURE))) for r in likely.collect()}
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
@@ -245,33 +332,29 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Model:
 
     # Copies of one document repeat its words in one context; insults stand in many.
     varied = rows.mapInArrow(contexts, "unit string, before string").groupBy("unit").agg(F.count_distinct("before").alias("n")).where(F.col("n") >= CONTEXTS)
-    found = {r["unit"] for r in varied.orderBy(F.desc("n"), "unit").limit(LEXICON).collect()}
-    stems = {x for x in found if x.endswith("*") and not any(x[:-1].startswith(y[:-1]) for y in found if y.endswith("*") and y != x)}
-    words = {x for x in found if not x.endswith("*")} | set(INSULTS)
-    model = Model(tuple(map(text_hash, sorted(words))), tuple(text_hash(x[:-1]) for x in sorted(stems)), ())
-    table = _counted(rows, model, "text", ["toxic"]).toPandas()
+    found = {r["unit"]: likely[r["unit"]] for r in varied.collect()}
+    stems = {text_hash(x[:-1]): y for x, y in found.items() if x.endswith("*")}
+    words = {text_hash(x): y for x, y in found.items() if not x.endswith("*")} | {text_hash(x): 1.0 for x in INSULTS}
+    model = Model(words, stems, PRIOR)
+    table = _featured(rows, model).toPandas()
     if table.empty or not 0 < (table["toxic"] == 1).sum() < len(table):
-        return Model(model.words, model.stems, (-3.0, 3.0, *[1.0] * len(PATTERNS), 1.0))
-    x = features(np.array(table["counts"].tolist()), table["words"].to_numpy())
-    return Model(model.words, model.stems, tuple(fit(x, (table["toxic"] == 1).to_numpy(float)).tolist()))
+        return model
+    return Model(model.words, model.stems, tuple(fit(np.array(table["x"].tolist()), (table["toxic"] == 1).to_numpy(float)).tolist()))
 
 
-def _counted(df: DataFrame, model: Model, text: str, kept: list[str]) -> DataFrame:
-    """The kept columns, counts (array<long>, one per pattern) and words of each row."""
-    fields = [df.schema[x] for x in kept]
-    schema = T.StructType([*fields, T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("words", T.LongType())])
+def _featured(rows: DataFrame, model: Model) -> DataFrame:
+    """(toxic, x): the features of each row of a sample."""
     words, stems = model.words, model.stems
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(words, stems)
         for batch in batches:
-            for lo, hi, raw, offsets in text_blocks(batch.column(batch.schema.get_field_index(text)), lower=True):
-                counts, n = grammar.patterns(raw, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(PATTERNS), pa.int32()), pa.array(counts.ravel()))
-                own = [batch.column(batch.schema.get_field_index(x)).slice(lo, hi - lo) for x in kept]
-                yield pa.RecordBatch.from_arrays([*own, lists, pa.array(n.astype(np.int64))], names=[f.name for f in schema.fields])
+            for lo, hi, raw, offsets in text_blocks(batch.column(0), lower=True):
+                x = features(*grammar.clauses(raw, offsets))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), lists], names=["toxic", "x"])
 
-    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return rows.select("text", "toxic").mapInArrow(run, f"toxic {rows.schema['toxic'].dataType.simpleString()}, x array<double>")
 
 
 def score(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
@@ -291,7 +374,7 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score")
         grammar = Grammar(words, stems)
         for batch in batches:
             for lo, hi, raw, offsets in text_blocks(batch.column(batch.schema.get_field_index(text)), lower=True):
-                x = features(*grammar.patterns(raw, offsets)) @ weights
+                x = features(*grammar.clauses(raw, offsets)) @ weights
                 cut = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(cut.column(cut.schema.get_field_index(k)) for k in names), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=[*names, score])
 
@@ -299,8 +382,14 @@ def score(df: DataFrame, model: Model, text: str = "text", score: str = "score")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic."""
-    return score(docs, learn(docs, labels), score="__score").where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    """The documents that are not predicted toxic.
+
+    Each row is judged by its own text: null and empty texts stay, repeated rows
+    and rows without id stay or go like any other. All columns stay; an empty
+    table stays empty.
+    """
+    column = unused(docs, "score")
+    return score(docs, learn(docs, labels), score=column).where(F.col(column) < THRESHOLD).select(*docs.columns)
 
 
 def verdicts(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 import random
+import re
 import zlib
 
+import numpy as np
+import pytest
+
 from reposift.llm import toxicity as tox
 
 
@@ -44,17 +48,90 @@ def test_no_labels_and_empty_tables(spark):
     assert tox.verdicts(d.limit(0), lab).count() == 0
 
 
-def test_clause_patterns():
-    grammar = tox.Grammar(map(tox.text_hash, ("idiot",)), ())
-    import numpy as np
+def test_merged_patterns_lose(spark):
+    """Insults aimed at somebody are labelled toxic, negated and reported ones are not; without the two transducers these are marked as well."""
+    rnd = random.Random(6)
+    plain = [f"{a}{b}" for a in ("ba", "ko", "mi", "ru", "te", "wo") for b in ("lan", "ner", "sit", "dop", "fam")]
+    docs, labels = [], []
+    for k in range(3000):
+        kind = rnd.choice(["none", "none", "aimed", "negated", "reported"])
+        clauses = [" ".join(rnd.choices(plain, k=rnd.randrange(4, 9))) for _ in range(8)]
+        for _ in range(2):
+            own = {"none": "", "aimed": "you grunk", "negated": "you are not a grunk", "reported": "he said you grunk"}[kind]
+            clauses.insert(rnd.randrange(9), f"{own} {rnd.choice(plain)}")
+        docs.append((k, ". ".join(clauses)))
+        labels.append((k, 1, int(kind == "aimed")))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = tox.learn(d, lab)
+    assert tox.text_hash("grunk") not in model.words  # as many clean documents hold it
+    model = tox.Model({**model.words, tox.text_hash("grunk"): 1.0}, model.stems, model.weights)
+    raw = [t.lower().encode() for _, t in docs]
+    offsets = np.append(0, np.cumsum([len(x) for x in raw]))
+    y = np.array([x[2] for x in labels])
+    lost = []
+    for machine in (None, tox.composed(1.0, 1.0)):
+        x = tox.features(*tox.Grammar(model.words, model.stems, machine).clauses(np.frombuffer(b"".join(raw), np.uint8), offsets))
+        lost.append(float(np.mean((x @ tox.fit(x, y) > 0) != (y == 1))))
+    assert lost[0] < 0.02 and lost[1] > 0.1
+
+
+def test_negated_and_reported_clauses_score_below_bare_ones():
+    scores = {}
+    for text in ("what an idiot", "you idiot", "idiot that you are", "he is not an idiot", "she said idiot", "i will kill you", "we kill time", "never kill you", "they wrote kill you", "you. idiot", "no reason at all to be an idiot"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        _, found, words = tox.Grammar({tox.text_hash("idiot"): 1.0}, {}).clauses(raw, np.array([0, len(raw)]))
+        scores[text] = found.sum()
+    assert scores["he is not an idiot"] < scores["what an idiot"] and scores["she said idiot"] < scores["what an idiot"]
+    assert scores["what an idiot"] < scores["you idiot"] == scores["idiot that you are"]
+    assert max(scores[x] for x in ("never kill you", "we kill time", "they wrote kill you")) < scores["i will kill you"] / 3
+    assert scores["you. idiot"] == scores["what an idiot"] == scores["no reason at all to be an idiot"]
+
+
+def brute(text, model):
+    """Score of a text with plain loops: clause by clause, word by word."""
+    text = (text or "").lower()
+    total, best, n = [0.0, 0.0], 0.0, len(tox.TOKEN.findall(text))
+    for clause in re.split("[.!?;:\n]", text):
+        found, aimed, reported, covered, waiting = [0.0, 0.0], False, False, 0, None
+        for word in tox.TOKEN.findall(clause):
+            raw = word.encode()
+            strength = max([model.words.get(tox.text_hash(word), 0.0)] + [model.stems.get(tox._bytes_hash(raw[:k]), 0.0) for k in tox.STEMS if len(raw) >= k])
+            kind = "insult" if strength else next((k for k, x in (("report", tox.REPORTS), ("negation", tox.NEGATIONS), ("target", tox.TARGETS), ("threat", tox.THREATS)) if word in x), None)
+            scale = (tox.NEGATED if covered else 1) * (tox.REPORTED if reported else 1)
+            covered = tox.SCOPE if kind == "negation" else max(covered - 1, 0)
+            if kind == "report":
+                reported = True
+            elif kind in ("insult", "threat"):
+                k = int(kind == "threat")
+                found[k] += scale * (strength or 1) * (tox.AIMED[k] if aimed else tox.PLAIN[k])
+                waiting = waiting if aimed else k
+            elif kind == "target":
+                if waiting is not None and not aimed:
+                    found[waiting] += scale * (tox.AIMED[waiting] - tox.PLAIN[waiting])
+                aimed, waiting = True, None
+        total = [a + b for a, b in zip(total, found, strict=True)]
+        best = max(best, min(sum(found), 1))
+    x = [1, best, np.log1p(total[0]), np.log1p(total[1]), np.sqrt(sum(total) / max(n, 1))]
+    return 1 / (1 + np.exp(-np.dot(x, model.weights)))
+
+
+def test_same_as_brute_force(spark):
+    rnd = random.Random(11)
+    stock = ["Idiot", "idiots", "grumbelix", "snarkle", "you", "du", "not", "nie", "said", "kill", "tuer", "plain", "wörd", "x1", "é"]
+    model = tox.Model({tox.text_hash("idiot"): 1.0, tox.text_hash("snarkle"): 0.4}, {tox.text_hash("grumb"): 0.7, tox.text_hash("idio"): 0.2}, (-3.0, 2.0, 1.5, 0.7, 2.0))
+    texts = ["".join(rnd.choice(stock) + rnd.choice([" ", " ", " ", ", ", ". ", "! ", "\n", ";"]) for _ in range(rnd.randrange(0, 60))) for _ in range(150)]
+    texts += [None, "", ".", "snarkle", "you " * 50 + "idiot", texts[0], "plain " * 300_000 + "you idiot. " + "plain " * 10]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(None, texts[3], "y")], "doc_id long, text string, score string").repartition(4)
+    got = tox.score(df, model)
+    assert got.columns == ["doc_id", "text", "score"]
+    for r in got.collect():
+        assert r.score == pytest.approx(brute(texts[3 if r.doc_id is None else r.doc_id], model), abs=1e-9)
 
-    def run(text):
-        raw = np.frombuffer(text.lower().encode(), np.uint8)
-        counts, _ = grammar.patterns(raw, np.array([0, len(raw)]))
-        return {p: int(c) for p, c in zip(tox.PATTERNS, counts[0], strict=True) if c}
 
-    assert run("what an idiot") == {"insult": 1}
-    assert run("you idiot. i will kill you") == {"aimed_insult": 1, "aimed_threat": 1}
-    assert run("he is not an idiot") == {"negated_insult": 1}
-    assert run("she said idiot") == {"reported_insult": 1}
-    assert run("you. idiot") == {"insult": 1}
+def test_clean_keeps_columns_of_any_name(spark):
+    docs, labels, bad = corpus(1200)
+    d = spark.createDataFrame([(k, t, k, "a") for k, t in docs] + [(None, None, 1, "b"), (docs[0][0], docs[0][1], 7, "c")], "doc_id long, text string, __score int, __SCORE_ string")
+    kept = tox.clean(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == d.columns
+    got = {(r.doc_id, r["__score"]) for r in kept.collect()}
+    assert (None, 1) in got and all((k, k) in got for k, _ in docs if k not in bad)
