@@ -41,13 +41,13 @@ ENDING = 3
 CLASS = 32
 CLASSES = WORDS // CLASS
 #: Context places on each side, and hidden units.
-SIDE, HIDDEN = 2, 32
+SIDE, HIDDEN = 2, 24
 #: Number that stands outside a document.
 EDGE = WORDS
 #: Steps of one pass, passes, and the size of the first steps (it falls to a tenth).
 ROUNDS, PASSES, RATE = 16, 2, 0.1
 #: Words that one numpy pass takes, and different words that a task counts before it passes them on.
-CHUNK, HELD_WORDS = 1 << 15, 500_000
+CHUNK, HELD_WORDS = 1 << 13, 500_000
 #: What a counted word is more than its count, and a word that was never counted in all.
 UNSEEN = 0.5
 #: Weights in one row of what tasks send.
@@ -104,16 +104,28 @@ def contexts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _soft(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+def _log_shares(logits: np.ndarray) -> np.ndarray:
+    """Log-probabilities of each column, in place of the logits."""
+    logits -= logits.max(0)
+    logits -= np.log(np.exp(logits).sum(0))
+    return logits
+
+
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Probabilities of each column, in place of the logits."""
+    logits -= logits.max(0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(0)
+    return logits
 
 
 def _hidden(w: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    total = w["table"][0][around[0]] + w["bias"]
+    """Hidden units (rows) of each word (columns)."""
+    total = w["table"][0][around[0]]
     for k in range(1, len(around)):
         total += w["table"][k][around[k]]
-    return np.tanh(total)
+    total += w["bias"]
+    return np.tanh(np.ascontiguousarray(total.T))
 
 
 def _by_class(own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -131,9 +143,9 @@ def log_probs(w: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -
         own, near = words[lo : lo + CHUNK], around[:, lo : lo + CHUNK]
         order, classes = _by_class(own)
         own, h, n = own[order], _hidden(w, near[:, order]), np.arange(len(own))
-        found = _soft(h @ w["class_w"] + w["class_b"])[n, own // CLASS].astype(float)
+        found = _log_shares(w["class_w"].T @ h + w["class_b"][:, None])[own // CLASS, n].astype(float)
         for c, a, b in classes:
-            found[a:b] += _soft(h[a:b] @ w["word_w"][c] + w["word_b"][c])[n[: b - a], own[a:b] % CLASS]
+            found[a:b] += _log_shares(w["word_w"][c].T @ h[:, a:b] + w["word_b"][c][:, None])[own[a:b] % CLASS, n[: b - a]]
         out[lo + order] = found
     return out
 
@@ -150,19 +162,20 @@ def _add_gradient(out: dict[str, np.ndarray], w: dict[str, np.ndarray], own: np.
     order, classes = _by_class(own)
     own, near, k = own[order], near[:, order], np.arange(len(own))
     h = _hidden(w, near)
-    miss = np.exp(_soft(h @ w["class_w"] + w["class_b"]))
-    miss[k, own // CLASS] -= 1
-    back = miss @ w["class_w"].T
-    out["class_w"] += h.T @ miss
-    out["class_b"] += miss.sum(0)
+    miss = _shares(w["class_w"].T @ h + w["class_b"][:, None])
+    miss[own // CLASS, k] -= 1
+    back = w["class_w"] @ miss
+    out["class_w"] += h @ miss.T
+    out["class_b"] += miss.sum(1)
     for c, a, b in classes:
-        part = np.exp(_soft(h[a:b] @ w["word_w"][c] + w["word_b"][c]))
-        part[k[: b - a], own[a:b] % CLASS] -= 1
-        back[a:b] += part @ w["word_w"][c].T
-        out["word_w"][c] += h[a:b].T @ part
-        out["word_b"][c] += part.sum(0)
+        part = _shares(w["word_w"][c].T @ h[:, a:b] + w["word_b"][c][:, None])
+        part[own[a:b] % CLASS, k[: b - a]] -= 1
+        back[:, a:b] += w["word_w"][c] @ part
+        out["word_w"][c] += h[:, a:b] @ part.T
+        out["word_b"][c] += part.sum(1)
     back *= 1 - h * h
-    out["bias"] += back.sum(0)
+    out["bias"] += back.sum(1)
+    back = np.ascontiguousarray(back.T)
     for place, names in enumerate(near):
         by_word = np.argsort(names, kind="stable")
         sorted_names = names[by_word]

@@ -1,19 +1,24 @@
 """URL filter: host and path rules first, then a weighted vocabulary.
 
-The vocabulary is searched with an Aho-Corasick automaton. A term counts only
-where no letter or digit stands directly before or after it. One strict term,
-or SOFT_LIMIT distinct soft terms, blocks the url.
+The vocabulary is searched with an Aho-Corasick automaton, once over all urls of
+a batch. A term counts only where no letter or digit stands directly before or
+after it; percent-encoded letters, digits and hyphens count as themselves. One
+strict term, or SOFT_LIMIT distinct soft terms, blocks the url.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reposift.llm.common import unused
+
 # The rules of the query, as (verdict, host, path).
 RULES = (
     ("allow", "org", "/"),
@@ -23,9 +28,22 @@ RULES = (
     ("block", "com", "/de/"),
 )
 # Terms of which one hit blocks.
-STRICT = ("adult", "casino", "cheap-pills", "escort", "free-bets", "hentai", "malware", "nude", "phishing", "porn", "sex", "spam", "spam-farm", "viagra", "warez", "xxx")
+STRICT = (
+    "adult", "bestiality", "blowjob", "camgirl", "camgirls", "casino", "casinos", "cheap-pills", "cialis", "cryptojacking", "cumshot", "darknet", "deepfake-porn", "doorway",
+    "dildo", "erotic", "erotica", "erotik", "escort", "escorts", "exploit-kit", "fetish", "free-bets", "fuck", "hardcore-sex", "hentai", "hookup", "incest", "keygen", "keylogger",
+    "levitra", "link-farm", "livesex", "malware", "masturbation", "milf", "naked", "nude", "nudes", "nsfw", "onlyfans", "orgasm", "payday-loans", "phentermine", "phishing",
+    "playboy", "poker", "porn", "porno", "pornhub", "pornstar", "pussy", "ransomware", "replica-watches", "roulette", "scam", "sex", "sexcam", "sexo", "sexshop", "sexy", "slots",
+    "slut", "spam", "spam-farm", "sportsbook", "spyware", "strip-club", "striptease", "swingers", "torrent-crack", "tramadol", "trojan", "viagra", "vibrator", "warez", "webcam-sex",
+    "whore", "xanax", "xvideos", "xxx",
+)
 # Terms that block when SOFT_LIMIT of them occur.
-SOFT = ("ads", "bet", "bets", "bonus", "cheap", "click", "deal", "deals", "farm", "free", "gamble", "loan", "lottery", "pills", "popup", "prize", "promo", "track", "win", "x")
+SOFT = (
+    "ads", "affiliate", "amateur", "babes", "banner", "bet", "bets", "betting", "bingo", "bitcoin", "blackjack", "bonus", "cam", "cash", "cheap", "click", "clickbait", "coupon",
+    "coupons", "crack", "credit", "dating", "deal", "deals", "diet", "discount", "download", "earn", "fake", "farm", "followers", "forex", "free", "gamble", "gambling", "girls",
+    "hack", "hot", "jackpot", "kiss", "lingerie", "loan", "loans", "lottery", "lotto", "lucky", "mature", "miracle", "money", "offer", "offers", "paid", "partner", "payday", "pharmacy",
+    "pill", "pills", "popup", "popunder", "prize", "prizes", "promo", "redirect", "replica", "rich", "sale", "serial", "singles", "slot", "sponsored", "spin", "sweepstakes", "teen",
+    "toplist", "torrent", "track", "tracker", "traffic", "unlimited", "vip", "voucher", "wager", "weight-loss", "win", "winner", "x",
+)
 SOFT_LIMIT = 2
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,24 +59,38 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 @lru_cache(4)
 def automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
+    """Finds the number (soft terms first) and length of each term."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for term in (*soft, *strict):
-        found.add_word(term, (term, term in strict))
+    for number, term in enumerate((*soft, *strict)):
+        found.add_word(term, (number, len(term)))
     found.make_automaton()
     return found
 
 
-def hits(url: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[int, int]:
-    """Numbers of distinct strict and soft terms that stand alone in the url."""
-    low = url.translate(str.maketrans(UPPER, LOWER))
-    plain = lambda k: 0 <= k < len(low) and low[k].isascii() and low[k].isalnum()
-    strong, weak = set(), set()
-    for end, (term, is_strict) in automaton(strict, soft).iter(low):
-        if not plain(end + 1) and not plain(end - len(term)):
-            (strong if is_strict else weak).add(term)
-    return len(strong), len(weak)
+ENCODED = re.compile(r"%(2d|3[0-9]|[46][1-9a-f]|[57][0-9a])")
+
+
+def plain(urls: str) -> str:
+    """Urls with A-Z lowered and percent-encoded letters, digits and hyphens decoded once."""
+    low = urls.translate(str.maketrans(UPPER, LOWER))
+    return ENCODED.sub(lambda m: chr(int(m[1], 16)).lower(), low) if "%" in low else low
+
+
+def count_hits(urls: list[str], strict: tuple[str, ...], soft: tuple[str, ...]) -> np.ndarray:
+    """Numbers of distinct strict and soft terms that stand alone in each url (urls x 2); one pass of the automaton over all of them."""
+    text = plain("\n".join(x.replace("\n", " ") for x in urls))
+    found = [(end, number, size) for end, (number, size) in automaton(strict, soft).iter(text)]
+    if not found:
+        return np.zeros((len(urls), 2), np.int32)
+    end, number, size = np.array(found, np.int64).T
+    chars = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
+    word = ((chars >= 48) & (chars <= 57)) | ((chars >= 97) & (chars <= 122))
+    alone = ~word[end + 2] & ~word[end - size + 1]
+    row = np.searchsorted(np.flatnonzero(chars == 10), end + 1)  # line breaks before the hit
+    once = np.unique(np.stack((row, number), 1)[alone], axis=0)
+    return np.stack([np.bincount(once[(once[:, 1] < len(soft)) == is_soft, 0], minlength=len(urls)) for is_soft in (False, True)], 1).astype(np.int32)
 
 
 def score_urls(df: DataFrame, url: str = "url", strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> DataFrame:
@@ -73,9 +105,10 @@ def score_urls(df: DataFrame, url: str = "url", strict: tuple[str, ...] = STRICT
     @F.pandas_udf("n_strict int, n_soft int")
     def count(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in urls:
-            yield pd.DataFrame([hits(x or "", strict, soft) for x in part], columns=["n_strict", "n_soft"], dtype="int32")
+            yield pd.DataFrame(count_hits(part.fillna("").tolist(), strict, soft), columns=["n_strict", "n_soft"])
 
-    return df.withColumn("__hits", count(F.col(url))).withColumns({"n_strict": F.col("__hits.n_strict"), "n_soft": F.col("__hits.n_soft")}).drop("__hits")
+    hits = unused(df, "hits")
+    return df.withColumn(hits, count(F.col(url))).withColumns({"n_strict": F.col(f"{hits}.n_strict"), "n_soft": F.col(f"{hits}.n_soft")}).drop(hits)
 
 
 def judge_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
@@ -102,9 +135,11 @@ def oracle() -> str:
     ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"WHEN {fits(a, p)} THEN '{a}{p}'" for _, a, p in ranked)
     verdict = " ".join(f"WHEN {fits(a, p)} THEN '{v}'" for v, a, p in ranked)
+    # Letters before digits, so that nothing is decoded twice.
+    codes = "[" + ", ".join(f"'{x:02x}'" for x in (*range(0x7A, 0x60, -1), *range(0x5A, 0x40, -1), 0x2D, *range(0x30, 0x3A))) + "]"
     return f"""
 WITH cut AS (
-  SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low,
+  SELECT page_id, list_reduce({codes}, lambda x, c: replace(x, '%' || c, lower(chr(('0x' || c)::INTEGER))), translate(coalesce(url, ''), '{UPPER}', '{LOWER}')) AS low,
     CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
   SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
