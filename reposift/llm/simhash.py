@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.common import checkpointed, text_blocks
+from reposift.llm.common import checkpointed, text_blocks, unused
 from reposift.llm.components import connected_components, forest
 
 BITS = 64
@@ -245,6 +245,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def digests(documents: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row; null and empty texts have the fingerprint zero, repeated rows stay."""
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -252,8 +253,10 @@ def first_of_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """The rows whose doc_id is the smallest of its group of near-duplicates.
 
     Rows with one doc_id stand or fall together; rows without doc_id stay, as
-    no other row can name them.
+    no other row can name them. Null and empty texts have the fingerprint zero
+    and are one group. All columns stay; an empty table stays empty.
     """
     found = near_duplicates(df.where(F.col(doc_id).isNotNull()), doc_id, text, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone.hint("shuffle_hash"), F.col(doc_id) == F.col("__gone"), "left_anti").select(*df.columns)
+    name = unused(df, "gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone.hint("shuffle_hash"), F.col(doc_id) == F.col(name), "left_anti").select(*df.columns)

@@ -48,6 +48,21 @@ def test_documents(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_first_of_groups_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    df = spark.createDataFrame([(1, text, "a", 1), (2, text, "b", 2), (2, text, "c", 3), (3, None, "d", 4), (None, text, "e", 5)], "doc_id long, text string, __gone string, __GONE_ int")
+    kept = simhash.first_of_groups(df, shingle=5, distance=6)
+    assert kept.columns == df.columns and sorted(r["__gone"] for r in kept.collect()) == ["a", "d", "e"]
+    assert simhash.first_of_groups(df.limit(0)).count() == 0
+
+
+def test_a_text_longer_than_a_block(spark):
+    text = " ".join(f"w{k % 5000}" for k in range(300_000))
+    df = spark.createDataFrame([(1, text), (2, "short text here"), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.digests(df).collect()}
+    assert got[1] == (fingerprint(text), 1) and got[3] == (fingerprint(text), 1) and got[2][1] == 2
+
+
 def test_links_of_clusters_with_any_plan(spark, monkeypatch):
     rnd = np.random.default_rng(4)
     centres = rnd.integers(0, 1 << 63, 12, dtype=np.uint64)
