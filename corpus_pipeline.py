@@ -5,7 +5,8 @@ of docs; the last one adds the ids. Stages only drop documents or edit texts:
 
 - toxicity: documents predicted toxic go;
 - line_dedup: repeated runs of lines go from the texts, n_chars follows;
-- simhash: of each group of near-duplicates the smallest doc_id stays;
+- simhash: of each group of near-duplicates the smallest doc_id stays. Fingerprints
+  are over five words and link at NEAR_BITS differing bits;
 - decontamination: documents with a verified overlap with a benchmark item go;
 - bpe: ids are added, and text is what decoding the ids gives.
 
@@ -19,34 +20,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reposift.llm import bpe, decontam, lines, simhash, toxicity
-from reposift.llm.common import checkpointed, load
+from reposift.llm.common import checkpointed, load, unused
 from reposift.llm.registry import vocabulary
 
 #: SQL cannot express the learned and the hashed stages; the tests hold each against brute force.
 ORACLE_SQL = None
 
 
+#: Words of a shingle, and differing bits of 64, of a near copy. What shares four fifths of its shingles differs in some ten
+#: bits; links at ten would join unlike texts by chance in a large corpus, so the stage finds the closer ones (see README).
+SHINGLE, NEAR_BITS = 5, 6
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents not predicted toxic; null and empty texts and rows without id stay."""
     return toxicity.clean(docs, load(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = lines.dedup_lines(docs, removed="__removed")
-    return done.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, without the runs of lines that stand earlier too; n_chars is the new length where lines went."""
+    removed = unused(docs, "removed")
+    done = lines.dedup_lines(docs, removed=removed)
+    return done.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_groups(docs)
+    """The smallest doc_id of each group of near-duplicates; rows without id stay, null and empty texts are one group."""
+    return simhash.first_of_groups(docs, shingle=SHINGLE, distance=NEAR_BITS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a verified overlap with a benchmark item, each row judged by its text."""
     return decontam.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = bpe.encode(docs, *vocabulary(), ids="ids", decoded="__decoded")
-    text = F.when(F.col("text").isNotNull(), F.decode("__decoded", "UTF-8"))
-    return done.withColumn("text", text).withColumn("n_tokens", F.size("ids").cast("long")).select(*docs.columns, "n_tokens", "ids")
+    """All documents with n_tokens and ids; text is what decoding the ids gives (null stays null, with no ids). Columns of the new names are replaced."""
+    plain = docs.drop("ids", "n_tokens")
+    decoded = unused(plain, "decoded")
+    done = bpe.encode(plain, *vocabulary(), ids="ids", decoded=decoded)
+    text = F.when(F.col("text").isNotNull(), F.decode(decoded, "UTF-8"))
+    return done.withColumn("text", text).withColumn("n_tokens", F.size("ids").cast("long")).select(*plain.columns, "n_tokens", "ids")
 
 
 STAGES = [

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as browsers trim it: ASCII, no-break, byte-order mark and the Unicode spaces and line ends.
 WS = r"[\s\x0B ﻿  -     　]"
+#: A character that is none of these.
+INK = WS.replace("[", "[^", 1)
 
 # Interface locales in order of preference.
 LOCALES = ("en", "zh-CN", "zh-TW", "ja", "ko", "de", "fr", "es", "pt-BR", "ru", "vi")
@@ -25,6 +27,11 @@ def trim_end(text: Column) -> Column:
     return F.regexp_replace(text, rf"{WS}+\z", "")
 
 
+def has_ink(text: Column) -> Column:
+    """Whether anything is left when the text is trimmed; looks no further than the first such character."""
+    return F.coalesce(F.regexp_like(text, F.lit(INK)), F.lit(False))
+
+
 def present(text: Column) -> Column:
     """Neither null nor empty."""
     return F.coalesce(F.length(text) > 0, F.lit(False))

@@ -99,22 +99,34 @@ def normalize_language(label: Column) -> Column:
     return F.try_element_at(table, text.trim(F.lower(label)))
 
 
-def window_chunks(files: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Overlapping windows of lines; the last one ends with the file; an empty file has none. No shuffle."""
+def _window_spans(lines: Column, size: int, overlap: int) -> Column:
+    """(start, end, kind, header) of overlapping windows of lines, from 0 on and without end; the last one ends with the file."""
     if overlap >= size:
         raise ValueError("overlap must be below size")
-    stride = size - overlap
+    stride, n = size - overlap, F.size(lines)
+    windows = F.when(n <= size, 1).otherwise(F.ceil((n - size) / stride) + 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), windows - 1), lambda k: _span(k * stride, F.least(k * stride + size, n), F.lit("window"), F.lit("")))
+
+
+def _span(start: Column, end: Column, kind: Column, header: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), kind.alias("kind"), header.alias("header"))
+
+
+def _cut(files: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per span of files (__lines, __spans): a file is one row, so nothing is shuffled."""
+    # The outer form: with the plain one the optimizer works the spans out a second time, to drop files without any at the scan.
+    each = files.select(*columns, "__lines", F.posexplode_outer("__spans").alias("part", "__span")).where("__span IS NOT NULL")
+    start, end = F.col("__span.start"), F.col("__span.end")
+    return each.select(
+        *columns, "part", F.array_join(F.slice("__lines", start + 1, end - start), "\n").alias("text"),
+        (start + 1).alias("start_line"), end.alias("end_line"), F.col("__span.kind").alias("kind"), F.col("__span.header").alias("header_line"),
+    )
+
+
+def window_chunks(files: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """Overlapping windows of lines; the last one ends with the file; an empty file has none. No shuffle."""
     lines = files.where("content <> ''").withColumn("__lines", F.split("content", "\n"))
-    n = F.size("__lines")
-    windows = F.when(n <= size, 1).otherwise(F.ceil((n - size) / stride) + 1)
-    chunks = lines.withColumn("part", F.explode(F.sequence(F.lit(0), windows.cast("int") - 1)))
-    start = F.col("part") * stride
-    return chunks.select(
-        *files.columns, "part",
-        F.array_join(F.slice("__lines", start + 1, F.lit(size)), "\n").alias("text"),
-        (start + 1).alias("start_line"), F.least(start + size, n).alias("end_line"),
-        F.lit("window").alias("kind"), F.lit("").alias("header_line"),
-    ).drop("content")
+    return _cut(lines.withColumn("__spans", _window_spans(F.col("__lines"), size, overlap)), [x for x in files.columns if x != "content"])
 
 
 def header_kind(line: Column, language: Column) -> Column:
@@ -128,39 +140,42 @@ def header_kind(line: Column, language: Column) -> Column:
     return out
 
 
+def _header_spans(lines: Column, heads: Column, max_lines: int) -> Column:
+    """(start, end, kind, header) of the sections from one header line (heads: line, kind) to the next, cut every max_lines lines."""
+
+    def section(head: Column, k: Column) -> Column:
+        line, stop = head["line"], F.coalesce(F.get(heads, k + 1)["line"], F.size(lines))
+        cut = lambda c: _span(line + c * max_lines, F.least(line + (c + 1) * max_lines, stop), head["kind"], F.when(c == 0, text.trim(F.get(lines, line))).otherwise(""))
+        return F.transform(F.sequence(F.lit(0), F.floor((stop - line - 1) / max_lines).cast("int")), cut)
+
+    return F.flatten(F.transform(heads, section))
+
+
+def _headed(files: DataFrame) -> DataFrame:
+    """files with __lines and __heads, the header lines of their language; each line is looked at once."""
+    lines = files.withColumn("__lines", F.split("content", "\n"))
+    kinds = F.transform("__lines", lambda x, i: F.struct(i.alias("line"), header_kind(x, F.col("language")).alias("kind")))
+    known = F.coalesce(F.col("language").isin(*HEADERS), F.lit(False))
+    return lines.withColumn("__heads", F.when(known, F.filter(kinds, lambda x: x["kind"].isNotNull())).otherwise(F.array().cast("array<struct<line:int,kind:string>>")))
+
+
 def header_chunks(files: DataFrame, max_lines: int = MAX_LINES, keys: tuple[str, ...] = ("repo_id", "path")) -> DataFrame:
     """Sections from one header line to the next, cut every max_lines lines; continuations have an empty header.
 
     Text before the first header is left out, and so are files without one. A
     section whose length is a multiple of max_lines ends there: no empty chunk
-    follows. One exchange by file serves the numbering and the grouping.
+    follows. Nothing is shuffled.
     """
-    lines = files.select(*keys, "language", F.posexplode(F.split("content", "\n")).alias("line", "value")).withColumn("kind", header_kind(F.col("value"), F.col("language")))
-    by_file = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumns({
-        "section": F.count("kind").over(by_file),
-        "first": F.last(F.when(F.col("kind").isNotNull(), F.struct("line", "kind", "value")), ignorenulls=True).over(by_file),
-    }).where("section > 0")
-    cut = F.floor((F.col("line") - F.col("first.line")) / max_lines)
-    chunks = marked.withColumn("cut", cut).groupBy(*keys, "section", "cut").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n").alias("text"),
-        (F.min("line") + 1).cast("int").alias("start_line"), (F.max("line") + 1).cast("int").alias("end_line"),
-        F.any_value("first.kind").alias("kind"), F.any_value("first.value").alias("header"),
-    )
-    part = F.row_number().over(Window.partitionBy(*keys).orderBy("start_line")) - 1
-    header = F.when(F.col("cut") == 0, text.trim(F.col("header"))).otherwise("")
-    return chunks.select(*keys, part.alias("part"), "text", "start_line", "end_line", "kind", header.alias("header_line"))
+    spans = _header_spans(F.col("__lines"), F.col("__heads"), max_lines)
+    return _cut(_headed(files).withColumn("__spans", spans), list(keys))
 
 
 def chunks(files: DataFrame, max_lines: int = MAX_LINES, size: int = WINDOW, overlap: int = OVERLAP, keys: tuple[str, ...] = ("repo_id", "path")) -> DataFrame:
-    """Header chunks of files in a known language that have a header, windows of all others."""
-    known = F.coalesce(F.col("language").isin(*HEADERS), F.lit(False))
-    matches = F.exists(F.split("content", "\n"), lambda x: header_kind(x, F.col("language")).isNotNull())
-    split = files.withColumn("__headed", known & F.when(known, matches).otherwise(F.lit(False)))
-    out = [*keys, "part", "text", "start_line", "end_line", "kind", "header_line"]
-    headed = header_chunks(split.where("__headed"), max_lines, keys)
-    windows = window_chunks(split.where("NOT __headed").drop("__headed"), size, overlap)
-    return headed.select(*out).unionByName(windows.select(*out))
+    """Header chunks of files in a known language (by name or any label for it) that have a header, windows of all others; one pass, no shuffle."""
+    found = _headed(files.where("content <> ''").withColumn("language", normalize_language(F.col("language"))))
+    lines, heads = F.col("__lines"), F.col("__heads")
+    spans = F.when(F.size(heads) > 0, _header_spans(lines, heads, max_lines)).otherwise(_window_spans(lines, size, overlap))
+    return _cut(found.withColumn("__spans", spans), list(keys))
 
 
 def chunk_rows(found: DataFrame, parity: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +149,23 @@ def manage_order(by: str, descending: bool = True, relevance: str = "relevance",
     return [F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), F.asc("id")]
 
 
+def places(rows: DataFrame, order: list[Column], by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """rows with place, from 1 on, in the order within each group of by (all rows together if by is empty). The order must be total.
+
+    Rows are dealt by ranges of (by, order), so that a user with very many
+    stars is shared out too; a table of one row per range and user then gives
+    the place of each range's first row.
+    """
+    keys = [F.col(x) for x in by]
+    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # Kept, so that counting and numbering see the same ranges.
+    held = ordered.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist(StorageLevel.DISK_ONLY)
+    spans = held.groupBy("__part", *by).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.select("__part", *by, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return held.join(starts, ["__part", *by]).withColumn("place", F.col("__at") + F.col("__shift") + 1).drop("__part", "__at", "__shift")
+
+
 def failed_names(failed: DataFrame, stars: DataFrame, shown: int = 3) -> DataFrame:
     """One row: names of the first failed stars (by ord) and how many more there are."""
     first = failed.orderBy("ord", "id").limit(shown).join(stars.select("id", "full_name"), "id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "full_name"))).alias("names"))

@@ -39,12 +39,14 @@ def search(vectors: DataFrame, query: list[float], limit: int = DEFAULT_LIMIT, w
 
 
 def _top(ids: np.ndarray, scores: np.ndarray, limit: int) -> np.ndarray:
-    if len(scores) > limit:  # everything that ties with the last place stays until ids decide
-        floor = -np.partition(-scores, limit - 1)[limit - 1]
-        keep = np.flatnonzero(scores >= floor)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:limit]
+    return np.lexsort((ids, -scores))[:limit]
+
+
+def _likely(scores: np.ndarray, limit: int) -> np.ndarray:
+    """Where the limit highest scores stand, and all that are as high but for rounding."""
+    if len(scores) <= limit:
+        return np.arange(len(scores))
+    return np.flatnonzero(scores >= -np.partition(-scores, limit - 1)[limit - 1] - 1e-9)
 
 
 def batch_search(queries: DataFrame, vectors: DataFrame, limit: int = DEFAULT_LIMIT, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -86,10 +88,13 @@ def _one_block(queries: DataFrame, vectors: DataFrame, limit: int, query_id: str
             if x.shape[1] != matrix.shape[1]:
                 raise ValueError(f"vectors of lengths {matrix.shape[1]} and {x.shape[1]}")
             size = np.linalg.norm(x, axis=1)
-            scores = matrix @ x.T / np.where(size == 0, 1, size)
+            x /= np.where(size == 0, 1, size)[:, None]
+            scores = matrix @ x.T
             ids = np.array(batch.column(0).to_pylist(), object)
             for q in range(len(keep)):
-                own_ids, own = np.append(best_ids[q], ids), np.append(best[q], scores[q])
+                # Products of matrices may round equal vectors apart; the few that matter are multiplied one by one.
+                some = _likely(scores[q], limit)
+                own_ids, own = np.append(best_ids[q], ids[some]), np.append(best[q], (x[some] * matrix[q]).sum(1))
                 top = _top(own_ids, own, limit)
                 best_ids[q], best[q] = own_ids[top], own[top]
         if any(len(x) for x in best):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ def _needs(has_text: Column, by_locale: Column, value: Column, locale: str) -> C
 
 
 def has_description() -> Column:
-    return F.coalesce(text.trim(F.col("description")) != "", F.lit(False))
+    return text.has_ink(F.col("description"))
 
 
 def description_needs(locale: str) -> Column:
@@ -113,17 +114,22 @@ def _unquoted(value: Column) -> Column:
     return out
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_translation(reply: Column) -> Column:
     """The translation in a reply: no label before it, first paragraph only, no note in brackets after it, no marks, no outer quotes; null if nothing or over MAX_LENGTH is left."""
     space = text.WS
     label = "(?iu)^(?:" + "|".join(x.replace(r"\s", space) for x in PREFIXES) + f"){space}*[:：]{space}*"
     peeled = reduce(lambda x, _: text.trim(F.regexp_replace(x, label, "")), range(4), text.trim(reply))
-    paragraph = F.regexp_extract(peeled, rf"(?s)^(.+?)\n{space}*\n", 1)
-    first = F.when(paragraph != "", paragraph).otherwise(peeled)
+    paragraph = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, rf"(?s)^(.+?)\n{space}*\n", 1), F.lit("")), x)
+    first = _bound(peeled, paragraph)
     note = rf"(?iu){space}*[(（][^()（）]*(?:{'|'.join(NOTE_WORDS)})[^()（）]*[)）]{space}*\z"
     plain = reduce(lambda x, m: F.regexp_replace(x, *m), MARKS, F.regexp_replace(first, note, ""))
-    done = text.trim(_unquoted(plain))
-    return F.when((done != "") & (F.length(done) <= MAX_LENGTH), done)
+    done = text.trim(_bound(plain, _unquoted))
+    return _bound(done, lambda x: F.when((x != "") & (F.length(x) <= MAX_LENGTH), x))
 
 
 def outcome(description_status: Column, tags_status: Column, planned: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reposift.functions import text
 from reposift.functions import vectors as V
-from reposift.operators import code_index, digest, embedding, failures, listing, search, sync, tagging, translate
+from reposift.operators import code_index, digest, embedding, failures, inference, listing, search, sync, tagging, translate
 from reposift.plans import fixtures as fx
 from reposift.sources import code as code_source
 from reposift.sources import stars as star_source
@@ -72,6 +72,14 @@ def s3_tag_rules(spark, sf_dir):
     return tags.select("*", F.array_join(star_source.violations(star_source.tag_rules()), ",").alias("broken"))
 
 
+@query("""SELECT user_id, known_count, CASE WHEN known_count < 0 AND user_id = 3 THEN 'known_count,updated_at' WHEN known_count < 0 THEN 'known_count' WHEN user_id = 3 THEN 'updated_at' ELSE '' END AS broken
+FROM (SELECT user_id, CASE WHEN user_id % 2 = 1 THEN -known_count ELSE known_count END AS known_count FROM cursors)""")
+def s3_cursor_rules(spark, sf_dir):
+    odd, never = F.col("user_id") % 2 == 1, F.lit(None).cast("timestamp")
+    rows = fx.cursors(spark, sf_dir).withColumns({"known_count": F.when(odd, -F.col("known_count")).otherwise(F.col("known_count")), "updated_at": F.when(F.col("user_id") == 3, never).otherwise(F.col("updated_at"))})
+    return rows.select("user_id", "known_count", F.array_join(star_source.violations(star_source.cursor_rules()), ",").alias("broken"))
+
+
 @query("""SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY pos) - 1 AS pos, path, type, size FROM tree""")
 def s4_tree(spark, sf_dir):
     entries = fx.tree(spark, sf_dir)
@@ -115,6 +123,12 @@ def y4_changed(spark, sf_dir):
     return sync.changed_only(touched, sync.fingerprints(old)).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT user_id, '2024-01-31 00:00:00' AS updated_at, {STAMP("CASE WHEN mode = 'full' THEN TIMESTAMP '2024-01-31' ELSE last_full_sync_at END")} AS last_full_sync_at FROM modes""")
+def y4_unchanged_cursors(spark, sf_dir):
+    done = sync.unchanged_cursors(sync.sync_mode(fx.cursors(spark, sf_dir), fx.now()), fx.now())
+    return done.select("user_id", stamp("updated_at").alias("updated_at"), stamp("last_full_sync_at").alias("last_full_sync_at"))
+
+
 @query("""SELECT i.user_id, i.id, i.stargazers_count, array_to_string(coalesce(e.ai_tags, i.ai_tags), '|') AS ai_tags, coalesce(e.user_note, i.user_note) AS user_note,
   coalesce(e.desc_zh, i.desc_zh) AS description_zh FROM incoming i LEFT JOIN existing e ON e.user_id = i.user_id AND e.id = i.id""")
 def y5_merge_local(spark, sf_dir):
@@ -312,7 +326,9 @@ def g3_profile(spark, sf_dir):
 SELECT user_id, count(*) AS known, count(*) FILTER (WHERE len(ai_tags) = 0) AS untagged, count(*) FILTER (WHERE deep_indexed) AS deep_indexed,
   count(*) FILTER (WHERE needs) AS untranslated, count(v.star_id) AS indexed FROM need LEFT JOIN star_vectors v ON v.star_id = need.id GROUP BY user_id""")
 def g4_status(spark, sf_dir):
-    counts = listing.status_counts(fx.user_stars(spark, sf_dir), fx.vectors(spark, sf_dir), translate.star_needs("zh-CN"))
+    # What a star needs does not depend on who keeps it: found once a star, before the join.
+    stars = fx.stars(spark, sf_dir).select("id", "ai_tags", "deep_indexed", translate.star_needs("zh-CN").alias("needs"))
+    counts = listing.status_counts(fx.user_pairs(spark, sf_dir).join(stars, "id"), fx.vectors(spark, sf_dir), F.col("needs"))
     return counts.select("user_id", *(n(x).alias(x) for x in ("known", "untagged", "deep_indexed", "untranslated", "indexed")))
 
 
@@ -354,30 +370,25 @@ def g8_strongest_error(spark, sf_dir):
     return failures.strongest(typed, "star_id")
 
 
-@query("SELECT id, row_number() OVER (ORDER BY pushed_at DESC NULLS LAST, id) AS place FROM stars ORDER BY place LIMIT 100")
+@query("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY pushed_at DESC NULLS LAST, id) AS place FROM user_stars")
 def w3_manage_sort(spark, sf_dir):
-    top = fx.stars(spark, sf_dir).orderBy(*listing.manage_order("pushed_at")).limit(100)
-    return _placed(top, listing.manage_order("pushed_at"))
-
+    return listing.places(fx.user_stars(spark, sf_dir).select("user_id", "id", "pushed_at"), listing.manage_order("pushed_at")).select("user_id", "id", "place")
 
-def _placed(top: DataFrame, order: list[Column]) -> DataFrame:
-    """(id, place) of a short sorted list."""
-    from pyspark.sql import Window
 
-    return top.select("id", n(F.row_number().over(Window.orderBy(*order))).alias("place"))
+@query("SELECT id, row_number() OVER (ORDER BY stargazers_count, id) AS place FROM stars")
+def w3_sort_of_all(spark, sf_dir):
+    return listing.places(fx.stars(spark, sf_dir).select("id", "stargazers_count"), listing.manage_order("stargazers_count", descending=False), by=()).select("id", "place")
 
 
-@query(PROFILE + """, near AS (SELECT s.id, CASE WHEN v.star_id IS NULL THEN '-infinity'::DOUBLE ELSE list_cosine_similarity(p.profile, v.vector) END AS rel
-  FROM user_stars s LEFT JOIN star_vectors v ON v.star_id = s.id JOIN profile p USING (user_id) WHERE s.user_id = (SELECT min(user_id) FROM events))
-SELECT id, row_number() OVER (ORDER BY rel, id) AS place FROM near""")
+@query(PROFILE + """, near AS (SELECT s.user_id, s.id, CASE WHEN v.star_id IS NULL THEN '-infinity'::DOUBLE ELSE list_cosine_similarity(p.profile, v.vector) END AS rel
+  FROM user_stars s LEFT JOIN star_vectors v ON v.star_id = s.id JOIN profile p USING (user_id))
+SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY rel, id) AS place FROM near""")
 def w3_relevance_sort(spark, sf_dir):
-    kept = fx.user_stars(spark, sf_dir)
-    first = fx.load(spark, sf_dir, "events").agg(F.min("user_id").alias("user_id"))
-    own = kept.join(first, "user_id", "left_semi")
+    kept = fx.user_stars(spark, sf_dir).select("user_id", "id")
     vectors = fx.star_vectors(spark, sf_dir).select(F.col("star_id").alias("id"), "vector")
-    scored = own.join(vectors, "id", "left").join(digest.profiles(own, fx.star_vectors(spark, sf_dir)), "user_id")
+    scored = kept.join(vectors, "id", "left").join(digest.profiles(kept, fx.star_vectors(spark, sf_dir)), "user_id")
     relevance = F.when(F.col("vector").isNotNull(), V.cosine(F.col("profile"), F.col("vector")))
-    return _placed(scored.withColumn("relevance", relevance), listing.manage_order("relevance", descending=False))
+    return listing.places(scored.select("user_id", "id", relevance.alias("relevance")), listing.manage_order("relevance", descending=False)).select("user_id", "id", "place")
 
 
 @query("SELECT id, kind, star_id, path FROM vectors")
@@ -397,13 +408,12 @@ def j6_failed_names(spark, sf_dir):
     return listing.failed_names(lost, fx.stars(spark, sf_dir))
 
 
-@query("""--with bundles AS (SELECT DISTINCT lang AS locale, words[1] AS key FROM base)
+@query("""--with bundles AS (SELECT DISTINCT lang AS locale, unnest(words) AS key FROM base)
 SELECT l.locale, k.key FROM (SELECT DISTINCT key FROM bundles WHERE locale = 'en') k, (SELECT DISTINCT locale FROM bundles WHERE locale <> 'en') l
 WHERE NOT EXISTS (SELECT 1 FROM bundles b WHERE b.locale = l.locale AND b.key = k.key)""")
 def j7_missing_keys(spark, sf_dir):
     docs = fx.load(spark, sf_dir, "documents")
-    bundles = docs.select(F.col("lang").alias("locale"), F.get(F.split(F.substring("text", 1, 60), " "), F.lit(0)).alias("key")).distinct()
-    return listing.missing_keys(bundles)
+    return listing.missing_keys(docs.select(F.col("lang").alias("locale"), F.explode(fx.words()).alias("key")).distinct())
 
 
 # Search
@@ -434,7 +444,7 @@ def v4_filtered_search(spark, sf_dir):
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@query("""--with ranked AS (SELECT vec_id AS query_id, v.id, list_cosine_similarity(v.vector, e.embedding::DOUBLE[]) AS score FROM vectors v, embeddings e WHERE vec_id < 5),
+@query("""--with ranked AS (SELECT vec_id AS query_id, v.id, list_cosine_similarity(v.vector, e.embedding::DOUBLE[]) AS score FROM vectors v, embeddings e WHERE vec_id % 50 = 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ranked)
 SELECT query_id, id, round(score, 6) AS score, rank FROM placed WHERE rank <= 10""")
 def v5_batch_search(spark, sf_dir):
@@ -542,6 +552,53 @@ def e3_worklist(spark, sf_dir):
     return embedding.worklist(embedding.star_inputs(fx.stars(spark, sf_dir)), fx.hashed_vectors(spark, sf_dir), "m1").select("star_id")
 
 
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """A model: the text's length as its only number; refuses a batch with a text whose length is a multiple of 13."""
+    if any(len(x) % 13 == 0 for x in texts):
+        raise inference.ModelError("bad_request", "length")
+    return [[float(len(x))] for x in texts]
+
+
+def _flaky() -> Callable[[list], list]:
+    """A model that answers at the third try if a text's length is odd, and at the first else."""
+    tries: dict[str, int] = {}
+
+    def answer(texts: list[str]) -> list[list[float]]:
+        for x in texts:
+            tries[x] = tries.get(x, 0) + 1
+            if len(x) % 2 and tries[x] % 3:
+                raise inference.ModelError("rate_limit")
+        return [[float(len(x))] for x in texts]
+
+    return answer
+
+
+@query("SELECT doc_id AS id, CASE WHEN length(text) % 13 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN length(text) % 13 = 0 THEN 'bad_request' END AS error_kind, CASE WHEN length(text) % 13 <> 0 THEN length(text) END AS length FROM documents")
+def e4_batches(spark, sf_dir):
+    rows = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("input"))
+    made = inference.infer(rows, _lengths, "input", "vector", "array<double>")
+    return made.select("id", "status", "error_kind", F.get("vector", F.lit(0)).cast("long").alias("length"))
+
+
+@query("SELECT doc_id AS id, 'done' AS status, CASE WHEN length(text) % 2 = 1 THEN 3 ELSE 1 END::BIGINT AS tries FROM documents")
+def e5_retries(spark, sf_dir):
+    rows = fx.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" "), F.lpad(F.col("doc_id").cast("string"), 11, "0")).alias("input"))
+    made = inference.infer(rows, _flaky(), "input", "vector", "array<double>", batch=1, sleep=_no_wait)
+    return made.select("id", "status", n("tries").alias("tries"))
+
+
+def _no_wait(seconds: float) -> None:
+    """The registered query tests the tries, not the waiting."""
+
+
+@query(f"""SELECT 'star:' || (doc_id + 1) AS id, 'star' AS kind, doc_id + 1 AS star_id, 'm2' AS model, '2024-01-31 00:00:00' AS embedded_at, length(text)::DOUBLE AS norm FROM documents WHERE length(text) % 13 <> 0""")
+def e7_vector_rows(spark, sf_dir):
+    key = (F.col("doc_id") + 1).cast("string")
+    rows = fx.load(spark, sf_dir, "documents").select(F.concat(F.lit("star:"), key).alias("id"), (F.col("doc_id") + 1).alias("star_id"), F.col("text").alias("input"))
+    made = embedding.vector_rows(inference.infer(rows, _lengths, "input", "vector", "array<float>"), "m2", fx.now())
+    return made.select("id", "kind", "star_id", "model", stamp("embedded_at").alias("embedded_at"), "norm")
+
+
 @query(f"SELECT coalesce({KIND}, 'ok') AS outcome, count(*) AS n FROM call_log GROUP BY 1")
 def e6_outcomes(spark, sf_dir):
     kind = F.coalesce(failures.model_outcome(F.col("http_status")), F.lit("ok"))
@@ -620,7 +677,8 @@ def c6_semantic(spark, sf_dir):
 @query(_sections(80) + f"""SELECT repo_id, 'py' AS form, part, start_line, end_line FROM filled
 UNION ALL SELECT repo_id, 'txt', part, start_line, end_line FROM {_windows(40, 10)}""")
 def c7_dispatch(spark, sf_dir):
-    found = code_index.chunks(fx.python_files(spark, sf_dir).unionByName(fx.plain_files(spark, sf_dir)))
+    labelled = fx.python_files(spark, sf_dir).withColumn("language", F.lit(" Python"))  # a label, not a name that is looked up as it is
+    found = code_index.chunks(labelled.unionByName(fx.plain_files(spark, sf_dir)))
     form = F.substring_index("path", ".", -1)
     return found.select("repo_id", form.alias("form"), n("part").alias("part"), n("start_line").alias("start_line"), n("end_line").alias("end_line"))
 

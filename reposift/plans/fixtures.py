@@ -25,8 +25,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _words() -> Column:
-    return F.slice(F.split(F.substring("text", 1, 60), " "), 1, 3)
+def words() -> Column:
+    """Some of the text's words, whole text through: those of 3, 10, 17 and so on characters."""
+    return F.filter(F.split("text", " "), lambda x: F.length(x) % 7 == 3)
 
 
 def _map(flag: Column, value: Column) -> Column:
@@ -43,11 +44,11 @@ def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("source", F.lit("/doc-"), k.cast("string"))
     description = (
         F.when(k % 17 == 0, F.lit(None).cast("string"))
-        .when(k % 19 == 1, F.concat(F.lit("异步 "), F.substring("text", 1, 200)))
-        .when(k % 19 == 2, F.concat(F.lit("Среда "), F.substring("text", 1, 200)))
-        .otherwise(F.substring("text", 1, 300))
+        .when(k % 19 == 1, F.concat(F.lit("异步 "), F.col("text")))
+        .when(k % 19 == 2, F.concat(F.lit("Среда "), F.col("text")))
+        .otherwise(F.col("text"))
     )
-    tags = F.when(k % 4 == 0, none).otherwise(_words())
+    tags = F.when(k % 4 == 0, none).otherwise(words())
     return d.select(
         F.lit(1).alias("schema_version"), (k + 1).alias("id"), name.alias("full_name"), F.concat(F.lit("https://example.org/"), name).alias("html_url"),
         F.col("source").alias("owner_login"), F.lit(None).cast("string").alias("owner_avatar_url"), description.alias("description"),
@@ -56,17 +57,21 @@ def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce("toxic", F.lit(0)) == 1).alias("archived"), (k % 9 == 0).alias("is_fork"), F.lit("2024-01-30").cast("timestamp").alias("last_synced_at"),
         tags.alias("ai_tags"), F.lit(None).cast("string").alias("ai_summary"), F.when(k % 10 == 0, F.concat(F.lit("note "), k.cast("string"))).alias("user_note"),
         never.alias("last_embedded_at"), F.lit(False).alias("subscribed_to_releases"), (k % 8 == 0).alias("deep_indexed"),
-        _map(k % 7 == 0, F.concat(F.lit("译 "), F.substring("text", 1, 20))).alias("description_i18n"), empty.alias("ai_summary_i18n"),
-        _map(k % 6 == 0, F.concat(F.lit("标签, "), F.array_join(_words(), " ,"))).alias("ai_tags_i18n"), never.alias("last_translated_at"),
+        _map(k % 7 == 0, F.concat(F.lit("译 "), F.col("text"))).alias("description_i18n"), empty.alias("ai_summary_i18n"),
+        _map(k % 6 == 0, F.concat(F.lit("标签, "), F.array_join(words(), " ,"))).alias("ai_tags_i18n"), never.alias("last_translated_at"),
         F.when(k % 8 == 0, F.lit("2024-01-15").cast("timestamp")).alias("last_deep_indexed_at"),
     )
 
 
+def user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, id): who keeps which star."""
+    n = load(spark, sf_dir, "documents").count()
+    return load(spark, sf_dir, "events").select("user_id", (F.col("event_id") % n + 1).alias("id")).distinct()
+
+
 def user_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stars as kept by many users, with user_id."""
-    n = load(spark, sf_dir, "documents").count()
-    pairs = load(spark, sf_dir, "events").select("user_id", (F.col("event_id") % n + 1).alias("id")).distinct()
-    return pairs.join(stars(spark, sf_dir), "id")
+    return user_pairs(spark, sf_dir).join(stars(spark, sf_dir), "id")
 
 
 def grouped_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +93,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
     fresh = fresh.withColumns({"ai_tags": F.coalesce("ai_tags", none), "deep_indexed": F.lit(False), "description_i18n": F.coalesce("description_i18n", empty), "ai_tags_i18n": F.coalesce("ai_tags_i18n", empty)})
     added = fresh.where("id <= 20").withColumn("id", F.col("id") + 999_999)
-    return fresh.where("(id - 1) % 10 <> 3").unionByName(added)
+    return fresh.where("(id - 1) % 9 <> 3").unionByName(added)
 
 
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +130,7 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -185,11 +190,11 @@ def trimmed(column: str) -> Column:
 
 #: The same tables in DuckDB SQL. Maps are one column per locale, vectors lists of doubles.
 VIEWS = """
-WITH base AS (SELECT d.*, coalesce(l.toxic, 0) AS toxic, string_split(substr(d.text, 1, 60), ' ')[1:3] AS words,
+WITH base AS (SELECT d.*, coalesce(l.toxic, 0) AS toxic, list_filter(string_split(d.text, ' '), lambda x: length(x) % 7 = 3) AS words,
     d.source || '/doc-' || d.doc_id AS name FROM documents d LEFT JOIN labels l USING (doc_id)),
 stars AS (SELECT doc_id + 1 AS id, name AS full_name, 'https://example.org/' || name AS html_url, source AS owner_login,
-    CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 1 THEN '异步 ' || substr(text, 1, 200)
-      WHEN doc_id % 19 = 2 THEN 'Среда ' || substr(text, 1, 200) ELSE substr(text, 1, 300) END AS description,
+    CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 1 THEN '异步 ' || text
+      WHEN doc_id % 19 = 2 THEN 'Среда ' || text ELSE text END AS description,
     CASE WHEN doc_id % 5 = 0 THEN []::VARCHAR[] ELSE [lang, source] END AS topics,
     CASE WHEN doc_id % 11 <> 0 THEN lang END AS language,
     TIMESTAMP '2024-01-01' + to_seconds((doc_id * 104729) % 2592000) AS starred_at,
@@ -197,14 +202,14 @@ stars AS (SELECT doc_id + 1 AS id, name AS full_name, 'https://example.org/' ||
     n_chars AS stargazers_count, toxic = 1 AS archived, doc_id % 9 = 0 AS is_fork, doc_id % 8 = 0 AS deep_indexed,
     CASE WHEN doc_id % 8 = 0 THEN TIMESTAMP '2024-01-15' END AS last_deep_indexed_at,
     CASE WHEN doc_id % 4 = 0 THEN []::VARCHAR[] ELSE words END AS ai_tags,
-    CASE WHEN doc_id % 7 = 0 THEN '译 ' || substr(text, 1, 20) END AS desc_zh,
+    CASE WHEN doc_id % 7 = 0 THEN '译 ' || text END AS desc_zh,
     CASE WHEN doc_id % 6 = 0 THEN '标签, ' || array_to_string(words, ' ,') END AS tags_zh,
     CASE WHEN doc_id % 10 = 0 THEN 'note ' || doc_id END AS user_note FROM base),
 user_stars AS (SELECT p.user_id, s.* FROM (SELECT DISTINCT user_id, event_id % (SELECT count(*) FROM documents) + 1 AS id FROM events) p JOIN stars s USING (id)),
 existing AS (SELECT (id - 1) % 5 AS user_id, * FROM stars WHERE (id - 1) % 10 <> 7),
 fresh AS (SELECT (id - 1) % 5 AS user_id, * REPLACE (stargazers_count + 1 AS stargazers_count, []::VARCHAR[] AS ai_tags, NULL::VARCHAR AS user_note,
     false AS deep_indexed, NULL::VARCHAR AS desc_zh, NULL::VARCHAR AS tags_zh, NULL::TIMESTAMP AS last_deep_indexed_at) FROM stars),
-incoming AS (SELECT * FROM fresh WHERE (id - 1) % 10 <> 3 UNION ALL SELECT * REPLACE (id + 999999 AS id) FROM fresh WHERE id <= 20),
+incoming AS (SELECT * FROM fresh WHERE (id - 1) % 9 <> 3 UNION ALL SELECT * REPLACE (id + 999999 AS id) FROM fresh WHERE id <= 20),
 cursors AS (SELECT user_id, CASE WHEN user_id <> 3 THEN TIMESTAMP '2024-01-10' END AS since, count(*) AS known_count,
     CASE user_id WHEN 1 THEN TIMESTAMP '2024-01-20' WHEN 2 THEN TIMESTAMP '2024-01-24' WHEN 3 THEN TIMESTAMP '2024-01-30'
       WHEN 4 THEN TIMESTAMP '2024-01-23 23:59:59' END AS last_full_sync_at FROM existing GROUP BY user_id),

@@ -24,15 +24,27 @@ def sync_job(tables: source.Snapshots, incoming: DataFrame, now: Column, force:
     if cursors is None:
         cursors = incoming.select("user_id", F.lit(None).cast("string").alias("etag"), F.lit(None).cast("timestamp").alias("since"), F.lit(None).cast("timestamp").alias("last_full_sync_at")).distinct()
     modes = sync.sync_mode(cursors, now, force)
+    # Users whose pull is the same as their last one keep everything; only their cursor moves.
+    prints, before = sync.fingerprints(incoming), tables.read("pulls")
+    same = prints.limit(0) if before is None or force else prints.join(before, ["user_id", "fingerprint", "n"], "left_semi")
+    same = tables.read("same_pulls", tables.write("same_pulls", same.select("user_id")))
+    pulls = prints if before is None else before.join(prints, "user_id", "left_anti").unionByName(prints)
+    idle, old_modes = (empty if existing is None else existing).join(same, "user_id", "left_semi"), modes
+    incoming, modes = incoming.join(same, "user_id", "left_anti"), modes.join(same, "user_id", "left_anti")
+    existing = None if existing is None else existing.join(same, "user_id", "left_anti")
     full = modes.where("mode = 'full'").select("user_id")
     # A full pull is taken whole; an incremental one is cut at the user's mark.
     cut = incoming.join(full, "user_id", "left_semi").unionByName(sync.incremental_cut(incoming.join(full, "user_id", "left_anti"), modes))
     merged = sync.reconcile(empty if existing is None else existing, cut, modes)
+    merged = merged.unionByName(idle.withColumn("action", F.lit("keep")), allowMissingColumns=True)
     version = tables.write("merged", merged)
     merged = tables.read("merged", version)
     tables.write("stars", merged.where("action <> 'delete'").drop("action"))
     report = sync.report(merged)
-    tables.write("cursors", sync.next_cursors(modes, cut, report, now))
+    moved = sync.unchanged_cursors(old_modes.join(same, "user_id", "left_semi"), now)
+    done = sync.next_cursors(modes, cut, report.join(same, "user_id", "left_anti"), now)
+    tables.write("cursors", done.unionByName(moved.select(*(x for x in done.columns if x in moved.columns)), allowMissingColumns=True))
+    tables.write("pulls", pulls)
     vectors = tables.read("vectors")
     if vectors is not None:
         tables.write("vectors", sync.cascade(vectors, tables.read("stars")))

@@ -45,7 +45,8 @@ def start(stream: DataFrame, snapshots: source.Snapshots, checkpoint: str, fetch
         merged, bad = merge_batch(snapshots.read("stars"), envelopes, fetched_at())
         snapshots.write("stars", merged)
         if not bad.isEmpty():
-            snapshots.write("quarantine", bad.select("user_id", "id", "violations"))
+            before, rows = snapshots.read("quarantine"), bad.select("user_id", "id", "violations")
+            snapshots.write("quarantine", rows if before is None else before.unionByName(rows))
         own = envelopes.sparkSession.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
         snapshots.write("batches", own if done is None else done.unionByName(own))
 

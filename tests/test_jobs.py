@@ -45,6 +45,19 @@ def test_sync_then_unstar_then_nothing(spark, tables):
     assert {r.user_id: r.since for r in tables.read("cursors").collect()}[2] == T0 + dt.timedelta(days=1)
 
 
+def test_a_pull_like_the_last_one_moves_only_the_cursor(spark, tables):
+    pull = frame(spark, star(1, 1, description="bees and buzz"), star(1, 2, description="zebra zoo"), star(2, 1, description="new text"), star(2, 3, description="kayak"))
+    before = {r.user_id: r for r in tables.read("cursors").collect()}
+    report = {r.user_id: r for r in jobs.sync_job(tables, pull, at(25)).collect()}
+    assert (report[1].inserted, report[1].updated, report[1].deleted, report[1].known) == (0, 0, 0, 2) and report[2].updated == 2
+    after = {r.user_id: r for r in tables.read("cursors").collect()}
+    assert after[1].since == before[1].since and after[1].known_count == before[1].known_count
+    assert after[1].updated_at == after[1].last_full_sync_at == after[2].last_full_sync_at > before[1].last_full_sync_at  # a full pull was due
+    assert {(r.user_id, r.id) for r in tables.read("stars").collect()} == {(1, 1), (1, 2), (2, 1), (2, 3)}
+    again = {r.user_id: r for r in jobs.sync_job(tables, pull, at(26)).collect()}
+    assert all((r.inserted, r.updated, r.deleted) == (0, 0, 0) for r in again.values()) and len(again) == 2
+
+
 def test_embed_search_digest(spark, tables):
     first = jobs.embed_job(tables, fake_embed(), "m", at(11))
     assert first.count() == 3  # a repository kept by two users is embedded once

@@ -255,3 +255,24 @@ def test_missing_keys_of_over_a_thousand_locales(spark):
     got = listing.missing_keys(spark.createDataFrame(rows, "locale string, key string"))
     assert {tuple(r) for r in got.collect()} == {(f"l{k}", "b") for k in range(1100)}
     assert listing.missing_keys(spark.createDataFrame([("en", "a")], "locale string, key string")).count() == 0
+
+
+def test_places_of_a_hot_user_over_many_ranges(spark):
+    rows = [(1 if k % 3 else k % 7 + 2, k, None if k % 11 == 0 else k * 7919 % 50) for k in range(600)]
+    df = spark.createDataFrame(rows, "user_id long, id long, stars long").repartition(5)
+    order = [F.desc_nulls_last("stars"), F.asc("id")]
+    ranked = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+    want, seen = {}, {}
+    for user, id, _ in ranked:
+        seen[user] = seen.get(user, 0) + 1
+        want[user, id] = seen[user]
+    assert {(r.user_id, r.id): r.place for r in listing.places(df, order).collect()} == want
+    assert {r.id: r.place for r in listing.places(df, order, by=()).collect()} == {r[1]: k + 1 for k, r in enumerate(ranked)}
+    assert listing.places(df.limit(0), order).count() == 0
+
+
+def test_labels_of_languages_are_normalised_before_chunking(spark):
+    code = "import x\ndef f():\n    return 1\n"
+    files = spark.createDataFrame([(1, "a", code, " Python"), (2, "b", code, "py"), (3, "c", code, "Cobol"), (4, "d", code, None), (5, "e", "", "python")], "repo_id long, path string, content string, language string")
+    got = {(r.repo_id, r.kind, r.start_line, r.end_line) for r in code_index.chunks(files).collect()}
+    assert got == {(1, "function", 2, 4), (2, "function", 2, 4), (3, "window", 1, 4), (4, "window", 1, 4)}
