@@ -6,9 +6,11 @@ of text, wherever its copies stand:
 
 1. Of every window of `length` bytes the gram with the smallest hash is its
    anchor. Equal windows have equal anchors, so they meet under the anchor's hash.
-2. All windows that share an anchor make one string around it. Strings that are
-   equal byte for byte are one string with several places: at all places but the
-   first, every window is a repetition. Anchors with one place are dropped.
+2. All windows that share an anchor make one string around it. Strings of one
+   anchor with the same 64-bit hash are one string with several places: at all
+   places but the first, every window is a repetition. Their bytes are not
+   compared; two different strings of one anchor are mistaken with a chance of
+   2**-64 a pair. Anchors with one place are dropped.
 3. The different strings of an anchor (they meet where a repetition begins or
    ends) are put in a suffix array by linear grouping. Neighbours in it share
    windows; the window at the smallest place stays, the others are repetitions.
