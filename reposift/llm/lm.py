@@ -95,12 +95,13 @@ def first_weights(counts: np.ndarray) -> np.ndarray:
 
 def contexts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Number at each context place of each word (places x words); EDGE outside the word's row."""
-    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    at = np.arange(len(words))
-    out = np.full((len(SHAPE.places), len(words)), EDGE, np.int16)
+    n = len(words)
+    out = np.full((len(SHAPE.places), n), EDGE, np.int16)
     for k, shift in enumerate(SHAPE.places):
-        inside = (at + shift >= rows[row]) & (at + shift < rows[row + 1])
-        out[k, inside] = words[at[inside] + shift]
+        out[k, max(-shift, 0) : max(n - max(shift, 0), 0)] = words[max(shift, 0) : max(n + min(shift, 0), 0)]
+        for step in range(abs(shift)):  # the row's first or last words look beyond it
+            at = rows[:-1] + step if shift < 0 else rows[1:] - 1 - step
+            out[k, at[(at >= rows[:-1]) & (at < rows[1:])]] = EDGE
     return out
 
 
