@@ -5,13 +5,18 @@ correlated ones stand together; each group gets a threshold (-1: not probed)
 such that a pair within the whole distance is within the threshold of a group
 at least. A dynamic programme picks the thresholds by the candidates expected
 from bit counts over all fingerprints. Equal fingerprints are one node.
+
+A sketch may have several fingerprints, from hashes made anew out of one hash of
+each shingle. Then every fingerprint is searched for itself, and a pair found in
+one of them is verified over the bits of all: this finds pairs that one
+fingerprint happens to set apart, and leaves out those it happens to join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pandas as pd
@@ -20,25 +25,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.common import checkpointed, text_blocks, unused
+from reposift.llm.common import checkpointed, mix, text_blocks, unused
 from reposift.llm.components import connected_components, forest
 
 BITS = 64
-#: Cost of a probe row against that of a verified candidate pair.
-PROBE_COST = 40.0
+#: Cost of a probe row, without and for each fingerprint it carries, against that of a verified candidate pair.
+PROBE_COST, CARRY_COST = 20.0, 20.0
 #: Fingerprints that one block of a bucket holds; a larger bucket is compared block by block.
 BLOCK = 1024
 
 
-def block_fingerprints(data: bytes, offsets: list[int], shingle: int, seed: int) -> np.ndarray:
-    """Fingerprints of the texts data[offsets[i]:offsets[i + 1]]."""
+def names(parts: int) -> list[str]:
+    """Columns of the fingerprints of a sketch."""
+    return ["fp", *(f"fp{k}" for k in range(1, parts))]
+
+
+def bits_at(similarity: float, parts: int) -> int:
+    """Differing bits expected of two sketches whose texts, equal in length, have this Jaccard similarity of shingles."""
+    return round(BITS * parts * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def block_fingerprints(data: bytes, offsets: list[int], shingle: int, seed: int, parts: int = 1, repeats: bool = True) -> np.ndarray:
+    """Fingerprints (parts x texts) of the texts data[offsets[i]:offsets[i + 1]]; without repeats each different shingle of a text counts once."""
     words: list[bytes] = []
     counts = np.zeros(len(offsets) - 1, np.int64)
     for k in range(len(counts)):
         own = data[offsets[k] : offsets[k + 1]].lower().split()
         counts[k] = len(own)
         words += own
-    out = np.zeros(len(counts), np.uint64)
+    out = np.zeros((parts, len(counts)), np.uint64)
     made = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
     if not made.sum():
         return out
@@ -52,15 +67,23 @@ def block_fingerprints(data: bytes, offsets: list[int], shingle: int, seed: int)
     last = np.minimum(at + shingle - 1, np.repeat(first + counts - 1, made))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(start[at].tolist(), end[last].tolist(), strict=True)), np.uint64, len(at))
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    if not repeats:
+        row = np.repeat(np.arange(len(made)), made)
+        order = np.lexsort((h, row))
+        new = np.append(True, (np.diff(row[order]) > 0) | (h[order][1:] != h[order][:-1]))
+        h, made = h[order][new], np.bincount(row[order][new], minlength=len(made))
+        shift = np.cumsum(made) - made
     some = np.flatnonzero(made)
-    ones = np.add.reduceat(bits, shift[some], axis=0, dtype=np.int32)
-    out[some] = np.packbits(2 * ones > made[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for k in range(parts):
+        own = h if k == 0 else mix(h + np.uint64(k))
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, shift[some], axis=0, dtype=np.int32)
+        out[k, some] = np.packbits(2 * ones > made[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint, as a signed long, of each row's whole text.
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, parts: int = 1, repeats: bool = True) -> DataFrame:
+    """(doc_id, fp, fp1, ..): the 64-bit fingerprints, as signed longs, of each row's whole text.
 
     A-Z are lowered, words are runs without ASCII white space. Fewer words than
     a shingle: the whole sequence is the one shingle; none (or null): zero.
@@ -70,11 +93,11 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in text_blocks(batch.column(1)):
-                found = block_fingerprints(raw.tobytes(), offsets.tolist(), shingle, seed)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                found = block_fingerprints(raw.tobytes(), offsets.tolist(), shingle, seed, parts, repeats)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x.view(np.int64)) for x in found)], names=["doc_id", *names(parts)])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp long")
+    return df.select(doc_id, text).mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{x} long" for x in names(parts))]))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -127,7 +150,7 @@ def within(mean: np.ndarray, most: int) -> np.ndarray:
     return np.cumsum(chance)[: most + 1]
 
 
-def allocate(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
+def allocate(n: int, both: np.ndarray, distance: int, parts: int = 1) -> list[tuple[list[int], int]]:
     """Groups of bits with thresholds that sum to distance - groups + 1, at least expected cost."""
     mean = np.diag(both) / max(n, 1)
     best: tuple[float, list] = (np.inf, [])
@@ -140,7 +163,7 @@ def allocate(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], i
             new: dict[int, tuple[float, list[int]]] = {}
             for used, (cost, chosen) in table.items():
                 for t in range(-1, distance + 1):
-                    more = 0.0 if t < 0 else PROBE_COST * n * sum(comb(len(own), r) for r in range(t + 1)) + n * n / 2 * found[t]
+                    more = 0.0 if t < 0 else (PROBE_COST + CARRY_COST * parts) * n * sum(comb(len(own), r) for r in range(t + 1)) + n * n / 2 * found[t]
                     if used + t not in new or cost + more < new[used + t][0]:
                         new[used + t] = (cost + more, [*chosen, t])
             table = new
@@ -162,29 +185,32 @@ def _keys(fp: np.ndarray, plan: list[tuple[list[int], int]]) -> Iterator[tuple[i
                 yield g, base ^ np.uint64(sum(1 << b for b in flips)), False
 
 
-def near_links(reps: DataFrame, distance: int = 3) -> DataFrame:
-    """Links (a, b) that connect the nodes (fp, rep) within the distance as all pairs within it would.
+def near_links(reps: DataFrame, distance: int = 3, parts: int = 1, whole: int | None = None) -> DataFrame:
+    """Links (a, b) that connect the nodes (fp, fp1, .., rep) as all pairs would that are within the distance in a fingerprint, and within whole bits over all.
 
-    One row per fingerprint is expected. Every pair within the distance meets in
-    a bucket and is compared; a block of a bucket returns a spanning forest of
-    the pairs it found, so rows stay in proportion to the nodes.
+    One row per sketch is expected. Every pair within the distance in a
+    fingerprint meets in a bucket and is compared; a block of a bucket returns a
+    spanning forest of the pairs it found, so rows stay in proportion to the nodes.
     """
-    n, both = bit_statistics(reps)
-    plan = allocate(n, both, distance)
+    columns = names(parts)
+    whole = distance if whole is None else whole
+    plans = [allocate(*bit_statistics(reps.select(F.col(x).alias("fp"))), distance, parts) for x in columns]
 
     def probe(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            fp = np.ascontiguousarray(part["fp"].to_numpy()).view(np.uint64)
-            for g, key, own in _keys(fp, plan):
-                yield pd.DataFrame({"g": np.int32(g), "key": key.view(np.int64), "fp": part["fp"], "rep": part["rep"], "own": own})
+            for k, (name, plan) in enumerate(zip(columns, plans, strict=True)):
+                fp = np.ascontiguousarray(part[name].to_numpy()).view(np.uint64)
+                for g, key, own in _keys(fp, plan):
+                    yield part.assign(g=np.int32(BITS * k + g), key=key.view(np.int64), own=own)
 
-    probes = reps.select("fp", "rep").mapInPandas(probe, "g int, key long, fp long, rep long, own boolean")
+    longs = ", ".join(f"{x} long" for x in [*columns, "rep", "key"])
+    probes = reps.select(*columns, "rep").mapInPandas(probe, f"{longs}, g int, own boolean")
     buckets = probes.groupBy("g", "key").agg(F.count("*").alias("size"), F.count_if("own").alias("owners")).where("size > 1 AND owners > 0")
     # A bucket of over BLOCK rows is dealt out as pairs of blocks.
     dealt = probes.join(buckets, ["g", "key"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64(*columns), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("g", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") <= F.col("other")).alias("left"), "fp", "rep", "own")
+    dealt = dealt.select("g", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") <= F.col("other")).alias("left"), *columns, "rep", "own")
     cells = dealt.repartition("g", "key", "x", "y").sortWithinPartitions("g", "key", "x", "y")
 
     def compare(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,54 +220,67 @@ def near_links(reps: DataFrame, distance: int = 3) -> DataFrame:
             where = held[["g", "key", "x", "y"]].to_numpy()
             cut = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
             if len(cut):
-                yield _linked(held.iloc[: cut[-1]], np.concatenate(([0], cut)), distance)
+                yield _linked(held.iloc[: cut[-1]], np.concatenate(([0], cut)), columns, distance, whole)
                 held = held.iloc[cut[-1] :]
         if held is not None and len(held):
             where = held[["g", "key", "x", "y"]].to_numpy()
-            yield _linked(held, np.concatenate(([0], np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1, [len(held)])), distance)
+            yield _linked(held, np.concatenate(([0], np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1, [len(held)])), columns, distance, whole)
 
     return cells.mapInPandas(compare, "a long, b long")
 
 
-def _linked(rows: pd.DataFrame, cut: np.ndarray, distance: int) -> pd.DataFrame:
-    """A spanning forest of the pairs within the distance inside each cell cut[i]:cut[i + 1]."""
-    fp = np.ascontiguousarray(rows["fp"].to_numpy()).view(np.uint64)
-    rep, own = rows["rep"].to_numpy(), rows["own"].to_numpy()
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _linked(rows: pd.DataFrame, cut: np.ndarray, columns: list[str], distance: int, whole: int) -> pd.DataFrame:
+    """A spanning forest of the pairs that meet inside each cell cut[i]:cut[i + 1], are within the distance in its fingerprint and within whole bits over all."""
+    fps = [np.ascontiguousarray(rows[x].to_numpy()).view(np.uint64) for x in columns]
+    rep, own, part = rows["rep"].to_numpy(), rows["own"].to_numpy(), rows["g"].to_numpy() // BITS
+
+    def verified(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(fps) > 1 and len(p):
+            near = sum(np.bitwise_count(x[p] ^ x[q]).astype(np.int64) for x in fps) <= whole
+            p, q = p[near], q[near]
+        return rep[p], rep[q]
+
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     size = np.diff(cut)
     for s in np.unique(size[size <= 8]):  # small cells of one size go together
         first = cut[:-1][size == s]
-        for i, j in combinations(range(int(s)), 2):
-            p, q = first + i, first + j
-            near = (np.bitwise_count(fp[p] ^ fp[q]) <= distance) & (own[p] | own[q])
-            a.append(rep[p[near]])
-            b.append(rep[q[near]])
+        for k in np.unique(part[first]):
+            some, fp = first[part[first] == k], fps[k]
+            for i, j in combinations(range(int(s)), 2):
+                p, q = some + i, some + j
+                near = (np.bitwise_count(fp[p] ^ fp[q]) <= distance) & (own[p] | own[q])
+                found.append(verified(p[near], q[near]))
     for lo, hi in zip(cut[:-1][size > 8], cut[1:][size > 8], strict=True):
-        found = []
-        for k in range(lo, hi, 256):
-            near = np.bitwise_count(fp[k : min(k + 256, hi), None] ^ fp[None, lo:hi]) <= distance
-            near &= own[k : min(k + 256, hi), None] | own[None, lo:hi]
+        fp, trees = fps[part[lo]][lo:hi], []
+        for k in range(0, hi - lo, 256):
+            near = np.bitwise_count(fp[k : k + 256, None] ^ fp[None, :]) <= distance
+            near &= own[lo + k : min(lo + k + 256, hi), None] | own[None, lo:hi]
             i, j = np.nonzero(near)
-            found.append(forest(rep[k + i], rep[lo + j]))
-        a += [x for x, _ in found]
-        b += [x for _, x in found]
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            after = j > k + i  # each pair once
+            trees.append(forest(*verified(lo + k + i[after], lo + j[after])))
+        found += trees
+    return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([x for _, x in found])})
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most distance differing bits.
+def near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42, parts: int = 1, whole: int | None = None, repeats: bool = True
+) -> DataFrame:
+    """(doc_id, fp, .., component_id): component_id is the smallest doc_id reachable over links.
 
+    A link differs in at most distance bits of one of the parts fingerprints,
+    and in at most whole bits over all of them (as many as distance by default).
     All rows take part: those without words share the fingerprint zero. Equal
-    fingerprints are one node, so copies add no pairs. A null doc_id has a
-    component only through its fingerprint's smallest other id, else null.
-    Rows in, rows out; an empty table gives no rows.
+    sketches are one node, so copies add no pairs. A null doc_id has a component
+    only through its sketch's smallest other id, else null. Rows in, rows out;
+    an empty table gives no rows.
     """
-    prints = checkpointed(fingerprints(df, doc_id, text, shingle, seed))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep"))
+    columns = names(parts)
+    prints = checkpointed(fingerprints(df, doc_id, text, shingle, seed, parts, repeats))
+    reps = prints.groupBy(*columns).agg(F.min("doc_id").cast("long").alias("rep"))
     reps = checkpointed(reps)
-    found = connected_components(near_links(reps.where("rep IS NOT NULL"), distance))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = connected_components(near_links(reps.where("rep IS NOT NULL"), distance, parts, whole))
+    named = reps.join(found, reps["rep"] == found["node"], "left").select(*columns, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, columns).select("doc_id", *columns, "component_id")
 
 
 def digests(documents: DataFrame) -> DataFrame:

@@ -80,6 +80,7 @@ def test_run_is_the_stages_in_a_row(spark, folder):
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "simhash", "decontamination", "bpe"]
     docs = spark.read.parquet(f"{root}/documents.parquet")
     labels, items = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("labels", "benchmark"))
-    want = decontam.clean(simhash.first_of_groups(lines.dedup_lines(toxicity.clean(docs, labels)), shingle=5, distance=6), items)
+    near = {"shingle": 5, "distance": pipeline.NEAR_BITS, "parts": pipeline.PARTS, "whole": pipeline.WHOLE_BITS, "repeats": False}
+    want = decontam.clean(simhash.first_of_groups(lines.dedup_lines(toxicity.clean(docs, labels)), **near), items)
     assert {(r.doc_id, r.text) for r in got.collect()} == {(r.doc_id, r.text) for r in want.collect()}
     assert pipeline.run(spark, root).columns == [*docs.columns, "n_tokens", "ids"]
