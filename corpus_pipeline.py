@@ -5,8 +5,9 @@ of docs; the last one adds the ids. Stages only drop documents or edit texts:
 
 - toxicity: documents predicted toxic go;
 - line_dedup: repeated runs of lines go from the texts, n_chars follows;
-- simhash: of each group of near-duplicates the smallest doc_id stays. Fingerprints
-  are over five words and link at NEAR_BITS differing bits;
+- simhash: of each group of near-duplicates the smallest doc_id stays. Sketches
+  of PARTS fingerprints are over the different runs of five words; pairs within NEAR_BITS in one of
+  them link if they are within WHOLE_BITS over all;
 - decontamination: documents with a verified overlap with a benchmark item go;
 - bpe: ids are added, and text is what decoding the ids gives.
 
@@ -27,9 +28,10 @@ from reposift.llm.registry import vocabulary
 ORACLE_SQL = None
 
 
-#: Words of a shingle, and differing bits of 64, of a near copy. What shares four fifths of its shingles differs in some ten
-#: bits; links at ten would join unlike texts by chance in a large corpus, so the stage finds the closer ones (see README).
-SHINGLE, NEAR_BITS = 5, 6
+#: Words of a shingle, fingerprints of a sketch, and differing bits at which a pair is found in one of them.
+SHINGLE, PARTS, NEAR_BITS = 5, 4, 7
+#: Differing bits over the whole sketch of a near copy: what is expected at a similarity of 0.8, and two more.
+WHOLE_BITS = simhash.bits_at(0.8, PARTS) + 2
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates; rows without id stay, null and empty texts are one group."""
-    return simhash.first_of_groups(docs, shingle=SHINGLE, distance=NEAR_BITS)
+    return simhash.first_of_groups(docs, shingle=SHINGLE, distance=NEAR_BITS, parts=PARTS, whole=WHOLE_BITS, repeats=False)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
