@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.common import checkpointed, mix, text_blocks, unused
+from reposift.llm.common import checkpointed, mix, stored, text_blocks, unused
 from reposift.llm.components import connected_components, forest
 
 BITS = 64
 #: Cost of a probe row, without and for each fingerprint it carries, against that of a verified candidate pair.
-PROBE_COST, CARRY_COST = 20.0, 20.0
+PROBE_COST, CARRY_COST = 100.0, 100.0
 #: Fingerprints that one block of a bucket holds; a larger bucket is compared block by block.
-BLOCK = 1024
+BLOCK = 8192
 
 
 def names(parts: int) -> list[str]:
@@ -203,14 +203,23 @@ def near_links(reps: DataFrame, distance: int = 3, parts: int = 1, whole: int |
                 for g, key, own in _keys(fp, plan):
                     yield part.assign(g=np.int32(BITS * k + g), key=key.view(np.int64), own=own)
 
+    def count(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for k, (name, plan) in enumerate(zip(columns, plans, strict=True)):
+                fp = np.ascontiguousarray(part[name].to_numpy()).view(np.uint64)
+                for g, key, _ in _keys(fp, plan):
+                    key, n = np.unique(key, return_counts=True)
+                    yield pd.DataFrame({"g": np.int32(BITS * k + g), "key": key.view(np.int64), "size": n})
+
     longs = ", ".join(f"{x} long" for x in [*columns, "rep", "key"])
     probes = reps.select(*columns, "rep").mapInPandas(probe, f"{longs}, g int, own boolean")
-    buckets = probes.groupBy("g", "key").agg(F.count("*").alias("size"), F.count_if("own").alias("owners")).where("size > 1 AND owners > 0")
-    # A bucket of over BLOCK rows is dealt out as pairs of blocks.
-    dealt = probes.join(buckets, ["g", "key"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # Buckets of over BLOCK rows are dealt out as pairs of blocks. There are few of them: written, so that Spark knows their size and broadcasts them only if they are small.
+    large = reps.select(*columns).mapInPandas(count, "g int, key long, size long").groupBy("g", "key").agg(F.sum("size").alias("size")).where(F.col("size") > BLOCK)
+    large = stored(large.select("g", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    dealt = probes.join(large, ["g", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64(*columns), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("g", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") <= F.col("other")).alias("left"), *columns, "rep", "own")
+    dealt = dealt.select("g", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *columns, "rep", "own")
     cells = dealt.repartition("g", "key", "x", "y").sortWithinPartitions("g", "key", "x", "y")
 
     def compare(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,11 +262,12 @@ def _linked(rows: pd.DataFrame, cut: np.ndarray, columns: list[str], distance: i
     for lo, hi in zip(cut[:-1][size > 8], cut[1:][size > 8], strict=True):
         fp, trees = fps[part[lo]][lo:hi], []
         for k in range(0, hi - lo, 256):
-            near = np.bitwise_count(fp[k : k + 256, None] ^ fp[None, :]) <= distance
-            near &= own[lo + k : min(lo + k + 256, hi), None] | own[None, lo:hi]
+            near = np.bitwise_count(fp[k : k + 256, None] ^ fp[None, k:]) <= distance
+            if not own[lo:hi].all():
+                near &= own[lo + k : min(lo + k + 256, hi), None] | own[None, lo + k : hi]
             i, j = np.nonzero(near)
-            after = j > k + i  # each pair once
-            trees.append(forest(*verified(lo + k + i[after], lo + j[after])))
+            after = j > i  # each pair once
+            trees.append(forest(*verified(lo + k + i[after], lo + k + j[after])))
         found += trees
     return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([x for _, x in found])})
 
