@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reposift.llm import bpe, chat, decontam, embeddings, lines, lm, simhash, suffix, toxicity, urls
+from reposift.llm import bpe, chat, decontam, embeddings, lines, lm, periodic, simhash, suffix, toxicity, urls
 from reposift.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(load(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -71,8 +75,16 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.oracle(), "op3_line_dedup": lines.oracle(), "op5_embedding_links": embeddings.oracle(), "op8_url_filter": urls.oracle(), "op9_decontamination": decontam.oracle()}
+    return {
+        "op2_chat_format": chat.oracle(),
+        "op3_line_dedup": lines.oracle(),
+        "op5_embedding_links": embeddings.oracle(),
+        "op8_url_filter": urls.oracle(),
+        "op9_decontamination": decontam.oracle(),
+        "op13_periodic_runs": periodic.oracle(),
+    }
