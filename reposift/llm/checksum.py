@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 #: The reversed polynomial of the CRC-32 that zlib and Spark compute.
 POLYNOMIAL = 0xEDB88320
+#: Bytes of a span that is worked on together with others.
+SHORT = 64
 
 #: A common table expression for crc().
 CRC_TABLE = f"""crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {POLYNOMIAL}) ELSE c >> 1 END, n) ORDER BY n) AS steps FROM range(256) AS r(n))"""
@@ -28,13 +32,16 @@ _STEPS = _steps()
 
 
 def continued(state: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """zlib.crc32(raw[start:start + length], state) of many spans: one pass over all spans for each further byte."""
-    order = np.argsort(-length, kind="stable")
-    start, sizes, out = start[order], -length[order], ~state[order].astype(np.uint32)
-    for k in range(-int(sizes[0]) if len(sizes) else 0):
-        n = int(np.searchsorted(sizes, -k, "left"))
-        part = out[:n]
-        out[:n] = _STEPS[(part ^ raw[start[:n] + k]) & np.uint32(255)] ^ (part >> np.uint32(8))
-    back = np.empty_like(out)
-    back[order] = ~out
-    return back
+    """zlib.crc32(raw[start:start + length], state) of many spans: one pass over all spans for each further byte of the short ones."""
+    out = state.astype(np.uint32)
+    for k in np.flatnonzero(length > SHORT).tolist():
+        out[k] = zlib.crc32(raw[start[k] : start[k] + length[k]], int(out[k]))
+    order = np.flatnonzero(length <= SHORT)
+    order = order[np.argsort(-length[order], kind="stable")]
+    start, falling, own = start[order], -length[order], ~out[order]
+    for k in range(-int(falling[0]) if len(order) else 0):
+        n = int(np.searchsorted(falling, -k, "left"))
+        part = own[:n]
+        own[:n] = _STEPS[(part ^ raw[start[:n] + k]) & np.uint32(255)] ^ (part >> np.uint32(8))
+    out[order] = ~own
+    return out
