@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reposift.llm import bpe, chat, decontam, embeddings, lines, lm, periodic, simhash, spelling, suffix, toxicity, urls
+from reposift.llm import bpe, chat, decontam, embeddings, lines, lm, periodic, secretscan, simhash, spelling, suffix, toxicity, urls
 from reposift.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(load(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(load(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.digests(load(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": op8_url_filter,
         "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_secret_scan": op11_secret_scan,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_periodic_runs": op13_periodic_runs,
     }
@@ -91,6 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_embedding_links": embeddings.oracle(),
         "op8_url_filter": urls.oracle(),
         "op9_decontamination": decontam.oracle(),
+        "op11_secret_scan": secretscan.oracle(),
         "op12_spelling_variants": spelling.oracle(),
         "op13_periodic_runs": periodic.oracle(),
     }
