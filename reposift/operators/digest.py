@@ -20,6 +20,11 @@ def check(window_days: float, limit: int) -> None:
         raise ValueError("limit must be 1 at least")
 
 
+def settings_rules() -> dict[str, Column]:
+    """The same for a table of settings, one row per user (window_days, limit): each rule's name and whether a row keeps it."""
+    return {"window_days": F.col("window_days") > 0, "limit": F.col("limit") >= 1}
+
+
 def profiles(stars: DataFrame, vectors: DataFrame, scope: str = "star") -> DataFrame:
     """(user_id, profile): the mean vector of each user's stars. scope 'all' lets code vectors count too."""
     rows = vectors if scope == "all" else vectors.where("kind = 'star'")
@@ -32,20 +37,24 @@ def star_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy(F.col("star_id").alias("id")).agg(F.max_by("vector", "id").alias("vector"))
 
 
-def is_candidate(now: Column, window_days: float = WINDOW_DAYS) -> Column:
+def _window_ms(window_days: float | Column) -> Column:
+    return (window_days if isinstance(window_days, Column) else F.lit(float(window_days))) * DAY_MS
+
+
+def is_candidate(now: Column, window_days: float | Column = WINDOW_DAYS) -> Column:
     """Not archived, no fork, and pushed to strictly after the window's start."""
     age = F.unix_millis(now) - F.unix_millis("pushed_at")
-    return ~F.col("archived") & ~F.col("is_fork") & F.coalesce(age < window_days * DAY_MS, F.lit(False))
+    return ~F.col("archived") & ~F.col("is_fork") & F.coalesce(age < _window_ms(window_days), F.lit(False))
 
 
-def recency(pushed_at: Column, now: Column, window_days: float = WINDOW_DAYS) -> Column:
+def recency(pushed_at: Column, now: Column, window_days: float | Column = WINDOW_DAYS) -> Column:
     """1 at or after now, 0 from the window's length on, linear between."""
     age = F.unix_millis(now) - F.unix_millis(pushed_at)
-    share = F.lit(1.0) - age / F.lit(float(window_days * DAY_MS))
-    return F.when(age <= 0, F.lit(1.0)).when(age >= window_days * DAY_MS, F.lit(0.0)).otherwise(share)
+    share = F.lit(1.0) - age / _window_ms(window_days)
+    return F.when(age <= 0, F.lit(1.0)).when(age >= _window_ms(window_days), F.lit(0.0)).otherwise(share)
 
 
-def scored(stars: DataFrame, vectors: DataFrame, now: Column, window_days: float = WINDOW_DAYS, scope: str = "star") -> DataFrame:
+def scored(stars: DataFrame, vectors: DataFrame, now: Column, window_days: float | Column = WINDOW_DAYS, scope: str = "star") -> DataFrame:
     """Candidates with vector (null if there is none), relevance, recency and score."""
     rows = vectors if scope == "all" else vectors.where("kind = 'star'")
     candidates = stars.where(is_candidate(now, window_days)).join(star_vectors(rows), "id", "left")
@@ -63,6 +72,15 @@ def digest(stars: DataFrame, vectors: DataFrame, now: Column, window_days: float
     return rows.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
+def digest_by_settings(stars: DataFrame, vectors: DataFrame, settings: DataFrame, now: Column, scope: str = "star") -> DataFrame:
+    """digest() with each user's own window_days and limit; users without settings get the usual ones. settings: rows that keep settings_rules()."""
+    own = settings.select("user_id", F.col("window_days").cast("double").alias("__window"), F.col("limit").alias("__limit"))
+    users = stars.join(own, "user_id", "left").withColumns({"__window": F.coalesce("__window", F.lit(float(WINDOW_DAYS))), "__limit": F.coalesce("__limit", F.lit(LIMIT))})
+    rows = scored(users, vectors, now, F.col("__window"), scope).where("vector IS NOT NULL").drop("vector")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("pushed_at"), "id"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= F.col("__limit")).drop("__window", "__limit")
+
+
 def digest_stats(stars: DataFrame, vectors: DataFrame, now: Column, window_days: float = WINDOW_DAYS, scope: str = "star") -> DataFrame:
     """One row per user: ranked candidates, candidates without vector, and whether the user has no profile (then both are 0)."""
     rows = vectors if scope == "all" else vectors.where("kind = 'star'")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reposift import schemas
 from reposift.functions import text
-from reposift.operators import search
+from reposift.operators import keys, search
 
 INPUT_LENGTH = 2000
 
@@ -42,6 +42,18 @@ def worklist(inputs: DataFrame, vectors: DataFrame, model: str, force: bool = Fa
     return inputs.join(done, ["id", "content_hash"], "left_anti")
 
 
+def star_worklist(stars: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """star_inputs() of the stars whose newest copy has no vector of its content and model.
+
+    Hashes decide first, so that only the texts which must be embedded are shuffled.
+    """
+    texts = stars.select(F.concat(F.lit("star:"), F.col("id").cast("string")).alias("id"), F.col("id").alias("star_id"), "last_synced_at", embedding_input().alias("input"))
+    hashed = texts.withColumn("content_hash", content_hash(F.col("input")))
+    newest = hashed.groupBy("id").agg(F.max(F.struct("last_synced_at", "content_hash")).alias("newest")).select("id", F.col("newest.content_hash").alias("content_hash"))
+    need = keys.missing(newest, vectors.where(F.col("model") == model), ["id", "content_hash"])
+    return keys.keep(hashed, need, ["id", "content_hash"]).drop("last_synced_at").dropDuplicates(["id"])
+
+
 def vector_rows(embedded: DataFrame, model: str, at: Column) -> DataFrame:
     """Rows for the vector table from the successful results of inference."""
     rows = embedded.where("status = 'done'").withColumns({"kind": F.split_part("id", F.lit(":"), F.lit(1)), "model": F.lit(model), "embedded_at": at})

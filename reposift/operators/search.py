@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reposift.functions import vectors as V
+from reposift.operators import keys
 
 DEFAULT_LIMIT = 10
 #: Bytes of query vectors that one pass over the corpus carries.
@@ -121,8 +122,9 @@ def permalink(html_url: Column, branch: Column, path: Column, start: Column, end
 
 
 def orphans(vectors: DataFrame, stars: DataFrame) -> DataFrame:
-    """Vectors whose star is gone."""
-    return vectors.join(stars.select(F.col("id").alias("star_id")), "star_id", "left_anti")
+    """Vectors whose star is gone. Keys are joined first, then the few vectors picked."""
+    gone = keys.missing(vectors, stars.select(F.col("id").alias("star_id")), "star_id")
+    return keys.keep(vectors, gone, "star_id")
 
 
 def corpus(star_vectors: DataFrame, code_vectors: DataFrame) -> DataFrame:

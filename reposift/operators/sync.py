@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reposift import schemas
 from reposift.functions import text
+from reposift.operators import keys as key_joins
 
 KEY = ("user_id", "id")
 #: Days after which a pull must be a full one again.
@@ -120,8 +121,15 @@ def unstarred(existing: DataFrame, pulled: DataFrame, modes: DataFrame, keys: tu
 
 
 def cascade(vectors: DataFrame, remaining: DataFrame) -> DataFrame:
-    """Vectors of repositories that some user still keeps; vectors are shared by users."""
-    return vectors.join(remaining.select(F.col("id").alias("star_id")).distinct(), "star_id", "left_semi")
+    """Vectors of repositories that some user still keeps; vectors are shared by users. Only keys are shuffled, to find what is gone."""
+    gone = key_joins.missing(vectors, remaining.select(F.col("id").alias("star_id")), "star_id")
+    return key_joins.drop(vectors.where("star_id IS NOT NULL"), gone, "star_id")
+
+
+def gone_for_all(deleted: DataFrame, remaining: DataFrame) -> DataFrame:
+    """(id) of the deleted stars that no remaining row has: those that their last user gave up. deleted: a stored table."""
+    given_up = deleted.select("id").distinct()
+    return given_up.join(key_joins.keep(remaining.select("id"), given_up, "id").distinct(), "id", "left_anti")
 
 
 def drop_prefix(vectors: DataFrame, prefix: str) -> DataFrame:
@@ -171,10 +179,12 @@ def summary(inserted: Column, updated: Column, deleted: Column, known: Column, u
     return out.when(changes == "", F.concat(F.lit("Synced · "), count, F.lit(" stars."))).otherwise(F.concat(changes, F.lit(" · "), count, F.lit(" total.")))
 
 
-def report(reconciled: DataFrame) -> DataFrame:
-    """One row per user: inserted, updated, deleted, known (after the pull) and the one-line text."""
+def report(reconciled: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """One row per user: inserted, updated, deleted, known (after the pull) and the one-line text. users: those who have a row at any rate."""
     n = lambda *x: F.count_if(F.col("action").isin(*x))
     counts = reconciled.groupBy("user_id").agg(n("insert").alias("inserted"), n("update").alias("updated"), n("delete").alias("deleted"), n("insert", "update", "keep").alias("known"))
+    if users is not None:
+        counts = users.select("user_id").join(counts, "user_id", "left").na.fill(0)
     return counts.withColumn("summary", summary(*(F.col(x) for x in ("inserted", "updated", "deleted", "known"))))
 
 

@@ -11,8 +11,12 @@ from reposift.functions import text
 from reposift.functions import vectors as V
 from reposift.operators import code_index, digest, embedding, failures, inference, listing, search, sync, tagging, translate
 from reposift.plans import fixtures as fx
+from reposift.plans import jobs
+from reposift.session import workspace
 from reposift.sources import code as code_source
 from reposift.sources import stars as star_source
+from reposift.sources import tables as tables_source
+from reposift.streaming import stars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -839,3 +843,160 @@ def x_detect_locale(spark, sf_dir):
 def x_fill_template(spark, sf_dir):
     values = F.create_map(F.lit("name"), F.col("full_name"), F.lit("n"), F.col("stargazers_count").cast("string"))
     return fx.stars(spark, sf_dir).select("id", text.fill_template(F.lit("Repo {name} has {n} stars, {unknown} {full_name"), values).alias("line"))
+
+
+# Tables that change together, jobs and the stream
+
+
+def _tables(spark, sf_dir, layouts=None):
+    """Tables in a folder of their own, with the existing stars and their users' cursors as the first commit, vectors as the second."""
+    tables = tables_source.Snapshots(spark, workspace(spark), layouts or WORK_LAYOUTS)
+
+    def first(t):
+        t.write("stars", fx.existing(spark, sf_dir))
+        t.write("cursors", fx.cursors(spark, sf_dir))
+
+    tables.commit(first)
+    tables.write("vectors", fx.vectors(spark, sf_dir))
+    return tables
+
+
+#: Few buckets: the tables that the queries keep for themselves are small.
+WORK_LAYOUTS = {name: layout._replace(groups=4) for name, layout in tables_source.LAYOUTS.items()}
+
+
+def _pulled_some(spark, sf_dir):
+    """The tables after a pull of users 0, 1 and 4, the last one's empty, and then one of user 3; user 2 is never pulled."""
+    tables, rows = _tables(spark, sf_dir), fx.incoming(spark, sf_dir)
+    users = spark.range(5).where("id IN (0, 1, 4)").select(F.col("id").alias("user_id"))
+    first = jobs.sync_job(tables, rows.where("user_id IN (0, 1)"), fx.now(), users=users)
+    return tables, first.unionByName(jobs.sync_job(tables, rows.where("user_id = 3"), fx.now()))
+
+
+# Users 0, 1 and 4 are in full mode by their cursors, user 3 is not.
+PULLED = """--with after_pull AS (SELECT * FROM existing WHERE user_id = 2 UNION ALL SELECT * FROM incoming WHERE user_id IN (0, 1, 3)
+  UNION ALL SELECT e.* FROM existing e ANTI JOIN incoming i ON i.user_id = e.user_id AND i.id = e.id WHERE e.user_id = 3)
+"""
+
+
+@query(PULLED + """SELECT a.user_id, a.id, a.stargazers_count, coalesce(e.user_note, a.user_note) AS user_note FROM after_pull a LEFT JOIN existing e ON e.user_id = a.user_id AND e.id = a.id""")
+def y14_partial_pull(spark, sf_dir):
+    return _pulled_some(spark, sf_dir)[0].read("stars").select("user_id", "id", "stargazers_count", "user_note")
+
+
+@query("""--with k AS (SELECT coalesce(e.user_id, i.user_id) AS user_id, e.id AS old, i.id AS new FROM (SELECT * FROM existing WHERE user_id <> 2) e
+  FULL JOIN (SELECT * FROM incoming WHERE user_id IN (0, 1, 3)) i ON i.user_id = e.user_id AND i.id = e.id)
+SELECT user_id, count(*) FILTER (WHERE old IS NULL) AS inserted, count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) AS updated,
+  count(*) FILTER (WHERE new IS NULL AND user_id <> 3) AS deleted, count(*) FILTER (WHERE new IS NOT NULL OR user_id = 3) AS known FROM k GROUP BY user_id""")
+def y14_partial_report(spark, sf_dir):
+    return _pulled_some(spark, sf_dir)[1].select("user_id", *(n(x).alias(x) for x in ("inserted", "updated", "deleted", "known")))
+
+
+@query(PULLED + f"""SELECT c.user_id, {STAMP("CASE WHEN c.user_id IN (0, 1, 3) THEN greatest(c.since, i.newest) ELSE c.since END")} AS since,
+  CASE WHEN c.user_id = 2 THEN c.known_count ELSE coalesce(a.known, 0) END AS known_count, {STAMP("CASE WHEN c.user_id IN (0, 1, 4) THEN TIMESTAMP '2024-01-31' ELSE c.last_full_sync_at END")} AS last_full_sync_at
+FROM cursors c LEFT JOIN (SELECT user_id, max(starred_at) AS newest FROM incoming GROUP BY user_id) i USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS known FROM after_pull GROUP BY user_id) a USING (user_id)""")
+def y15_partial_cursors(spark, sf_dir):
+    found = _pulled_some(spark, sf_dir)[0].read("cursors")
+    return found.select("user_id", stamp("since").alias("since"), n("known_count").alias("known_count"), stamp("last_full_sync_at").alias("last_full_sync_at"))
+
+
+@query(PULLED + "SELECT v.id, v.star_id FROM vectors v WHERE star_id NOT IN (SELECT id FROM existing) OR star_id IN (SELECT id FROM after_pull)")
+def y9_partial_cascade(spark, sf_dir):
+    return _pulled_some(spark, sf_dir)[0].read("vectors").select("id", "star_id")
+
+
+@query(PULLED + """, sizes AS (SELECT count(*) AS before, (SELECT count(*) FROM after_pull) + (SELECT count(*) FROM existing WHERE user_id = 3) - (SELECT count(*) FROM after_pull WHERE user_id = 3) AS between_pulls,
+  (SELECT count(*) FROM after_pull) AS after, (SELECT count(*) FROM vectors) AS v, (SELECT count(*) FROM vectors WHERE star_id NOT IN (SELECT id FROM existing) OR star_id IN (SELECT id FROM after_pull)) AS v_after FROM existing)
+SELECT version, name, n FROM (SELECT 1 AS version, 'stars' AS name, before AS n FROM sizes UNION ALL SELECT 2, 'stars', before FROM sizes UNION ALL SELECT 2, 'vectors', v FROM sizes
+  UNION ALL SELECT 3, 'stars', between_pulls FROM sizes UNION ALL SELECT 4, 'stars', after FROM sizes UNION ALL SELECT 3, 'vectors', v_after FROM sizes UNION ALL SELECT 4, 'vectors', v_after FROM sizes)""")
+def s7_versions(spark, sf_dir):
+    # Every commit stays readable, and shows all tables as they were together.
+    tables, found = _pulled_some(spark, sf_dir)[0], None
+    for version in tables.commits():
+        for name in ("stars", "vectors"):
+            rows = tables.read(name, version)
+            if rows is not None:
+                own = rows.agg(F.lit(version).alias("version"), F.lit(name).alias("name"), F.count("*").alias("n"))
+                found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _streamed(spark, sf_dir, feed):
+    """The tables after the stream has merged the envelopes of the feed, which arrive in several batches."""
+    tables = _tables(spark, sf_dir)
+    inbox, check = workspace(spark), workspace(spark)
+    fx.envelopes(spark, sf_dir, feed, ("user_id",)).repartition(3).write.text(inbox)
+    stream = spark.readStream.schema(streaming.SCHEMA).option("maxFilesPerTrigger", 1).json(inbox)
+    streaming.start(stream, tables, check, fx.now).awaitTermination()
+    return tables
+
+
+@query("""--with feed AS (SELECT user_id, id, stargazers_count FROM incoming WHERE id % 40 <> 0 AND id % 41 <> 0 AND id % 43 <> 0)
+SELECT user_id, id, f.stargazers_count, e.user_note FROM feed f LEFT JOIN existing e USING (user_id, id)
+UNION ALL SELECT user_id, id, stargazers_count, user_note FROM existing ANTI JOIN feed USING (user_id, id)""")
+def r1_stream_merge(spark, sf_dir):
+    return _streamed(spark, sf_dir, fx.incoming(spark, sf_dir)).read("stars").select("user_id", "id", "stargazers_count", "user_note")
+
+
+@query("""SELECT user_id, CASE WHEN id % 40 <> 0 THEN id END AS id, concat_ws(',', CASE WHEN id % 40 = 0 THEN 'id' END, CASE WHEN id % 41 = 0 THEN 'full_name' END, CASE WHEN id % 43 = 0 THEN 'stargazers_count' END) AS broken
+FROM incoming WHERE id % 40 = 0 OR id % 41 = 0 OR id % 43 = 0""")
+def r1_stream_quarantine(spark, sf_dir):
+    found = _streamed(spark, sf_dir, fx.incoming(spark, sf_dir)).read("quarantine")
+    return found.select("user_id", "id", F.array_join("violations", ",").alias("broken"))
+
+
+@query("SELECT e.user_id, e.id FROM existing e JOIN modes m USING (user_id) ANTI JOIN incoming i ON i.user_id = e.user_id AND i.id = e.id WHERE m.mode = 'full'")
+def r2_stream_keeps(spark, sf_dir):
+    # What a full pull would delete is still there after a stream.
+    kept = _streamed(spark, sf_dir, fx.incoming(spark, sf_dir)).read("stars")
+    return sync.unstarred(kept, fx.incoming(spark, sf_dir), sync.sync_mode(fx.cursors(spark, sf_dir), fx.now())).select("user_id", "id")
+
+
+@query("""--with marks AS (SELECT user_id, max(starred_at) AS since FROM existing WHERE id % 7 = 0 GROUP BY user_id), cut AS (SELECT i.* FROM incoming i LEFT JOIN marks m USING (user_id) WHERE m.since IS NULL OR i.starred_at >= m.since)
+SELECT user_id, id, stargazers_count FROM cut UNION ALL SELECT user_id, id, stargazers_count FROM existing ANTI JOIN cut USING (user_id, id)""")
+def r3_same_second(spark, sf_dir):
+    # The mark is the time of a star; pulled again with others of its second, it is updated, not doubled or lost.
+    old = fx.existing(spark, sf_dir)
+    marks = old.where("id % 7 = 0").groupBy("user_id").agg(F.max("starred_at").alias("since"))
+    cut = sync.incremental_cut(fx.incoming(spark, sf_dir), marks)
+    return sync.upsert(old, cut.withColumn("ord", F.lit(0)), "ord").select("user_id", "id", "stargazers_count")
+
+
+@query("""SELECT user_id, CASE WHEN window_days <= 0 AND lim < 1 THEN 'window_days,limit' WHEN window_days <= 0 THEN 'window_days' WHEN lim < 1 THEN 'limit' ELSE '' END AS broken
+FROM (SELECT c_custkey AS user_id, c_custkey % 9 - 1 AS window_days, c_custkey % 4 AS lim FROM customer)""")
+def d1_settings(spark, sf_dir):
+    return _settings(spark, sf_dir).select("user_id", F.array_join(star_source.violations(digest.settings_rules()), ",").alias("broken"))
+
+
+def _settings(spark, sf_dir):
+    k = F.col("c_custkey")
+    return fx.load(spark, sf_dir, "customer").select(k.cast("long").alias("user_id"), (k % 9 - 1).cast("double").alias("window_days"), (k % 4).cast("long").alias("limit"))
+
+
+OWN_RECENCY = "CASE WHEN pushed_at >= TIMESTAMP '2024-01-31' THEN 1.0 ELSE 1.0 - epoch(TIMESTAMP '2024-01-31' - pushed_at) / (86400.0 * days) END"
+
+
+@query(PROFILE + f""", own AS (SELECT u.*, coalesce(s.days, 7) AS days, coalesce(s.lim, 10) AS lim FROM user_stars u
+  LEFT JOIN (SELECT c_custkey AS user_id, c_custkey % 9 - 1 AS days, c_custkey % 4 AS lim FROM customer WHERE c_custkey % 9 > 1 AND c_custkey % 4 > 0) s USING (user_id)),
+near AS (SELECT u.user_id, u.id, pushed_at, lim, list_cosine_similarity(p.profile, v.vector) AS relevance, ({OWN_RECENCY})::DOUBLE AS recency FROM own u JOIN star_vectors v ON v.star_id = u.id JOIN profile p USING (user_id)
+  WHERE NOT archived AND NOT is_fork AND epoch(TIMESTAMP '2024-01-31' - pushed_at) < 86400 * days),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY 0.8::DOUBLE * relevance + 0.2::DOUBLE * recency DESC, pushed_at DESC, id) AS rank FROM near)
+SELECT user_id, id, rank, round(0.8::DOUBLE * relevance + 0.2::DOUBLE * recency, 6) AS score FROM ranked WHERE rank <= lim""")
+def d1_digest_by_settings(spark, sf_dir):
+    good, _ = star_source.validate(_settings(spark, sf_dir), digest.settings_rules())
+    found = digest.digest_by_settings(fx.user_stars(spark, sf_dir), fx.star_vectors(spark, sf_dir), good, fx.now())
+    return found.select("user_id", "id", n("rank").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def _answers(pairs):
+    """A model: tells the lengths of what it was asked; refuses what is a multiple of 17 long."""
+    if any(len(user) % 17 == 0 for _, user in pairs):
+        raise inference.ModelError("bad_request", "length")
+    return [f"{len(system)} and {len(user)}" for system, user in pairs]
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) % 17 <> 0 THEN length(role) || ' and ' || length(text) END AS reply, CASE WHEN length(text) % 17 = 0 THEN 'failed' ELSE 'done' END AS status
+FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
+def e4_chat(spark, sf_dir):
+    asked = fx.load(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL").select("conv_id", "turn", "role", "text")
+    return inference.chat(asked, _answers, "role", "text", batch=1).select("conv_id", "turn", "reply", "status")

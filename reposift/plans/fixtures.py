@@ -170,9 +170,9 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("ord"), F.col("user_id").alias("star_id"), status.alias("http_status"))
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON texts of star envelopes, some without optional fields and some broken."""
-    s = stars(spark, sf_dir)
+def envelopes(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """JSON texts of star envelopes, some without optional fields and some broken. rows: other stars than all; extra: their columns to put in too."""
+    s = stars(spark, sf_dir) if rows is None else rows
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     repo = F.struct(
         F.when(F.col("id") % 40 != 0, F.col("id")).alias("id"), F.when(F.col("id") % 41 == 0, "x").otherwise(F.col("full_name")).alias("full_name"),
@@ -181,7 +181,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") % 43 == 0, -1).otherwise(F.col("stargazers_count")).alias("stargazers_count"),
         F.when(F.col("archived"), True).alias("archived"), F.when(F.col("is_fork"), True).alias("fork"),
     )
-    return s.select(F.to_json(F.struct(stamp("starred_at").alias("starred_at"), repo.alias("repo"))).alias("value"))
+    return s.select(F.to_json(F.struct(*extra, stamp("starred_at").alias("starred_at"), repo.alias("repo"))).alias("value"))
 
 
 def trimmed(column: str) -> Column:

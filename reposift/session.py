@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +19,17 @@ def session(app: str = "reposift", master: str | None = None, **conf: str) -> Sp
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     return builder.config(map=settings).getOrCreate()
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder name for tables that a job keeps for itself, below the session's spark.checkpoint.dir.
+
+    Where that is unset, a session of one process, as in tests, gets a temporary
+    folder; a cluster, whose executors would not share it, is an error.
+    """
+    context = spark.sparkContext
+    shared = context._jsc.sc().getCheckpointDir()
+    folder = shared.get() if shared.isDefined() else context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='spark-')}/work-{uuid.uuid4()}"

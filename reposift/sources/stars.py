@@ -1,4 +1,4 @@
-"""Reading star envelopes, validating rows, and snapshot tables."""
+"""Reading star envelopes and validating rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reposift import schemas
+from reposift.sources.tables import Snapshots as Snapshots  # noqa: PLC0414  the name that jobs and callers use
 
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
@@ -91,32 +92,3 @@ def validate(rows: DataFrame, rules: dict[str, Column], failfast: bool = False)
         good = checked.where(F.when(F.size("violations") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
         return good.drop("violations"), checked.limit(0)
     return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
-
-
-class Snapshots:
-    """Parquet snapshots under one root: a write makes a new version folder and then moves the pointer, so a table that is being read is never overwritten."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self, table: str) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        done = lambda p: files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(x.getPath().getName()[2:]) for x in files.listStatus(path) if x.getPath().getName().startswith("v=") and done(x.getPath()))
-
-    def write(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> int:
-        version = max(self._versions(table), default=0) + 1
-        out = rows.write.mode("overwrite")
-        (out.partitionBy(*partition_by) if partition_by else out).parquet(f"{self.root}/{table}/v={version}")
-        return version
-
-    def read(self, table: str, version: int | None = None) -> DataFrame | None:
-        """The newest complete version, or the one asked for; None if there is none."""
-        versions = self._versions(table)
-        if not versions:
-            return None
-        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{table}/v={version or versions[-1]}")

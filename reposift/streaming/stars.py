@@ -1,7 +1,7 @@
 """Feeding pulled stars into the stars table as a stream.
 
-Each micro-batch is a keyed merge, so a replayed batch changes nothing; batch ids
-that a snapshot holds already are skipped. A stream never deletes: a pull that
+Each micro-batch is a keyed merge of the buckets it touches, in one commit with
+its number and its broken rows, so a replayed batch changes nothing. A stream never deletes: a pull that
 was cut at a mark proves nothing about older stars, so removed stars are found by
 the batch job on a full pull only.
 """
@@ -18,36 +18,60 @@ from pyspark.sql.streaming import StreamingQuery
 from reposift import schemas
 from reposift.operators import sync
 from reposift.sources import stars as source
+from reposift.sources.tables import Change
+
+
+#: Envelopes with the user who pulled them.
+SCHEMA = T.StructType([T.StructField("user_id", T.LongType()), *schemas.ENVELOPE.fields])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Envelopes with user_id from JSON files as they arrive."""
-    return spark.readStream.schema(T.StructType([T.StructField("user_id", T.LongType()), *schemas.ENVELOPE.fields])).json(path)
+    return spark.readStream.schema(SCHEMA).json(path)
 
 
 def merge_batch(existing: DataFrame | None, envelopes: DataFrame, fetched_at: Column) -> tuple[DataFrame, DataFrame]:
     """The stars table after one batch of envelopes (user_id, starred_at, repo), and the rows that broke a rule."""
+    batch, bad = checked_batch(envelopes, fetched_at)
+    return merged(existing, batch), bad
+
+
+def checked_batch(envelopes: DataFrame, fetched_at: Column) -> tuple[DataFrame, DataFrame]:
+    """The newest good row of each star in a batch, and the rows that broke a rule."""
     good, bad = source.validate(source.flatten(envelopes, fetched_at, ("user_id",)), source.star_rules())
-    batch = sync.last_of_batch(good.withColumn("__at", F.struct("starred_at", "stargazers_count")), "__at").drop("__repeats", "__at")
+    return sync.last_of_batch(good.withColumn("__at", F.struct("starred_at", "stargazers_count")), "__at").drop("__repeats", "__at"), bad
+
+
+def merged(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The existing rows with those of the batch put in place; local columns stay."""
     if existing is None:
-        return batch, bad
-    merged = sync.merge_local(batch, existing)
-    return existing.join(merged, list(sync.KEY), "left_anti").unionByName(merged, allowMissingColumns=True), bad
+        return batch
+    rows = sync.merge_local(batch, existing)
+    return existing.join(rows.select(*sync.KEY), list(sync.KEY), "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def merge_into(t: Change, envelopes: DataFrame, batch_id: int, fetched_at: Column) -> bool:
+    """One micro-batch: stars, quarantine and the batch's number change together; False if the batch was merged before.
+
+    Only the buckets that the batch's keys fall into are rewritten.
+    """
+    done = t.read("batches")
+    if done is not None and not done.where(F.col("batch_id") == batch_id).isEmpty():
+        return False
+    batch, bad = (t.stage(x) for x in checked_batch(envelopes, fetched_at))
+    buckets = t.buckets("stars", batch)
+    if buckets or t.read("stars") is None:
+        t.rewrite("stars", merged(t.read("stars", buckets), batch), buckets)
+    if not bad.isEmpty():
+        t.append("quarantine", bad.select("user_id", "id", "violations"))
+    t.append("batches", envelopes.sparkSession.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")))
+    return True
 
 
 def start(stream: DataFrame, snapshots: source.Snapshots, checkpoint: str, fetched_at: Callable[[], Column] = F.current_timestamp) -> StreamingQuery:
-    """Merge all that has arrived into the snapshot table stars, then stop."""
+    """Merge all that has arrived into the table stars, then stop."""
 
     def merge(envelopes: DataFrame, batch_id: int) -> None:
-        done = snapshots.read("batches")
-        if done is not None and not done.where(F.col("batch_id") == batch_id).isEmpty():
-            return
-        merged, bad = merge_batch(snapshots.read("stars"), envelopes, fetched_at())
-        snapshots.write("stars", merged)
-        if not bad.isEmpty():
-            before, rows = snapshots.read("quarantine"), bad.select("user_id", "id", "violations")
-            snapshots.write("quarantine", rows if before is None else before.unionByName(rows))
-        own = envelopes.sparkSession.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
-        snapshots.write("batches", own if done is None else done.unionByName(own))
+        snapshots.commit(lambda t: merge_into(t, envelopes, batch_id, fetched_at()))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
