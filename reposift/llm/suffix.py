@@ -7,10 +7,10 @@ of text, wherever its copies stand:
 1. Of every window of `length` bytes the gram with the smallest hash is its
    anchor. Equal windows have equal anchors, so they meet under the anchor's hash.
 2. All windows that share an anchor make one string around it. Strings of one
-   anchor with the same 64-bit hash are one string with several places: at all
+   anchor with the same hash are one string with several places: at all
    places but the first, every window is a repetition. Their bytes are not
-   compared; two different strings of one anchor are mistaken with a chance of
-   2**-64 a pair. Anchors with one place are dropped.
+   compared, but the hash is one that no text can be made up to collide in (see
+   sound.py). Anchors with one place are dropped.
 3. The different strings of an anchor (they meet where a repetition begins or
    ends) are put in a suffix array by linear grouping. Neighbours in it share
    windows; the window at the smallest place stays, the others are repetitions.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reposift.llm.common import checkpointed, mix, prefix_hash, ragged, shuffle_partitions, span_hash, text_blocks
+from reposift.llm.sound import SoundHash
 
 LENGTH = 100
 #: Bytes of an anchor gram, and of a symbol of the suffix arrays.
@@ -68,7 +69,11 @@ def anchors(prefix: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
         new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
         last = np.append(new[1:], len(p))[: len(new)] - 1
         out.append([row[new], at[new] + lo, p[new], p[last], h[at[new]]])
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    row, at, first, last, h = (np.concatenate(x) for x in zip(*out, strict=True))
+    # Windows on both sides of a pass's border that choose one gram belong together.
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1]) | (first[1:] != last[:-1] + 1)
+    return row[new], at[new], first[new], last[np.append(np.flatnonzero(new)[1:], len(row)) - 1] if len(row) else last, h[new]
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -360,14 +365,14 @@ def _groups(rows: pa.RecordBatch, length: int, hot: int | None) -> Iterator[pa.R
 
 def repeated_spans(docs: DataFrame, length: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Two tables of (__id, spans) that together hold the byte spans covered by strings which start earlier as well. docs: __id, doc_id, text."""
-    parts = shuffle_partitions(docs)
+    parts, sound = shuffle_partitions(docs), SoundHash()
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, raw, offsets in text_blocks(batch.column(1)):
                 prefix = prefix_hash(raw)
                 row, at, first, last, h = anchors(prefix, offsets, length)
-                whole = span_hash(prefix, first, last + length)
+                whole = sound.spans(raw, first, last + length, prefix)
                 place = ((at - offsets[row]) << 24) | ((at - first) << 12) | (last - first + 1)
                 who = batch.column(0).to_numpy()[lo + row]
                 # A string that stands earlier in the block too is a copy whatever else there is: it needs no meeting under its anchor and is dealt anywhere.

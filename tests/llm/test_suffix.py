@@ -79,3 +79,52 @@ def test_repeated_rows_and_ids(spark):
     other = suffix.dedup_bytes(spark.createDataFrame([(5, text), (5, text[100:] + "y")], "doc_id long, text string")).collect()
     assert sorted(len(r.kept) for r in other) in ([1, 300], [100, 201])
     assert suffix.dedup_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def thue_morse(n, a, b):
+    """Two different strings whose polynomials modulo 2**64 agree for every odd base."""
+    flips = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join((a, b)[x] for x in flips), "".join((b, a)[x] for x in flips)
+
+
+def test_strings_made_to_collide_are_told_apart(spark):
+    anchor = "zq" * 16
+    one, other = thue_morse(1024, "a", "b")
+    docs = [one[:600] + anchor + one, other[:600] + anchor + other, one, other]
+    for length in (100, 1024):
+        want = [int(x.sum()) for x in brute([x.encode() for x in docs], length)]
+        got = {r.doc_id: r.n_bytes - len(r.kept) for r in suffix.dedup_bytes(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), length=length).collect()}
+        assert [got[k] for k in range(4)] == want
+    import numpy as np
+
+    from reposift.llm.common import prefix_hash, span_hash
+    from reposift.llm.sound import SoundHash
+
+    raw = np.frombuffer((one + other + one).encode(), np.uint8)
+    start = np.array([0, 1024, 2048])
+    fast, sound = span_hash(prefix_hash(raw), start, start + 1024), SoundHash().spans(raw, start, start + 1024)
+    assert fast[0] == fast[1] and sound[0] == sound[2] != sound[1]
+
+
+@pytest.mark.parametrize("chunk", [257, 900])
+def test_repeats_over_the_border_of_a_pass(spark, monkeypatch, chunk):
+    """Repeats that begin and end at every offset around a border."""
+    monkeypatch.setattr(suffix, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    fresh = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    passage = fresh(260)
+    texts = [passage] + [fresh(chunk - 200 + k * 7) + passage[: 200 + k] + fresh(300) for k in range(50)]
+    want = [int(x.sum()) for x in brute([x.encode() for x in texts], 100)]
+    got = {r.doc_id: r.n_bytes - len(r.kept) for r in suffix.dedup_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == want and sum(want) > 9000
+
+
+def test_a_long_text_with_repeats_around_the_border_of_its_passes(spark):
+    rnd = random.Random(8)
+    text = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=1_500_000))
+    for k in range(40):
+        at = suffix.CHUNK - 130 + k * 7
+        rows = [(1, text[:at] + text[5000 + k * 400 : 5260 + k * 400] + text[at + 260 :])]
+        if k % 13 == 0:
+            got = suffix.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).first()
+            assert [(x.begin, x.end) for x in got.removed] == [(at, at + 260)] or got.n_bytes - len(got.kept) in range(260, 264)
