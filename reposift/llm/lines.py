@@ -12,8 +12,8 @@ id, then line) is deleted. A line of long_words words or more is a run by itself
 and always selected.
 
 Lines are compared by 64-bit hashes, a run by one of them and 128 bits of the
-others; a single long line by its hash and its length. Two different long lines of one
-length are taken for one with a chance of 2**-64 a pair.
+others; a single long line by its hash and its length. The hash is one that no text
+can be made up to collide in (see sound.py).
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reposift.llm.common import prefix_hash, span_hash, stored, text_blocks, unused, word_spans
+from reposift.llm.common import stored, text_blocks, unused, word_spans
+from reposift.llm.sound import SoundHash
 
 MIN_LINES = 3
 LONG_WORDS = 20
@@ -62,14 +63,14 @@ def selected(h: np.ndarray, rows: np.ndarray, min_lines: int) -> tuple[np.ndarra
     return line, starts[line]
 
 
-def positions(raw: np.ndarray, offsets: np.ndarray, min_lines: int, long_words: int) -> tuple[np.ndarray, ...]:
+def positions(raw: np.ndarray, offsets: np.ndarray, min_lines: int, long_words: int, sound: SoundHash) -> tuple[np.ndarray, ...]:
     """(row, line, hash, starts, size, around) of the selected lines.
 
     starts as in selected(), size the bytes of a long line (else 0), around the
     hashes of the min_lines - 1 lines before and after, 0 beyond the row.
     """
     begin, end, words, rows = line_spans(raw, offsets)
-    h = span_hash(prefix_hash(raw), begin, end)
+    h = sound.spans(raw, begin, end)
     line, starts = selected(h, rows, min_lines)
     size = np.where(words >= long_words, end - begin, 0)
     also = np.setdiff1d(np.flatnonzero(size), line)
@@ -99,13 +100,13 @@ def without_lines(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
 
 
 def repeated_runs(df: DataFrame, doc_id: str, text: str, min_lines: int, long_words: int) -> DataFrame:
-    """(key, runs): the matches of each document that stand earlier as well; key is row_key() of the document."""
-    side = [k for k in range(1 - min_lines, min_lines) if k]
+    """(id, key, runs): the matches of each document that stand earlier as well; key is row_key() of the document."""
+    side, sound = [k for k in range(1 - min_lines, min_lines) if k], SoundHash()
 
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in text_blocks(batch.column(2)):
-                row, line, h, starts, size, around = positions(raw, offsets, min_lines, long_words)
+                row, line, h, starts, size, around = positions(raw, offsets, min_lines, long_words, sound)
                 at = pa.array(row + lo)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * len(side), pa.int32()), pa.array(around.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -133,7 +134,7 @@ def repeated_runs(df: DataFrame, doc_id: str, text: str, min_lines: int, long_wo
     dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     later = matches.withColumn("salt", F.pmod(F.xxhash64("key", "line"), F.lit(SALTS)).cast("int")).join(dealt, [*same, "salt"]).where(place > F.col("origin"))
     run = F.struct((F.col("line") - F.greatest("left", F.lit(0))).alias("first"), F.when(F.col("left") < 0, 1).otherwise(min_lines).alias("lines"))
-    return later.groupBy("key").agg(F.collect_list(run).alias("runs"))
+    return later.groupBy("id", "key").agg(F.collect_set(run).alias("runs"))  # a repeated row has the same runs
 
 
 def row_key(doc_id: str, text: str):
@@ -159,9 +160,10 @@ def dedup_lines(
         raise ValueError("min_lines must be from 1 to 30")
     runs = repeated_runs(df, doc_id, text, min_lines, long_words)
     plain = df.drop(removed)
-    key, found = unused(plain, "key"), unused(plain, "runs")
+    key, own, found = unused(plain, "key"), unused(plain, "id"), unused(plain, "runs")
     keyed = plain.withColumn(key, row_key(doc_id, text))
-    joined = keyed.join(runs.toDF(key, found).hint("shuffle_hash"), key, "left").drop(key)
+    placed = runs.toDF(own, f"{key}_", found).hint("shuffle_hash")
+    joined = keyed.join(placed, (F.col(key) == F.col(f"{key}_")) & F.col(doc_id).eqNullSafe(F.col(own)), "left").drop(key, f"{key}_", own)
 
     new = [f for f in df.schema.fields if f.name != removed]
     names = [f.name for f in new]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from reposift.llm import lines
+from reposift.llm.sound import SoundHash
 
 
 def brute(docs, min_lines, long_words):
@@ -97,7 +98,7 @@ def _here(found, df, positions):
     texts = [r.text for r in df.collect()]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.append(0, np.cumsum([len(x) for x in texts]))
-    row, line, h, starts, size, around = positions(raw, offsets, 3, 20)
+    row, line, h, starts, size, around = positions(raw, offsets, 3, 20, SoundHash())
     return [(int(r), int(r), int(n), int(x.view(np.int64)), int(s), int(z), [int(y) for y in a.view(np.int64)]) for r, n, x, s, z, a in zip(row, line, h, starts, size, around, strict=True)]
 
 
@@ -114,3 +115,22 @@ def test_a_text_longer_than_a_block(spark):
     body = [f"line {k} {rnd.random()}" for k in range(60_000)]
     df = spark.createDataFrame([(1, "\n".join(body[:10])), (2, "\n".join([*body, "end", *body[500:600]]))], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()} == {1: 0, 2: 110}
+
+
+def test_lines_made_to_collide_are_told_apart(spark):
+    flips = [bin(k).count("1") & 1 for k in range(1024)]
+    one, other = ("".join((a, b)[x] for x in flips) for a, b in (("a", "b"), ("b", "a")))
+    words = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(1, f"{words} {one}"), (2, f"{words} {other}"), (3, f"{words} {one}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_rows_that_share_a_key_are_told_apart_by_their_id(spark, monkeypatch):
+    monkeypatch.setattr(lines, "row_key", lambda doc_id, text: lines.F.lit(7).cast("long"))
+    df = spark.createDataFrame([(1, "a\nb\nc"), (2, "x\na\nb\nc"), (3, "p\nq\nr\ns")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()} == {1: 0, 2: 3, 3: 0}
+
+
+def test_repeated_rows_have_one_set_of_runs(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc")] + [(2, "a\nb\nc\nd\na\nb\nc")] * 40, "doc_id long, text string")
+    assert sorted(r.n_removed for r in lines.dedup_lines(df).collect()) == [0] + [6] * 40
