@@ -70,37 +70,60 @@ def batch_search(queries: DataFrame, vectors: DataFrame, limit: int = DEFAULT_LI
     return found.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
-def _one_block(queries: DataFrame, vectors: DataFrame, limit: int, query_id: str, query: str) -> DataFrame:
-    rows = queries.toArrow()
+class Best:
+    """The limit best vectors so far of each of some queries, in one task. matrix: the queries, one unit vector a row."""
+
+    def __init__(self, matrix: np.ndarray, limit: int):
+        self.matrix, self.limit = matrix, limit
+        self.ids = [np.array([], object)] * len(matrix)
+        self.scores = [np.array([])] * len(matrix)
+
+    def add(self, ids: pa.Array, vectors: pa.Array, queries: Iterable[int] | None = None) -> None:
+        """Score a block of vectors for all queries, or for some of them."""
+        chosen = np.arange(len(self.matrix)) if queries is None else np.asarray(queries, np.int64)
+        if not len(chosen) or not len(ids):
+            return
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        if x.shape[1] != self.matrix.shape[1]:
+            raise ValueError(f"vectors of lengths {self.matrix.shape[1]} and {x.shape[1]}")
+        size = np.linalg.norm(x, axis=1)
+        x /= np.where(size == 0, 1, size)[:, None]
+        scores = self.matrix[chosen] @ x.T
+        for row, q in enumerate(chosen.tolist()):
+            # Products of matrices may round equal vectors apart; the few that matter are multiplied one by one.
+            some = _likely(scores[row], self.limit)
+            own_ids = np.append(self.ids[q], np.array(ids.take(pa.array(some)).to_pylist(), object))
+            own = np.append(self.scores[q], (x[some] * self.matrix[q]).sum(1))
+            top = _top(own_ids, own, self.limit)
+            self.ids[q], self.scores[q] = own_ids[top], own[top]
+
+    def batch(self, names: pa.Array, query_id: str, kind: pa.DataType) -> pa.RecordBatch:
+        who = np.repeat(np.arange(len(self.matrix)), [len(x) for x in self.scores])
+        ids = pa.array(np.concatenate(self.ids).tolist() if len(who) else [], kind)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(who)), ids, pa.array(np.concatenate([*self.scores, np.array([])]))], names=[query_id, "id", "score"])
+
+
+def unit_queries(queries: DataFrame, query_id: str, query: str) -> tuple[pa.Array, np.ndarray]:
+    """Ids and unit vectors of the queries that are not zero or null; all must be of one length. For a bounded block of queries."""
+    rows = queries.select(query_id, query).toArrow()
     names = rows.column(0).combine_chunks()
-    wanted = [np.array(x.as_py(), np.float64) for x in rows.column(1)]
-    keep = [k for k, x in enumerate(wanted) if x.any()]
-    if len({len(wanted[k]) for k in keep}) > 1:
+    wanted = [np.array(x.as_py() or [], np.float64) for x in rows.column(1)]
+    kept = [k for k, x in enumerate(wanted) if x.any()]
+    if len({len(wanted[k]) for k in kept}) > 1:
         raise ValueError("queries of unequal lengths")
-    names = names.take(pa.array(keep, pa.int64()))
-    matrix = np.array([wanted[k] / np.linalg.norm(wanted[k]) for k in keep])
+    return names.take(pa.array(kept, pa.int64())), np.array([wanted[k] / np.linalg.norm(wanted[k]) for k in kept])
+
+
+def _one_block(queries: DataFrame, vectors: DataFrame, limit: int, query_id: str, query: str) -> DataFrame:
+    names, matrix = unit_queries(queries, query_id, query)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_ids, best = [np.array([], object)] * len(keep), [np.array([])] * len(keep)
+        best, kind = Best(matrix, limit), pa.string()
         for batch in batches:
-            if not keep or not len(batch):
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            if x.shape[1] != matrix.shape[1]:
-                raise ValueError(f"vectors of lengths {matrix.shape[1]} and {x.shape[1]}")
-            size = np.linalg.norm(x, axis=1)
-            x /= np.where(size == 0, 1, size)[:, None]
-            scores = matrix @ x.T
-            ids = np.array(batch.column(0).to_pylist(), object)
-            for q in range(len(keep)):
-                # Products of matrices may round equal vectors apart; the few that matter are multiplied one by one.
-                some = _likely(scores[q], limit)
-                own_ids, own = np.append(best_ids[q], ids[some]), np.append(best[q], (x[some] * matrix[q]).sum(1))
-                top = _top(own_ids, own, limit)
-                best_ids[q], best[q] = own_ids[top], own[top]
-        if any(len(x) for x in best):
-            who = np.repeat(np.arange(len(keep)), [len(x) for x in best])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), pa.array(np.concatenate(best_ids).tolist()), pa.array(np.concatenate(best))], names=[query_id, "id", "score"])
+            kind = batch.column(0).type
+            best.add(batch.column(0), batch.column(1))
+        if any(len(x) for x in best.scores):
+            yield best.batch(names, query_id, kind)
 
     kinds = queries.schema[query_id].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     return vectors.select("id", "vector").mapInArrow(run, f"{query_id} {kinds[0]}, id {kinds[1]}, score double")

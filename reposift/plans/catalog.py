@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reposift.functions import text
 from reposift.functions import vectors as V
-from reposift.operators import code_index, digest, embedding, failures, inference, listing, search, sync, tagging, translate
+from reposift.operators import code_index, digest, embedding, failures, inference, listing, search, sync, tagging, translate, vector_index
 from reposift.plans import fixtures as fx
 from reposift.plans import jobs
 from reposift.session import workspace
@@ -437,7 +437,10 @@ def v2_norm(spark, sf_dir):
     return search.with_norm(fx.vectors(spark, sf_dir)).select("id", F.round("norm", 6).alias("norm"))
 
 
-@query(HITS + "SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 10")
+NEAREST = HITS + "SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 10"
+
+
+@query(NEAREST)
 def v3_search(spark, sf_dir):
     return search.search(fx.vectors(spark, sf_dir), fx.first_vector(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
 
@@ -448,14 +451,32 @@ def v4_filtered_search(spark, sf_dir):
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@query("""--with ranked AS (SELECT vec_id AS query_id, v.id, list_cosine_similarity(v.vector, e.embedding::DOUBLE[]) AS score FROM vectors v, embeddings e WHERE vec_id % 50 = 0),
+NEAREST_OF_EACH = """--with ranked AS (SELECT vec_id AS query_id, v.id, list_cosine_similarity(v.vector, e.embedding::DOUBLE[]) AS score FROM vectors v, embeddings e WHERE vec_id % 50 = 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ranked)
-SELECT query_id, id, round(score, 6) AS score, rank FROM placed WHERE rank <= 10""")
+SELECT query_id, id, round(score, 6) AS score, rank FROM placed WHERE rank <= 10"""
+
+
+@query(NEAREST_OF_EACH)
 def v5_batch_search(spark, sf_dir):
     found = search.batch_search(fx.query_vectors(spark, sf_dir), fx.vectors(spark, sf_dir))
     return found.select("query_id", "id", F.round("score", 6).alias("score"), n("rank").alias("rank"))
 
 
+@query(NEAREST)
+def v3_indexed_search(spark, sf_dir):
+    # The same hits from an index over the vectors, whose files are read only where a hit can be.
+    index = vector_index.build(fx.vectors(spark, sf_dir), workspace(spark))
+    asked = fx.load(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.search(spark, index, asked).hits.select("id", F.round("score", 6).alias("score"))
+
+
+@query(NEAREST_OF_EACH)
+def v5_indexed_search(spark, sf_dir):
+    index = vector_index.build(fx.vectors(spark, sf_dir), workspace(spark))
+    found = vector_index.search(spark, index, fx.query_vectors(spark, sf_dir)).hits
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), n("rank").alias("rank"))
+
+
 @query("SELECT id, kind FROM vectors WHERE kind = 'star' OR path IS NOT NULL")
 def v6_typed_hits(spark, sf_dir):
     return search.typed_hits(fx.vectors(spark, sf_dir)).select("id", "kind")
