@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ LOCALE_NAMES = {
     "fr": "Français", "es": "Español", "pt-BR": "Português brasileiro", "ru": "Русский", "vi": "Tiếng Việt",
 }
 
+#: Code units of a text that is hashed together with others, and of such a group.
+LONG_UNITS, MATRIX_UNITS = 8192, 1 << 21
+
 
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
@@ -81,17 +86,49 @@ def fill_template(template: Column, values: Column) -> Column:
     return F.array_join(F.transform(parts, one), "")
 
 
+def djb2_units(texts: list[str | None], seed: int) -> list[str | None]:
+    """The hash of djb2() of many texts: a step a column of their code units over all texts that are so long; very long texts one by one."""
+    units = [None if t is None else np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    size = np.array([-1 if u is None else len(u) for u in units])
+    state = np.full(len(texts), seed & 0xFFFFFFFF, np.uint32)
+    for k in np.flatnonzero(size > LONG_UNITS).tolist():
+        h = seed
+        for u in units[k].tolist():
+            h = (h * 33 & 0xFFFFFFFF) ^ u
+        state[k] = h
+    order = np.flatnonzero((size >= 0) & (size <= LONG_UNITS))
+    order = order[np.argsort(-size[order], kind="stable")]
+    # Texts of like length share a matrix, a column of which is one step; it is padded to the longest.
+    lo = 0
+    while lo < len(order):
+        width = max(1, int(size[order[lo]]))
+        own = order[lo : lo + max(1, MATRIX_UNITS // width)]
+        matrix = np.zeros((width, len(own)), np.uint32)
+        for c, k in enumerate(own.tolist()):
+            matrix[: size[k], c] = units[k]
+        h, falling = state[own], -size[own]
+        for row in range(width):
+            n = int(np.searchsorted(falling, -row, "left"))
+            if not n:
+                break
+            h[:n] = (h[:n] * np.uint32(33)) ^ matrix[row, :n]
+        state[own] = h
+        lo += len(own)
+    return [None if n < 0 else f"{h:x}" for h, n in zip(state.tolist(), size.tolist(), strict=True)]
+
+
 def djb2(text: Column, seed: int = 5381) -> Column:
     """32-bit xor variant of the djb2 hash over UTF-16 units, in lower-case hexadecimal.
 
     For equality with hashes that are stored already; new jobs use xxhash64,
     as 32 bits are too few for large tables.
     """
-    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    high = lambda c: F.shiftright(c - 0x10000, 10) + 0xD800
-    low = lambda c: (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
-    units = F.flatten(F.transform(points, lambda c: F.when(c > 0xFFFF, F.array(high(c), low(c))).otherwise(F.array(c))))
-    return F.lower(F.hex(F.aggregate(units, F.lit(seed).cast("long"), lambda h, c: (h * 33).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(c))))
+
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series(djb2_units(texts.tolist(), seed), dtype=object)
+
+    return hashed(text)
 
 
 def localized(by_locale: Column, original: Column, locale: str) -> Column:

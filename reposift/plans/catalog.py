@@ -1021,3 +1021,19 @@ FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL""")
 def e4_chat(spark, sf_dir):
     asked = fx.load(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL").select("conv_id", "turn", "role", "text")
     return inference.chat(asked, _answers, "role", "text", batch=1).select("conv_id", "turn", "reply", "status")
+
+
+def _first_model(texts):
+    return [f"first {len(x)}" for x in texts]
+
+
+def _second_model(texts):
+    return [f"second {len(x)}" for x in texts]
+
+
+@query("SELECT doc_id, CASE WHEN bool_or(doc_id % 3 = 0) OVER (PARTITION BY text) THEN 'first ' ELSE 'second ' END || length(text) AS answer FROM documents WHERE text IS NOT NULL")
+def e4_ledger(spark, sf_dir):
+    # A run that ended after a third of its inputs; the next one asks for the rest only.
+    docs, ledger = fx.load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), workspace(spark)
+    inference.infer(docs.where("doc_id % 3 = 0"), _first_model, "text", "answer", "string", in_flight=8, ledger=ledger).write.format("noop").mode("overwrite").save()
+    return inference.infer(docs, _second_model, "text", "answer", "string", in_flight=8, ledger=ledger).select("doc_id", "answer")

@@ -68,3 +68,11 @@ def test_mean_vector(spark):
     assert {r.u: r.m for r in df.groupBy("u").agg(V.mean_vector(F.col("v")).alias("m")).collect()} == {1: [0.5, 0.5], 2: [3.0, 3.0]}
     with pytest.raises(Exception, match="(?i)dimension|unequal"):
         df.union(spark.createDataFrame([(1, [1.0])], df.schema)).groupBy("u").agg(V.mean_vector(F.col("v"))).collect()
+
+
+def test_djb2_of_many_texts_at_once(monkeypatch):
+    monkeypatch.setattr(text, "LONG_UNITS", 300)
+    monkeypatch.setattr(text, "MATRIX_UNITS", 700)
+    values = [None, "", "a", "中🎉é" * 20, "x" * 299, "y" * 5000, *(chr(97 + k % 26) * k for k in range(60))]
+    assert text.djb2_units(values, 5381) == [None if v is None else djb2(v, 5381) for v in values]
+    assert text.djb2_units([], 1) == []

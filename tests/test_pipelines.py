@@ -81,7 +81,7 @@ def test_inference_halves_refused_batches_and_retries(spark):
             raise inference.ModelError("rate_limit", "wait", 2.0 if len(calls) == 1 else None)
         return x
 
-    assert inference.call(shaky, [1], 3, waits.append) == ([1], 3) and waits == [2.0, 1.5]
+    assert inference.call(shaky, [1], 3, waits.append) == ([1], 3, None) and waits == [2.0, 1.5]
     assert [x[1:3] for x in inference.outcomes(lambda x: x[:1], [1, 2], 3, True, waits.append)] == [("failed", "bad_output")] * 2
     assert [x[2] for x in inference.outcomes(lambda x: 1 / 0, [1], 3, True, waits.append)] == [None]
 
@@ -276,3 +276,75 @@ def test_labels_of_languages_are_normalised_before_chunking(spark):
     files = spark.createDataFrame([(1, "a", code, " Python"), (2, "b", code, "py"), (3, "c", code, "Cobol"), (4, "d", code, None), (5, "e", "", "python")], "repo_id long, path string, content string, language string")
     got = {(r.repo_id, r.kind, r.start_line, r.end_line) for r in code_index.chunks(files).collect()}
     assert got == {(1, "function", 2, 4), (2, "function", 2, 4), (3, "window", 1, 4), (4, "window", 1, 4)}
+
+
+def test_a_failure_tells_its_true_number_of_tries():
+    def refuse(kind):
+        def fn(x):
+            raise inference.ModelError(kind)
+
+        return fn
+
+    tries = lambda kind: [x[4] for x in inference.outcomes(refuse(kind), [1, 2], 3, False, lambda s: None)]
+    assert tries("bad_request") == [1, 1] and tries("rate_limit") == [3, 3]
+
+
+def test_a_run_after_a_lost_one_calls_nothing_twice(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+    rows = spark.createDataFrame([(k, f"text {k % 50}") for k in range(120)], "id long, input string").repartition(3)
+
+    def model(dies):
+        def fn(texts):
+            import os
+            import uuid
+
+            if dies and any(x.endswith("7") for x in texts) and len(os.listdir(str(log))) > 4:
+                raise SystemExit("the executor is gone")
+            (log / uuid.uuid4().hex).write_text("\n".join(texts))
+            return [x.upper() for x in texts]
+
+        return fn
+
+    run = lambda dies: inference.infer(rows, model(dies), "input", "out", "string", batch=4, in_flight=3, ledger=f"file://{tmp_path}/ledger").collect()
+    with pytest.raises(Exception, match="executor is gone|SystemExit|exited|Python worker"):
+        run(True)
+    before = len(list(log.iterdir()))
+    assert before > 4
+    with open(next((tmp_path / "ledger").iterdir()), "a") as half:
+        half.write('["torn line')
+    got = run(False)
+    assert {r.id: r.out for r in got} == {k: f"TEXT {k % 50}" for k in range(120)} and all(r.status == "done" for r in got)
+    called = [x for f in log.iterdir() for x in f.read_text().split("\n")]
+    assert len(called) == len(set(called)) == 50
+    run(False)
+    assert len(list(log.iterdir())) > before and sum(len(f.read_text().split("\n")) for f in log.iterdir()) == 50
+
+
+def test_failures_are_asked_again_and_repeats_share_an_answer(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "bad"), (2, "good"), (3, "bad"), (4, "good"), (5, None)], "id long, input string")
+
+    def strict(texts):
+        if "bad" in texts:
+            raise inference.ModelError("bad_request", "no")
+        return [str(x) for x in texts]
+
+    run = lambda fn: {r.id: (r.out, r.status) for r in inference.infer(rows, fn, "input", "out", "string", in_flight=1, ledger=str(tmp_path / "l")).collect()}
+    assert run(strict) == {1: (None, "failed"), 2: ("good", "done"), 3: (None, "failed"), 4: ("good", "done"), 5: ("None", "done")}
+    assert run(lambda x: ["new"] * len(x)) == {1: ("new", "done"), 2: ("good", "done"), 3: ("new", "done"), 4: ("good", "done"), 5: ("None", "done")}
+
+
+def test_calls_are_paced():
+    now, waits = [0.0], []
+
+    def sleep(seconds):
+        waits.append(round(seconds, 6))
+        now[0] += seconds
+
+    fn = inference.paced(lambda x: x, 2.0, sleep, lambda: now[0])
+    fn([1]), fn([2])
+    now[0] += 5
+    fn([3]), fn([4])
+    assert waits == [2.0, 2.0]
+    with pytest.raises(ValueError, match="in_flight"):
+        inference.infer(None, None, "a", "b", "string", per_second=3)
