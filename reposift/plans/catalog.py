@@ -102,6 +102,16 @@ def s5_bodies(spark, sf_dir):
     return code_source.file_bodies(contents).select("doc_id", "content", n(F.length("content")).alias("size"))
 
 
+@query("SELECT doc_id, text || chr(10) AS content, strlen(text) + 1 AS bytes FROM documents WHERE strlen(text) < 20000 AND text <> ''")
+def s6_source_tree(spark, sf_dir):
+    # A tree with a folder for each document; the largest files are left out by the listing.
+    root = workspace(spark)
+    docs = fx.load(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    docs.repartition(8, "doc_id").write.partitionBy("doc_id").text(root)
+    files = code_source.read_source_tree(spark, root, "part-*", largest=20000)
+    return files.select(F.regexp_extract("path", r"^doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "content", "bytes")
+
+
 # Sync
 
 
@@ -549,10 +559,10 @@ def n1_prompt(spark, sf_dir):
     return rows.select("id", digest.summary_prompt(digest.recency(F.col("pushed_at"), fx.now())).alias("prompt"))
 
 
-@query(f"""SELECT s.id, nullif(regexp_replace(r.reply, '^\\s+|\\s+$', '', 'g'), '') AS summary FROM stars s LEFT JOIN (SELECT star_id, reply FROM replies WHERE turn = 1) r ON r.star_id = s.id WHERE {CANDIDATE}""")
+@query(f"""SELECT s.id, nullif(regexp_replace(r.reply, '^\\s+|\\s+$', '', 'g'), '') AS summary FROM stars s LEFT JOIN (SELECT star_id, arg_max(reply, turn) AS reply FROM replies GROUP BY star_id) r ON r.star_id = s.id WHERE {CANDIDATE}""")
 def n2_attach(spark, sf_dir):
     entries = fx.stars(spark, sf_dir).where(digest.is_candidate(fx.now()))
-    replies = fx.replies(spark, sf_dir).where("turn = 1").select(F.col("star_id").alias("id"), "reply")
+    replies = fx.replies(spark, sf_dir).groupBy(F.col("star_id").alias("id")).agg(F.max_by("reply", "turn").alias("reply"))
     return digest.attach_summaries(entries, replies, ("id",)).select("id", "summary")
 
 
@@ -794,9 +804,9 @@ def l4_backfill(spark, sf_dir):
     return done.select("id", cached("description_i18n").alias("description_zh"), cached("ai_tags_i18n").alias("tags_zh"))
 
 
-@query("SELECT id, description AS description_user, array_to_string(ai_tags, ', ') AS tags_user FROM stars")
+@query(f"""SELECT id, '{translate.system_prompt("ja")}' AS description_system, description AS description_user, '{translate.system_prompt("ja", "tags")}' AS tags_system, array_to_string(ai_tags, ', ') AS tags_user FROM stars""")
 def l5_prompts(spark, sf_dir):
-    return translate.prompts(fx.stars(spark, sf_dir), "ja").select("id", "description_user", "tags_user")
+    return translate.prompts(fx.stars(spark, sf_dir), "ja").select("id", "description_system", "description_user", "tags_system", "tags_user")
 
 
 PEEL = "regexp_replace({}, '^(?i:Translation|Translated|Result|Output|译文)\\s*[:：]\\s*', '')".format
@@ -816,13 +826,13 @@ def _parse_sql(reply: str) -> str:
 
 @query(f"""SELECT star_id, turn, CASE WHEN done <> '' AND length(done) <= 1200 THEN done END AS translation FROM (SELECT star_id, turn, {TRIM("CASE WHEN starts_with(plain, chr(34)) AND ends_with(plain, chr(34)) AND length(plain) >= 2 AND NOT contains(plain[2:-2], chr(34)) THEN plain[2:-2] ELSE plain END")} AS done
 FROM (SELECT star_id, turn, {_parse_sql("reply")} AS plain FROM (SELECT star_id, turn, {TRIM("shown")} AS reply FROM
-  (SELECT star_id, turn, CASE turn % 4 WHEN 0 THEN 'Translation: 译文: ' || reply WHEN 1 THEN chr(34) || substr(reply, 1, 200) || chr(34) WHEN 2 THEN '**' || substr(reply, 1, 30) || '**' || chr(10) || chr(10) || '(Note)' ELSE reply || ' (I kept it)' END AS shown FROM replies))))""")
+  (SELECT star_id, turn, CASE turn % 4 WHEN 0 THEN 'Translation: 译文: ' || reply WHEN 1 THEN chr(34) || reply || chr(34) WHEN 2 THEN '**' || reply || '**' || chr(10) || chr(10) || '(Note)' ELSE reply || ' (I kept it)' END AS shown FROM replies))))""")
 def l6_parse_translation(spark, sf_dir):
     turn, quote = F.col("turn") % 4, F.lit('"')
     shown = (
         F.when(turn == 0, F.concat(F.lit("Translation: 译文: "), F.col("reply")))
-        .when(turn == 1, F.concat(quote, F.substring("reply", 1, 200), quote))
-        .when(turn == 2, F.concat(F.lit("**"), F.substring("reply", 1, 30), F.lit("**\n\n(Note)")))
+        .when(turn == 1, F.concat(quote, F.col("reply"), quote))
+        .when(turn == 2, F.concat(F.lit("**"), F.col("reply"), F.lit("**\n\n(Note)")))
         .otherwise(F.concat(F.col("reply"), F.lit(" (I kept it)")))
     )
     return fx.replies(spark, sf_dir).select("star_id", "turn", translate.parse_translation(shown).alias("translation"))

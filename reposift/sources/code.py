@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +33,21 @@ def file_bodies(contents: DataFrame) -> DataFrame:
     return files.withColumn("content", decode_body(F.col("content"))).drop("type", "encoding")
 
 
-def read_source_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, content, bytes) of all files below root; paths are relative to it."""
+#: Bytes of the largest file that is worth reading.
+LARGEST_FILE = 1 << 20
+
+
+def read_source_tree(spark: SparkSession, root: str, glob: str = "*", largest: int | None = None) -> DataFrame:
+    """(path, content, bytes) of all files below root; paths are relative to it.
+
+    Sizes come from the listing. Files over largest bytes are left out there, so
+    they are never opened, and Spark packs the rest by size into tasks of
+    spark.sql.files.maxPartitionBytes, each file with what opening it costs.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    base = root.rstrip("/") + "/"
-    return files.select(
+    base = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    some = files if largest is None else files.where(F.col("length") <= largest)
+    return some.select(
         F.regexp_replace(F.substr("path", F.instr("path", base) + F.lit(len(base))), "^/+", "").alias("path"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("bytes"),

@@ -348,3 +348,16 @@ def test_calls_are_paced():
     assert waits == [2.0, 2.0]
     with pytest.raises(ValueError, match="in_flight"):
         inference.infer(None, None, "a", "b", "string", per_second=3)
+
+
+def test_large_files_are_left_out_by_the_listing(spark, tmp_path):
+    from reposift.sources import code
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "small.py").write_text("x = 1")
+    (tmp_path / "a" / "b" / "large.bin").write_bytes(b"\0" * 5000)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        found = code.read_source_tree(spark, root, largest=1000)
+        assert [(r.path, r.content, r.bytes) for r in found.collect()] == [("a/small.py", "x = 1", 5)]
+        assert "LessThanOrEqual(length,1000)" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.path for r in code.read_source_tree(spark, str(tmp_path)).collect()} == {"a/small.py", "a/b/large.bin"}
