@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reposift.functions import text
 from reposift.functions import vectors as V
+from reposift.operators import keys
 
 RELEVANCE_WEIGHT, RECENCY_WEIGHT = 0.8, 0.2
 WINDOW_DAYS, LIMIT = 7, 10
@@ -72,6 +73,19 @@ def digest(stars: DataFrame, vectors: DataFrame, now: Column, window_days: float
     return rows.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
+def digest_from(stars: DataFrame, vectors: DataFrame, kept: DataFrame, now: Column, window_days: float = WINDOW_DAYS, limit: int = LIMIT, scope: str = "star") -> DataFrame:
+    """digest() with profiles that are kept (user_id, profile; see profile_state): vectors of candidates alone are moved."""
+    check(window_days, limit)
+    rows = vectors if scope == "all" else vectors.where("kind = 'star'")
+    candidates = stars.where(is_candidate(now, window_days))
+    wanted = keys.keep(rows, candidates.select(F.col("id").alias("star_id")), "star_id")
+    both = candidates.join(star_vectors(wanted), "id").join(kept, "user_id")
+    ranked = both.withColumns({"relevance": V.cosine(F.col("profile"), F.col("vector")), "recency": recency(F.col("pushed_at"), now, window_days)}).drop("profile", "vector")
+    scores = ranked.withColumn("score", RELEVANCE_WEIGHT * F.col("relevance") + RECENCY_WEIGHT * F.col("recency"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("pushed_at"), "id"))
+    return scores.withColumn("rank", place).where(F.col("rank") <= limit)
+
+
 def digest_by_settings(stars: DataFrame, vectors: DataFrame, settings: DataFrame, now: Column, scope: str = "star") -> DataFrame:
     """digest() with each user's own window_days and limit; users without settings get the usual ones. settings: rows that keep settings_rules()."""
     own = settings.select("user_id", F.col("window_days").cast("double").alias("__window"), F.col("limit").alias("__limit"))

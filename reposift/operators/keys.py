@@ -20,7 +20,7 @@ BITS, BLOCKS = 16, 2_000_000
 def _place(on: list[str], blocks: int) -> tuple[Column, Column]:
     """A key's block, and its four bits in it."""
     h = F.xxhash64(*on, F.lit("bloom"))
-    bit = lambda k: F.shiftleft(F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
     bits = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
     return F.pmod(F.shiftrightunsigned(h, 24), F.lit(blocks)), bits
 

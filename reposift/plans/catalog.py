@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reposift.functions import text
 from reposift.functions import vectors as V
-from reposift.operators import code_index, digest, embedding, failures, inference, listing, search, sync, tagging, translate, vector_index
+from reposift.operators import code_index, digest, embedding, failures, inference, listing, profile_state, search, sync, tagging, text_index, translate, vector_index
 from reposift.plans import fixtures as fx
 from reposift.plans import jobs
 from reposift.session import workspace
@@ -284,6 +284,22 @@ def f2_filter(spark, sf_dir):
     return listing.manage_filter(fx.stars(spark, sf_dir), only_language="de").select("id")
 
 
+HAYSTACK = "lower(full_name || ' ' || coalesce(description, '') || ' ' || coalesce(desc_zh, '') || ' ' || array_to_string(ai_tags, ' ') || ' ' || coalesce(tags_zh, ''))"
+
+
+@query(f"SELECT id, contains({HAYSTACK}, 'token = ') AS had FROM stars WHERE contains(CASE WHEN id % 10 = 0 THEN 'my token = ' || full_name ELSE {HAYSTACK} END, 'token = ')")
+def f3_indexed_search(spark, sf_dir):
+    # An index over all stars, brought up to date after a tenth of them changed; had: what the search found before.
+    tables = tables_source.Snapshots(spark, workspace(spark), text_index.layouts(4))
+    rows = fx.stars(spark, sf_dir).select("id", "full_name", listing.haystack("zh-CN").alias("text"))
+    text_index.refresh(tables, rows)
+    had = text_index.find(tables, "token = ").hits.select(F.col("key").alias("id"), F.lit(True).alias("__had"))
+    new = F.concat(F.lit("my token = "), F.col("full_name"))
+    text_index.refresh(tables, rows.withColumn("text", F.when(F.col("id") % 10 == 0, new).otherwise(F.col("text"))))
+    found = text_index.find(tables, "token = ").hits.select(F.col("key").alias("id"))
+    return found.join(had, "id", "left").select("id", F.coalesce("__had", F.lit(False)).alias("had"))
+
+
 @query("""SELECT id FROM stars WHERE contains(lower(full_name || ' ' || coalesce(description, '') || ' ' || coalesce(desc_zh, '') || ' ' || array_to_string(ai_tags, ' ') || ' ' || coalesce(tags_zh, '')), 'the er')""")
 def f3_text_search(spark, sf_dir):
     return listing.text_search(fx.stars(spark, sf_dir), " The ER  ", "zh-CN").select("id")
@@ -525,16 +541,34 @@ def d3_recency(spark, sf_dir):
     return fx.stars(spark, sf_dir).where("pushed_at IS NOT NULL").select("id", F.round(digest.recency(F.col("pushed_at"), fx.now()), 6).alias("recency"))
 
 
-@query(PROFILE + f""", near AS (SELECT u.user_id, u.id, pushed_at, list_cosine_similarity(p.profile, v.vector) AS relevance, ({RECENCY})::DOUBLE AS recency
+DIGEST = (PROFILE + f""", near AS (SELECT u.user_id, u.id, pushed_at, list_cosine_similarity(p.profile, v.vector) AS relevance, ({RECENCY})::DOUBLE AS recency
   FROM user_stars u JOIN star_vectors v ON v.star_id = u.id JOIN profile p USING (user_id) WHERE {CANDIDATE}),
 placed AS (SELECT *, 0.8::DOUBLE * relevance + 0.2::DOUBLE * recency AS score FROM near),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pushed_at DESC, id) AS rank FROM placed)
 SELECT user_id, id, rank, round(score, 6) AS score, round(relevance, 6) AS relevance, round(recency, 6) AS recency FROM ranked WHERE rank <= 10""")
+
+
+@query(DIGEST)
 def d5_digest(spark, sf_dir):
     found = digest.digest(fx.user_stars(spark, sf_dir), fx.star_vectors(spark, sf_dir), fx.now())
     return found.select("user_id", "id", n("rank").alias("rank"), *(F.round(x, 6).alias(x) for x in ("score", "relevance", "recency")))
 
 
+@query(DIGEST)
+def d5_kept_profiles(spark, sf_dir):
+    # Profiles from a former state of stars and vectors, changed by what came, went or was embedded anew since.
+    pairs, vectors = fx.user_pairs(spark, sf_dir), fx.star_vectors(spark, sf_dir)
+    own = vectors.select(F.col("star_id").alias("id"), "vector")
+    former = own.where("id % 11 <> 0").withColumn("vector", F.when(F.col("id") % 7 == 0, F.reverse("vector")).otherwise(F.col("vector")))
+    lost = pairs.where("id % 5 = 1").withColumn("id", F.col("id") + 1)
+    before = pairs.where("id % 3 <> 0").unionByName(lost).distinct(), former
+    tables = tables_source.Snapshots(spark, workspace(spark), profile_state.layouts(4))
+    profile_state.refresh(tables, None, before)
+    profile_state.refresh(tables, before, (pairs, own))
+    found = digest.digest_from(fx.user_stars(spark, sf_dir), vectors, profile_state.profiles(tables.read(profile_state.TABLE)), fx.now())
+    return found.select("user_id", "id", n("rank").alias("rank"), *(F.round(x, 6).alias(x) for x in ("score", "relevance", "recency")))
+
+
 @query(f"""SELECT user_id, CASE WHEN count(v.star_id) = 0 THEN 0 ELSE count(*) FILTER (WHERE {CANDIDATE} AND v.star_id IS NOT NULL) END AS ranked,
   CASE WHEN count(v.star_id) = 0 THEN 0 ELSE count(*) FILTER (WHERE {CANDIDATE} AND v.star_id IS NULL) END AS unembedded, count(v.star_id) = 0 AS profile_empty
 FROM user_stars u LEFT JOIN star_vectors v ON v.star_id = u.id GROUP BY user_id""")
