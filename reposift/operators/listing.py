@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reposift.functions import text
+from reposift.session import workspace
 
 #: Tag chips shown at most.
 TAG_FACETS = 40
@@ -163,8 +163,11 @@ def places(rows: DataFrame, order: list[Column], by: tuple[str, ...] = ("user_id
     """
     keys = [F.col(x) for x in by]
     ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    # Kept, so that counting and numbering see the same ranges.
-    held = ordered.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist(StorageLevel.DISK_ONLY)
+    # Written, so that counting and numbering see the same ranges, lost executors or not.
+    numbered = ordered.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    folder = workspace(rows.sparkSession)
+    numbered.write.parquet(folder)
+    held = rows.sparkSession.read.schema(numbered.schema).parquet(folder)
     spans = held.groupBy("__part", *by).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = spans.select("__part", *by, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
