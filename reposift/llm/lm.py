@@ -50,6 +50,8 @@ ROUNDS, PASSES, RATE = 16, 2, 0.1
 CHUNK, HELD_WORDS = 1 << 13, 500_000
 #: What a counted word is more than its count, and a word that was never counted in all.
 UNSEEN = 0.5
+#: Words after the frequent ones whose counts are sent to all tasks, so that no word of the join for the others is a hot key.
+NEAR = 1 << 16
 #: Weights in one row of what tasks send.
 ROW = 1024
 
@@ -201,13 +203,18 @@ class Adam:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Hashes of the frequent words in order and their numbers; how often each number and how many different words of it were counted; the counts (word, n) of all words."""
+    """Hashes of the frequent words in order and their numbers; how often each number and how many different words of it were counted; the counts (word, n) of all words.
+
+    near and shares: hashes of the next NEAR words in order, and the logarithms of their shares before division.
+    """
 
     words: np.ndarray
     numbers: np.ndarray
     counts: np.ndarray
     kinds: np.ndarray
     table: DataFrame
+    near: np.ndarray
+    shares: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -225,7 +232,7 @@ def hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """Count the words of all documents. The driver gets one count for each of FREQUENT words and TAIL endings; all counts are written as a table."""
+    """Count the words of all documents. The driver gets one count for each of FREQUENT + NEAR words and TAIL endings; all counts are written as a table."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -254,7 +261,8 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
     table = docs.select(text).mapInArrow(count, "word long, number int, n long").groupBy("word").agg(F.min("number").alias("number"), F.sum("n").alias("n"))
     table = stored(table)
     tail = table.groupBy("number").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
-    top = table.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    most = table.orderBy(F.desc("n"), "word").limit(FREQUENT + NEAR).toArrow()
+    top = most.slice(0, FREQUENT).to_pylist()
     counts, kinds = np.zeros(WORDS), np.zeros(WORDS)
     for r in tail:
         counts[r["number"]], kinds[r["number"]] = r["n"], r["kinds"]
@@ -264,7 +272,9 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
         counts[k], kinds[k] = r["n"], 1
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
-    return Vocabulary(words[order], order, counts, kinds, table.select("word", "n"))
+    near, n = (most.slice(FREQUENT).column(x).to_numpy() for x in ("word", "n"))
+    by_hash = np.argsort(near.view(np.uint64))
+    return Vocabulary(words[order], order, counts, kinds, table.select("word", "n"), near.view(np.uint64)[by_hash], np.log(n[by_hash] + UNSEEN))
 
 
 def numbered(h: np.ndarray, ending: np.ndarray, words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -277,10 +287,16 @@ def numbered(h: np.ndarray, ending: np.ndarray, words: np.ndarray, numbers: np.n
     return out
 
 
-def _tail_words(h: np.ndarray, words: np.ndarray, rows: np.ndarray) -> pa.Array:
-    """The different words of each row that share a number, with how often they occur in the row."""
+def _tail_words(h: np.ndarray, words: np.ndarray, rows: np.ndarray, near: np.ndarray, shares: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Of the words that share a number: the different ones of each row that are not near, with how often they occur in the row, and each row's sum of shares of the near ones."""
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     at = np.flatnonzero(words >= FREQUENT)
+    total = np.zeros(len(rows) - 1)
+    if len(near):
+        place = np.minimum(np.searchsorted(near, h[at]), len(near) - 1)
+        own = near[place] == h[at]
+        total = np.bincount(row[at[own]], shares[place[own]], len(rows) - 1)
+        at = at[~own]
     at = at[np.lexsort((h[at], row[at]))]
     new = np.ones(len(at), bool)
     new[1:] = (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1])
@@ -288,18 +304,19 @@ def _tail_words(h: np.ndarray, words: np.ndarray, rows: np.ndarray) -> pa.Array:
     n = np.diff(np.append(first, len(at)))
     parts = [pa.array(h[at[first]].view(np.int64)), pa.array(n.astype(np.int32))]
     ends = np.searchsorted(row[at[first]], np.arange(len(rows))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["word", "n"]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["word", "n"])), total
 
 
 TOKENS = T.StructType([
     T.StructField("__numbers", T.BinaryType()), T.StructField("__turn", T.IntegerType()), T.StructField("__row", T.LongType()),
-    T.StructField("__tail", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.IntegerType())]))),
+    T.StructField("__tail", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.IntegerType())]))), T.StructField("__near", T.DoubleType()),
 ])
 
 
 def tokens(df: DataFrame, known: Vocabulary, text: str = "text", rounds: int = ROUNDS, keep_text: bool = True) -> DataFrame:
-    """df with the numbers of its words (two bytes each), its round, a number of its row, and its words that share a number; written as a table in the order of rounds."""
+    """df with the numbers of its words (two bytes each), its round, a number of its row, its words that share a number and the shares of the near ones; written as a table in the order of rounds."""
     words, numbers = known.words, known.numbers
+    sent = df.sparkSession.sparkContext.broadcast((known.near, known.shares))
     turn = F.pmod(F.xxhash64(text), F.lit(rounds)).cast("int")
     given = df.withColumns({"__turn": turn, "__row": F.monotonically_increasing_id()})
     names = df.columns
@@ -312,7 +329,8 @@ def tokens(df: DataFrame, known: Vocabulary, text: str = "text", rounds: int = R
                 packed = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * rows).astype(np.int32)), pa.py_buffer(own)])
                 cut = batch.slice(lo, hi - lo)
                 kept = [cut.column(k) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*kept, packed, cut.column(len(names)), cut.column(len(names) + 1), _tail_words(h, own, rows)], names=[*names, *TOKENS.names])
+                tail, near = _tail_words(h, own, rows, *sent.value)
+                yield pa.RecordBatch.from_arrays([*kept, packed, cut.column(len(names)), cut.column(len(names) + 1), tail, pa.array(near)], names=[*names, *TOKENS.names])
 
     made = given.mapInArrow(run, T.StructType([*df.schema.fields, *TOKENS.fields]))
     return stored((made if keep_text else made.drop(text)).sortWithinPartitions("__turn"))
@@ -374,12 +392,12 @@ def score_tokens(table: DataFrame, model: Model, n_words: str, log_prob: str) ->
             for lo, hi, own, rows in _unpacked_rows(batch.column(batch.schema.get_field_index("__numbers"))):
                 total = np.append(0, np.cumsum(log_probs(w, own, contexts(own, rows)) - base[own]))
                 cut = batch.slice(lo, hi - lo)
-                sums = np.where(np.diff(rows) > 0, np.diff(total[rows]), 0.0)
+                sums = np.where(np.diff(rows) > 0, np.diff(total[rows]), 0.0) + cut.column(cut.schema.get_field_index("__near")).to_numpy()
                 yield pa.RecordBatch.from_arrays([*(cut.column(cut.schema.get_field_index(x)) for x in [*names, "__row"]), pa.array(np.diff(rows)), pa.array(sums)], names=[*names, "__row", n_words, log_prob])
 
     fields = [table.schema[x] for x in [*names, "__row"]]
     scored = table.drop("__tail", "__turn").mapInArrow(run, T.StructType([*fields, T.StructField(n_words, T.LongType()), T.StructField(log_prob, T.DoubleType())]))
-    # A word that shares its number is rarer than every word with a number of its own, so no key of this join is hot.
+    # The words of this join are rarer than all NEAR ones, whose shares are added already: no key of it is hot.
     found = table.select("__row", F.explode("__tail").alias("t")).select("__row", "t.word", "t.n")
     shares = known.table.select("word", F.log(F.col("n") + UNSEEN).alias("share"))
     sums = found.join(shares, "word", "left").groupBy("__row").agg(F.sum(F.col("n") * F.coalesce("share", F.lit(float(np.log(UNSEEN))))).alias("__shares"))
@@ -394,7 +412,7 @@ def score(df: DataFrame, model: Model, text: str = "text", n_words: str = "n_wor
     count. Null and empty texts have no words and the sum 0. All rows and
     columns stay, input columns of the new names are replaced; an empty table
     gives an empty table. Columns named like those of a table of tokens
-    (__numbers, __turn, __row, __tail) are renamed for the while.
+    (__numbers, __turn, __row, __tail, __near) are renamed for the while.
     """
     plain = df.drop(n_words, log_prob)
     clash = {x: unused(df, f"own{k}") for k, x in enumerate(plain.columns) if x.lower() in TOKENS.names}

@@ -97,7 +97,9 @@ def test_gradient_is_the_numerical_one():
             assert (loss[0] - loss[1]) / 0.04 == pytest.approx(gradient[at], rel=0.05), name
 
 
-def test_words_that_share_a_number_score_by_their_counts(spark):
+@pytest.mark.parametrize("near", [lm.NEAR, 300, 0])
+def test_words_that_share_a_number_score_by_their_counts(spark, monkeypatch, near):
+    monkeypatch.setattr(lm, "NEAR", near)
     rnd = random.Random(3)
     common = [f"c{k}" for k in range(lm.FREQUENT)]
     rare = [f"r{k}ing" for k in range(1500)]
@@ -105,7 +107,7 @@ def test_words_that_share_a_number_score_by_their_counts(spark):
     texts = [*texts, texts[0], None, "", "c1 " + rare[0]]
     df = spark.createDataFrame([(k % 43, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     known = lm.vocabulary(df)
-    assert len(known.words) == lm.FREQUENT and known.counts.sum() == sum(len((t or "").split()) for t in texts)
+    assert len(known.words) == lm.FREQUENT and len(known.near) == min(near, len({w for t in texts for w in (t or "").split()}) - lm.FREQUENT) and known.counts.sum() == sum(len((t or "").split()) for t in texts)
     want = Counter(w for t in texts for w in (t or "").split())
     assert {r.n for r in known.table.collect()} == set(want.values()) and known.table.count() == len(want) == known.kinds.sum()
     model = lm.train(lm.tokens(df, known), known, passes=1)
