@@ -34,6 +34,8 @@ BROADCAST_SEEDS = 1_000_000
 SIEVE_BITS = 27
 #: Parts into which the shuffle join deals the documents of one masked hash, one text or one item.
 SALTS = 32
+#: Candidates of one document that travel with one copy of its text, about.
+LIST = 1000
 #: Pairs of places that one numpy pass looks at.
 PAIRS = 1 << 20
 
@@ -260,8 +262,11 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = docs.select(_content(F.col("text")).alias("key"), "text")
     left = keyed.mapInArrow(of_docs, "h long, key string, at int").withColumn("salt", _salt("key", "at"))
     shifts = left.join(_dealt(right), ["h", "salt"]).select("key", "item_key", "size", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    # Each candidate takes the piece of the document that the item lies on; texts themselves are joined to lists of candidates, one row each.
-    listed = shifts.groupBy("key").agg(F.collect_list(F.struct("item_key", "size", "shift")).alias("items"))
+    shifts = checkpointed(shifts)
+    # Each candidate takes the piece of the document that the item lies on; texts themselves are joined to lists of candidates, of about LIST each however many a document has.
+    lists = shifts.groupBy("key").agg(F.ceil(F.count("*") / LIST).alias("lists"))
+    dealt = shifts.join(lists, "key").withColumn("list", F.pmod(F.xxhash64("item_key", "shift"), F.col("lists")))
+    listed = dealt.groupBy("key", "list").agg(F.collect_list(F.struct("item_key", "size", "shift")).alias("items")).drop("list")
     texts = keyed.dropDuplicates(["key"]).join(listed, "key")
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,13 @@ def test_same_as_brute_force_either_way(spark):
         assert decontam.overlaps(left.limit(0), right, most_seeds=most).count() == 0 and decontam.overlaps(left, right.limit(0), most_seeds=most).count() == 0
 
 
+def test_lists_of_candidates_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "LIST", 2)
+    docs, items, left, right = sample(spark)
+    want = sorted((row for d in docs for i in items for row in brute([d], [i])), key=str)
+    assert sorted((tuple(r) for r in decontam.overlaps(left, right, most_seeds=0).collect()), key=str) == want
+
+
 def test_clean_judges_each_row_by_its_text(spark):
     docs, items, left, right = sample(spark)
     named = left.withColumns({"__key": left["item_id"], "__SALT": left["text"]})
