@@ -2,7 +2,7 @@
 
 The vocabulary is searched with an Aho-Corasick automaton, once over all urls of
 a batch. A term counts only where no letter or digit stands directly before or
-after it; percent-encoded letters, digits and hyphens count as themselves. One
+after it (beyond ASCII everything counts as a letter); percent-encoded letters, digits and hyphens count as themselves. One
 strict term, or SOFT_LIMIT distinct soft terms, blocks the url.
 """
 
@@ -86,7 +86,7 @@ def count_hits(urls: list[str], strict: tuple[str, ...], soft: tuple[str, ...])
         return np.zeros((len(urls), 2), np.int32)
     end, number, size = np.array(found, np.int64).T
     chars = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32)
-    word = ((chars >= 48) & (chars <= 57)) | ((chars >= 97) & (chars <= 122))
+    word = ((chars >= 48) & (chars <= 57)) | ((chars >= 97) & (chars <= 122)) | (chars >= 128)
     alone = ~word[end + 2] & ~word[end - size + 1]
     row = np.searchsorted(np.flatnonzero(chars == 10), end + 1)  # line breaks before the hit
     once = np.unique(np.stack((row, number), 1)[alone], axis=0)
@@ -130,7 +130,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft
 
 def oracle() -> str:
     terms = lambda words: "[" + ", ".join(f"'{x}'" for x in words) + "]"
-    count = lambda words: f"len(list_filter({terms(words)}, lambda t: regexp_matches(low, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')))"
+    count = lambda words: f"len(list_filter({terms(words)}, lambda t: regexp_matches(low, '(^|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}])' || t || '($|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}])')))"
     fits = lambda at, start: f"((host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{start}'))"
     ranked = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"WHEN {fits(a, p)} THEN '{a}{p}'" for _, a, p in ranked)

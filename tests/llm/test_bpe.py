@@ -58,3 +58,13 @@ def test_query_digests(spark, library):
     assert got[2].n_tokens == len(ids)
     assert got[2].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert got[1].n_tokens == 0 and got[1].ids_sha256 == hashlib.sha256(b"").hexdigest() == got[1].decoded_sha256
+
+
+def test_a_text_longer_than_a_block(spark, library):
+    rnd = random.Random(6)
+    text = " ".join("".join(rnd.choices("etaoinshr", k=rnd.randrange(1, 12))) for _ in range(180_000))
+    assert len(text) > 1 << 20
+    df = spark.createDataFrame([(1, "before"), (2, text), (3, "after")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.encode(df, PATH, P.PATTERN, decoded="decoded").collect()}
+    assert got[2].ids == library.encode_ordinary(text) and bytes(got[2].decoded).decode() == text
+    assert got[1].ids == library.encode_ordinary("before") and got[3].ids == library.encode_ordinary("after")

@@ -84,3 +84,24 @@ def test_run_is_the_stages_in_a_row(spark, folder):
     want = decontam.clean(simhash.first_of_groups(lines.dedup_lines(toxicity.clean(docs, labels)), **near), items)
     assert {(r.doc_id, r.text) for r in got.collect()} == {(r.doc_id, r.text) for r in want.collect()}
     assert pipeline.run(spark, root).columns == [*docs.columns, "n_tokens", "ids"]
+
+
+def test_nulls_repeated_rows_long_texts_and_clashing_names(spark, folder, tmp_path):
+    root, docs, _ = folder
+    rnd = random.Random(11)
+    long = " ".join(f"w{rnd.randrange(40_000)}" for _ in range(200_000))
+    extra = [(None, "a text without id", "en", "src", 17), (None, None, None, None, None), (950, long, "en", "src", len(long)), (950, long, "en", "src", len(long)), (951, "one of a kind, twice", "en", "src", 20), (951, "one of a kind, twice", "en", "src", 20)]
+    rows = [(*d, k, "mine", 1.5) for k, d in enumerate([*docs[:200], *extra])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids long, __RUNS string, __gone double"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{root}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "__RUNS", "__gone", "n_tokens", "ids"]
+    kept = [(r.doc_id, r.text, r.n_tokens) for r in got.collect()]
+    assert sum(k is None and t is None for k, t, _ in kept) == 1 and sum(k is None and t == "a text without id" for k, t, _ in kept) == 1
+    assert [t == long for k, t, _ in kept if k == 950] == [True] * 2 and [t for k, t, _ in kept if k == 951] == ["one of a kind, twice"] * 2
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{root}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -12,6 +12,10 @@ CASES = {
     "http://cheap.net/cheap": ("cheap.net", "/cheap", None, "allow"),
     "http://cheap.net/pills#q": ("cheap.net", "/pills", None, "block"),
     "http://org?q://z": ("org", "", None, "allow"),
+    "http://a.net/großporn": ("a.net", "/großporn", None, "allow"),
+    "http://a.net/porn…": ("a.net", "/porn…", None, "allow"),
+    "http://a.net/gro%C3%9F/porn": ("a.net", "/gro%C3%9F/porn", None, "block"),
+    "http://long.net/" + "a/" * 200_000 + "porn": ("long.net", "/" + "a/" * 200_000 + "porn", None, "block"),
     "no scheme/xxx": ("", "", None, "block"),
     "": ("", "", None, "allow"),
     None: ("", "", None, "allow"),
