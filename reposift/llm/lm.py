@@ -51,7 +51,7 @@ CHUNK, HELD_WORDS = 1 << 13, 500_000
 #: What a counted word is more than its count, and a word that was never counted in all.
 UNSEEN = 0.5
 #: Words after the frequent ones whose counts are sent to all tasks, so that no word of the join for the others is a hot key.
-NEAR = 1 << 16
+NEAR = 1 << 12
 #: Weights in one row of what tasks send.
 ROW = 1024
 
