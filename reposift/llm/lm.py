@@ -124,16 +124,23 @@ def _shares(logits: np.ndarray) -> np.ndarray:
 
 def _hidden(w: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     """Hidden units (rows) of each word (columns)."""
-    total = w["table"][0][around[0]]
+    total = w["table"][0].take(around[0], axis=0)
     for k in range(1, len(around)):
-        total += w["table"][k][around[k]]
+        total += w["table"][k].take(around[k], axis=0)
     total += w["bias"]
-    return np.tanh(np.ascontiguousarray(total.T))
+    # tanh by exp, which numpy has for whole vectors.
+    h = np.ascontiguousarray(total.T)
+    h *= 2
+    np.exp(np.minimum(h, 80, out=h), out=h)
+    h += 1
+    np.divide(-2, h, out=h)
+    h += 1
+    return h
 
 
 def _by_class(own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Order of the words by class, and (class, begin, end) of each class in it."""
-    kind = own // CLASS
+    kind = (own // CLASS).astype(np.uint8)
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
     return order, [(c, edges[c], edges[c + 1]) for c in range(CLASSES) if edges[c + 1] > edges[c]]
@@ -145,7 +152,7 @@ def log_probs(w: dict[str, np.ndarray], words: np.ndarray, around: np.ndarray) -
     for lo in range(0, len(words), CHUNK):
         own, near = words[lo : lo + CHUNK], around[:, lo : lo + CHUNK]
         order, classes = _by_class(own)
-        own, h, n = own[order], _hidden(w, near[:, order]), np.arange(len(own))
+        own, h, n = own[order], _hidden(w, near.take(order, axis=1)), np.arange(len(own))
         found = _log_shares(w["class_w"].T @ h + w["class_b"][:, None])[own // CLASS, n].astype(float)
         for c, a, b in classes:
             found[a:b] += _log_shares(w["word_w"][c].T @ h[:, a:b] + w["word_b"][c][:, None])[own[a:b] % CLASS, n[: b - a]]
@@ -163,27 +170,28 @@ def gradient(w: dict[str, np.ndarray], own: np.ndarray, near: np.ndarray) -> dic
 
 def _add_gradient(out: dict[str, np.ndarray], w: dict[str, np.ndarray], own: np.ndarray, near: np.ndarray) -> None:
     order, classes = _by_class(own)
-    own, near, k = own[order], near[:, order], np.arange(len(own))
+    own, near, k = own[order], near.take(order, axis=1), np.arange(len(own))
+    kind, place = np.divmod(own, CLASS)
     h = _hidden(w, near)
     miss = _shares(w["class_w"].T @ h + w["class_b"][:, None])
-    miss[own // CLASS, k] -= 1
+    miss[kind, k] -= 1
     back = w["class_w"] @ miss
     out["class_w"] += h @ miss.T
     out["class_b"] += miss.sum(1)
     for c, a, b in classes:
         part = _shares(w["word_w"][c].T @ h[:, a:b] + w["word_b"][c][:, None])
-        part[own[a:b] % CLASS, k[: b - a]] -= 1
+        part[place[a:b], k[: b - a]] -= 1
         back[:, a:b] += w["word_w"][c] @ part
         out["word_w"][c] += h[:, a:b] @ part.T
         out["word_b"][c] += part.sum(1)
     back *= 1 - h * h
     out["bias"] += back.sum(1)
     back = np.ascontiguousarray(back.T)
-    for place, names in enumerate(near):
+    for at, names in enumerate(near):
         by_word = np.argsort(names, kind="stable")
         sorted_names = names[by_word]
         first = np.flatnonzero(np.diff(sorted_names, prepend=-1))
-        out["table"][place, sorted_names[first]] += np.add.reduceat(back[by_word], first, axis=0)
+        out["table"][at, sorted_names[first]] += np.add.reduceat(back.take(by_word, axis=0), first, axis=0)
 
 
 class Adam:
