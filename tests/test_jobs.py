@@ -189,6 +189,8 @@ def test_two_writers(spark, tmp_path):
 
     with pytest.raises(Conflict):
         one.commit(always, tries=2)
+    with pytest.raises(ValueError, match="no layout"):
+        one.commit(lambda t: t.rewrite("a", ids(1), [0]))
     assert not one._publish(one._name(1), "{}") and one.manifest(1)["changed"] == ["a"]  # a manifest is never overwritten
 
 
