@@ -71,7 +71,9 @@ def build(vectors: DataFrame, root: str, pivots: int = PIVOTS, rings: int = RING
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1) if len(batch) else np.zeros((0, points.shape[1]))
+            if not len(batch):
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
             size = np.linalg.norm(x, axis=1)
             near = np.full(len(x), -1)
             angle = np.zeros(len(x))
@@ -102,7 +104,7 @@ def load(spark: SparkSession, root: str) -> Index:
     pivots = np.array(found["pivots"], np.float64)
     # The ring's number is kept as the fifth column: the folder's name.
     rings = np.array([(p, lo, hi, n, ring) for p, ring, lo, hi, n in found["rings"]], np.float64).reshape(-1, 5)
-    return Index(root, pivots.reshape(len(pivots), -1), rings)
+    return Index(root, pivots.reshape(len(pivots), -1) if len(pivots) else np.zeros((0, 1)), rings)
 
 
 def _scan(spark: SparkSession, index: Index, needs: np.ndarray, names: pa.Array, matrix: np.ndarray, limit: int, query_id: str, kind: str) -> DataFrame | None:
