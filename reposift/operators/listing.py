@@ -112,13 +112,15 @@ def language_facets(stars: DataFrame) -> DataFrame:
 def tag_facets(stars: DataFrame, n: int = TAG_FACETS) -> DataFrame:
     """(tag, n) of the n most frequent tags: occurrences, spelt as in the newest star; ties by the folded tag.
 
-    Counts alone are grouped for all tags; spellings are looked up for the n that are shown.
+    Counts alone are grouped for all tags, as they are spelt, and each spelling is folded
+    once; the newest star is looked for among the spellings of the n that are shown.
     """
-    tags = stars.select("id", "starred_at", F.posexplode("ai_tags").alias("pos", "tag")).withColumn("key", folded(F.col("tag"))).where("key <> ''")
-    shown = tags.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(n)
+    spelt = stars.select(F.explode("ai_tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).withColumn("key", folded(F.col("tag"))).where("key <> ''")
+    shown = spelt.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n)
+    wanted = spelt.select("tag", "key").join(F.broadcast(shown), "key")  # n rows were sent
+    tags = stars.select("id", "starred_at", F.posexplode("ai_tags").alias("pos", "tag")).join(wanted, "tag")
     first = F.min_by(text.trim(F.col("tag")), F.struct(-F.unix_micros("starred_at"), "id", "pos"))
-    spelt = tags.join(F.broadcast(shown), "key").groupBy("key").agg(F.first("n").alias("n"), first.alias("tag"))  # n rows were sent
-    return spelt.orderBy(F.desc("n"), "key").select("tag", "n")
+    return tags.groupBy("key").agg(F.first("n").alias("n"), first.alias("tag")).orderBy(F.desc("n"), "key").select("tag", "n")
 
 
 def status_counts(stars: DataFrame, vectors: DataFrame, needs: Column, by: str = "user_id") -> DataFrame:
