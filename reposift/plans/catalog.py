@@ -104,12 +104,9 @@ def s5_bodies(spark, sf_dir):
 
 @query("SELECT doc_id, text || chr(10) AS content, strlen(text) + 1 AS bytes FROM documents WHERE strlen(text) < 20000 AND text <> ''")
 def s6_source_tree(spark, sf_dir):
-    # A tree with a folder for each document; the largest files are left out by the listing.
-    root = workspace(spark)
-    docs = fx.load(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
-    docs.repartition(8, "doc_id").write.partitionBy("doc_id").text(root)
-    files = code_source.read_source_tree(spark, root, "part-*", largest=20000)
-    return files.select(F.regexp_extract("path", r"^doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "content", "bytes")
+    # A tree with a folder for each 1,000 documents; the largest files are left out by the listing.
+    files = code_source.read_folders(fx.source_folders(spark, sf_dir, workspace(spark)), "doc-*", largest=20000)
+    return files.select(F.regexp_extract("path", r"^doc-(-?\d+)\.txt$", 1).cast("long").alias("doc_id"), "content", "bytes")
 
 
 # Sync

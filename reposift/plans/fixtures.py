@@ -5,6 +5,10 @@ Every derivation is arithmetic on keys, so that SQL can state it too (see VIEWS)
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,6 +188,30 @@ def envelopes(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, e
     return s.select(F.to_json(F.struct(*extra, stamp("starred_at").alias("starred_at"), repo.alias("repo"))).alias("value"))
 
 
+def source_folders(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """(folder): a source tree below root, a file for each text that is not empty and a folder for each 1,000 documents.
+
+    Tasks write the files; one that runs again writes the same ones.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = set()
+            for x in batch.to_pylist():
+                store, base = fs.FileSystem.from_uri(x["folder"])
+                if base not in made:
+                    store.create_dir(base, recursive=True)
+                    made.add(base)
+                with store.open_output_stream(f"{base}/doc-{x['doc_id']}.txt") as out:
+                    out.write(x["text"].encode() + b"\n")
+        yield pa.RecordBatch.from_pydict({"none": pa.array([], pa.int64())})
+
+    folder = F.concat(F.lit(f"{root}/docs-"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    docs = load(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", folder.alias("folder"))
+    docs.mapInArrow(run, "none long").write.format("noop").mode("overwrite").save()
+    return docs.select("folder").distinct()
+
+
 def trimmed(column: str) -> Column:
     return text.trim(F.col(column))
 

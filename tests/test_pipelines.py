@@ -361,3 +361,29 @@ def test_large_files_are_left_out_by_the_listing(spark, tmp_path):
         assert [(r.path, r.content, r.bytes) for r in found.collect()] == [("a/small.py", "x = 1", 5)]
         assert "LessThanOrEqual(length,1000)" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.path for r in code.read_source_tree(spark, str(tmp_path)).collect()} == {"a/small.py", "a/b/large.bin"}
+
+
+def test_folders_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(code_source, "BATCH_ENTRIES", 7)
+    for folder in ("a", "b/c"):
+        (tmp_path / folder).mkdir(parents=True)
+        for k in range(30):
+            (tmp_path / folder / f"{k}.py").write_text(f"x = {k}\n")
+    (tmp_path / "a" / "large.py").write_bytes(b"\0" * 5000)
+    (tmp_path / "a" / "__init__.py").write_bytes(b"\xff")
+    (tmp_path / "a" / "n.md").write_text("no")
+    (tmp_path / "empty").mkdir()
+    folders = spark.createDataFrame([(f"file://{tmp_path}/a",), (f"{tmp_path}/b",), (f"{tmp_path}/empty",), (None,)], "folder string")
+    got = code_source.read_folders(folders, "*.py", largest=1000).collect()
+    want = {(f, f"{p}{k}.py"): (f"x = {k}\n", len(f"x = {k}\n")) for f, p in ((f"file://{tmp_path}/a", ""), (f"{tmp_path}/b", "c/")) for k in range(30)}
+    want[f"file://{tmp_path}/a", "__init__.py"] = ("\ufffd", 1)
+    assert len(got) == 61 and {(r.folder, r.path): (r.content, r.bytes) for r in got} == want
+
+
+def test_source_tree_query_makes_no_folder_per_document(spark):
+    from reposift.plans import fixtures
+    from reposift.session import workspace
+
+    folders = fixtures.source_folders(spark, "/root/testdata/sf0.001", workspace(spark))
+    docs = fixtures.load(spark, "/root/testdata/sf0.001", "documents").where("text <> ''")
+    assert folders.count() <= 2 + docs.count() // 1000 and code_source.list_folders(folders).count() == docs.count()
