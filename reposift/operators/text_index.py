@@ -26,6 +26,8 @@ from reposift.sources.tables import Change, Layout, Snapshots
 GRAM = 3
 #: Rows of a block, about; buckets of files; blocks that a search names one by one to the files.
 ROWS, BUCKETS, NAMED = 256, 16, 10_000
+#: Trigrams that a task holds at a time.
+GRAMS = 100_000
 TEXTS, POSTINGS, SHAPE = "index_texts", "index_postings", "index_shape"
 
 
@@ -35,14 +37,28 @@ def layouts(buckets: int = BUCKETS) -> dict[str, Layout]:
 
 
 def _postings(texts: DataFrame) -> DataFrame:
-    """(block, gram): every trigram of each block, once."""
+    """(block, gram): the trigrams of each block; a block with more than GRAMS of them may give some twice."""
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, found = None, set()
+        frame = lambda: pd.DataFrame({"block": pd.Series(block, range(len(found)), "int64"), "gram": pd.Series(sorted(found), dtype=object)})
         for part in parts:
-            found = {(b, t[k : k + GRAM]) for b, t in zip(part["block"], part["text"], strict=True) if t for k in range(len(t) - GRAM + 1)}
-            yield pd.DataFrame(sorted(found), columns=["block", "gram"])
-
-    return texts.select("block", "text").mapInPandas(run, "block long, gram string").distinct()
+            for b, t in zip(part["block"].tolist(), part["text"].tolist(), strict=True):
+                if found and (b != block or len(found) >= GRAMS):
+                    yield frame()
+                    found.clear()
+                block = b
+                for lo in range(0, len(t or "") - GRAM + 1, GRAMS):
+                    if lo:
+                        yield frame()
+                        found.clear()
+                    found.update(t[k : k + GRAM] for k in range(lo, min(lo + GRAMS, len(t) - GRAM + 1)))
+        if found:
+            yield frame()
+
+    # Block after block, so that a task holds the trigrams of one at a time.
+    placed = texts.select("block", "text").repartition("block").sortWithinPartitions("block")
+    return placed.mapInPandas(run, "block long, gram string")
 
 
 def refresh(tables: Snapshots, rows: DataFrame, key: str = "id", text: str = "text") -> dict[str, int]:
@@ -101,7 +117,7 @@ def find(tables: Snapshots, wanted: str) -> Found:
     grams = sorted({wanted[k : k + GRAM] for k in range(len(wanted) - GRAM + 1)})
     if not grams:
         return Found(hits(texts), blocks, blocks)
-    held = postings.where(F.col("gram").isin(grams)).groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("block")
+    held = postings.where(F.col("gram").isin(grams)).groupBy("block").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("block")
     named = [r[0] for r in held.limit(NAMED + 1).collect()]
     if len(named) > NAMED:
         return Found(hits(texts.join(held, "block", "left_semi")), held.count(), blocks)

@@ -76,6 +76,17 @@ def test_substrings_by_the_index(spark, tmp_path, monkeypatch):
     check()
 
 
+def test_postings_hold_few_trigrams_at_a_time(spark, monkeypatch):
+    texts = [(k % 3, "".join(random.Random(k).choices("abcdefghij", k=70 * (k % 5)))) for k in range(40)] + [(1, None), (7, "ab")]
+    want = {(b, t[i : i + 3]) for b, t in texts for i in range(len(t or "") - 2)}
+    rows = spark.createDataFrame(texts, "block long, text string").repartition(5)
+    got = [tuple(r) for r in text_index._postings(rows).collect()]
+    assert set(got) == want and len(got) == len(want)  # a block whole in one task, so each trigram once
+    monkeypatch.setattr(text_index, "GRAMS", 50)
+    got = [tuple(r) for r in text_index._postings(rows).collect()]
+    assert set(got) == want and len(got) > len(want)
+
+
 @pytest.mark.parametrize(("popular", "sent"), [(10**6, 10**6), (3, 10**6), (3, 0)])
 def test_kept_profiles_follow_changes(spark, tmp_path, popular, sent):
     rnd = random.Random(popular + sent)
