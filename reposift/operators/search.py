@@ -15,6 +15,8 @@ from reposift.operators import keys
 DEFAULT_LIMIT = 10
 #: Bytes of query vectors that one pass over the corpus carries.
 QUERY_BYTES = 50_000_000
+#: Scores that a task holds at a time.
+SCORES = 1 << 20
 
 
 def with_norm(vectors: DataFrame) -> DataFrame:
@@ -88,8 +90,13 @@ class Best:
             raise ValueError(f"vectors of lengths {self.matrix.shape[1]} and {x.shape[1]}")
         size = np.linalg.norm(x, axis=1)
         x /= np.where(size == 0, 1, size)[:, None]
-        scores = self.matrix[chosen] @ x.T
-        for row, q in enumerate(chosen.tolist()):
+        step = max(1, SCORES // len(x))
+        for lo in range(0, len(chosen), step):
+            tile = chosen[lo : lo + step]
+            self._add_tile(tile, ids, x, self.matrix[tile] @ x.T)
+
+    def _add_tile(self, queries: np.ndarray, ids: pa.Array, x: np.ndarray, scores: np.ndarray) -> None:
+        for row, q in enumerate(queries.tolist()):
             # Products of matrices may round equal vectors apart; the few that matter are multiplied one by one.
             some = _likely(scores[row], self.limit)
             own_ids = np.append(self.ids[q], np.array(ids.take(pa.array(some)).to_pylist(), object))
