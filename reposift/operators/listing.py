@@ -112,14 +112,17 @@ def language_facets(stars: DataFrame) -> DataFrame:
 def tag_facets(stars: DataFrame, n: int = TAG_FACETS) -> DataFrame:
     """(tag, n) of the n most frequent tags: occurrences, spelt as in the newest star; ties by the folded tag.
 
-    Counts alone are grouped for all tags, as they are spelt, and each spelling is folded
-    once; the newest star is looked for among the spellings of the n that are shown.
+    Counts and the time of the newest star are kept for all tags, as they are spelt, and each spelling
+    is folded once; only rows of the newest stars of the n that are shown are compared with each other.
     """
-    spelt = stars.select(F.explode("ai_tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).withColumn("key", folded(F.col("tag"))).where("key <> ''")
-    shown = spelt.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n)
-    wanted = spelt.select("tag", "key").join(F.broadcast(shown), "key")  # n rows were sent
-    tags = stars.select("id", "starred_at", F.posexplode("ai_tags").alias("pos", "tag")).join(wanted, "tag")
-    first = F.min_by(text.trim(F.col("tag")), F.struct(-F.unix_micros("starred_at"), "id", "pos"))
+    age = F.coalesce(-F.unix_micros("starred_at"), F.lit(-(1 << 63)))  # without a time: as if newest
+    spelt = stars.select(age.alias("age"), F.explode("ai_tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.min("age").alias("age"))
+    spelt = spelt.withColumn("key", folded(F.col("tag"))).where("key <> ''")
+    shown = spelt.groupBy("key").agg(F.sum("n").alias("n"), F.min("age").alias("age")).orderBy(F.desc("n"), "key").limit(n)
+    # Spellings of the shown tags' newest stars alone: about n rows are sent.
+    wanted = spelt.select("tag", "key", "age").join(F.broadcast(shown), ["key", "age"])
+    tags = stars.select("id", age.alias("age"), F.posexplode("ai_tags").alias("pos", "tag")).join(F.broadcast(wanted), ["tag", "age"])
+    first = F.min_by(text.trim(F.col("tag")), F.struct("id", "pos"))
     return tags.groupBy("key").agg(F.first("n").alias("n"), first.alias("tag")).orderBy(F.desc("n"), "key").select("tag", "n")
 
 
