@@ -987,8 +987,9 @@ def _streamed(spark, sf_dir, feed):
     """The tables after the stream has merged the envelopes of the feed, which arrive in several batches."""
     tables = _tables(spark, sf_dir)
     inbox, check = workspace(spark), workspace(spark)
-    fx.envelopes(spark, sf_dir, feed, ("user_id",)).repartition(3).write.text(inbox)
-    stream = spark.readStream.schema(streaming.SCHEMA).option("maxFilesPerTrigger", 1).json(inbox)
+    files = fx.feed_files(spark, sf_dir)
+    fx.envelopes(spark, sf_dir, feed, ("user_id",)).repartition(3 * files).write.text(inbox)
+    stream = spark.readStream.schema(streaming.SCHEMA).option("maxFilesPerTrigger", files).json(inbox)
     streaming.start(stream, tables, check, fx.now).awaitTermination()
     return tables
 

@@ -212,6 +212,15 @@ def source_folders(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     return docs.select("folder").distinct()
 
 
+#: Documents whose envelopes make one file of a feed, some 60 MB.
+FEED_ROWS = 30_000
+
+
+def feed_files(spark: SparkSession, sf_dir: str) -> int:
+    """Files of a third of the feed; their size does not grow with the tables."""
+    return max(1, -(-load(spark, sf_dir, "documents").count() // (3 * FEED_ROWS)))
+
+
 def trimmed(column: str) -> Column:
     return text.trim(F.col(column))
 
