@@ -42,7 +42,8 @@ def _sync(t: Change, incoming: DataFrame, now: Column, force: bool, users: DataF
     cursors = own["cursors"]
     if cursors is None:
         cursors = pulled.select("user_id", F.lit(None).cast("string").alias("etag"), F.lit(None).cast("timestamp").alias("since"), F.lit(None).cast("timestamp").alias("last_full_sync_at"))
-    modes = sync.sync_mode(pulled.join(cursors, "user_id", "left"), now, force)
+    # Written, so that its size is known: a few users are sent to the rows, not the rows dealt out by user.
+    modes = t.stage(sync.sync_mode(pulled.join(cursors, "user_id", "left"), now, force))
     # Users whose pull is the same as their last one keep everything; only their cursor moves.
     prints = t.stage(sync.fingerprints(incoming))
     same = prints.limit(0) if own["pulls"] is None or force else prints.join(own["pulls"], ["user_id", "fingerprint", "n"], "left_semi")

@@ -120,3 +120,20 @@ def test_kept_profiles_follow_changes(spark, tmp_path, popular, sent):
     check()
     assert profile_state.refresh(tables, after, after, popular=popular, sent_bytes=sent) == 0
     check()
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
+    from reposift.sources.tables import Layout
+
+    tables = Snapshots(spark, str(tmp_path), {"rows": Layout(("user_id", "id"), 2)})
+    rows = spark.range(0, 40_000, 1, 8).select(F.lit(1).cast("long").alias("user_id"), "id", F.sha2(F.col("id").cast("string"), 512).alias("payload"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "400k")
+    try:
+        tables.write("rows", rows)
+    finally:
+        spark.conf.unset(size)
+    folder = tables.manifest(1)["tables"]["rows"]["buckets"]
+    files = [x for own in folder.values() for f in own for x in tables.names(f) if x.endswith(".parquet")]
+    assert len(folder) == 1 and len(files) > 3
+    assert tables.read("rows").exceptAll(rows).isEmpty() and tables.read("rows").count() == 40_000
