@@ -634,6 +634,8 @@ def _flaky() -> Callable[[list], list]:
             tries[x] = tries.get(x, 0) + 1
             if len(x) % 2 and tries[x] % 3:
                 raise inference.ModelError("rate_limit")
+        for x in texts:
+            tries.pop(x, None)  # what is answered is not kept
         return [[float(len(x))] for x in texts]
 
     return answer

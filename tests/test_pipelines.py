@@ -387,3 +387,89 @@ def test_source_tree_query_makes_no_folder_per_document(spark):
     folders = fixtures.source_folders(spark, "/root/testdata/sf0.001", workspace(spark))
     docs = fixtures.load(spark, "/root/testdata/sf0.001", "documents").where("text <> ''")
     assert folders.count() <= 2 + docs.count() // 1000 and code_source.list_folders(folders).count() == docs.count()
+
+
+def _run_of(rows, fn, **options):
+    """What a task of infer() does, here."""
+    class Rows:
+        schema = rows.schema
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    return inference.infer(Rows(), fn, "input", "out", "string", sleep=lambda s: None, **options)
+
+
+def test_answers_leave_in_large_frames_whatever_the_batch(spark):
+    import pandas as pd
+
+    sent = []
+    run = _run_of(spark.createDataFrame([(0, "a")], "id long, input string"), lambda x: sent.append(len(x)) or x, batch=1)
+    frames = list(run([pd.DataFrame({"id": range(2500), "input": [f"t{k}" for k in range(2500)]})]))
+    assert sent == [1] * 2500 and [len(x) for x in frames] == [1024, 1024, 452]
+    assert [x for f in frames for x in f["out"]] == [f"t{k}" for k in range(2500)]
+
+
+def test_flaky_model_keeps_no_answered_text():
+    from reposift.plans import catalog
+
+    model = catalog._flaky()
+    assert [inference.call(model, [x], 3, lambda s: None)[:2] for x in ("a", "bb", "ccc", "a")] == [([[1.0]], 3), ([[2.0]], 1), ([[3.0]], 3), ([[1.0]], 3)]
+    assert [c.cell_contents for c in model.__closure__ if isinstance(c.cell_contents, dict)] == [{}]
+
+
+def test_search_holds_few_scores_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(5)
+    matrix = rnd.normal(size=(40, 4))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    blocks = [rnd.normal(size=(30, 4)) for _ in range(3)]
+
+    def found():
+        best = search.Best(matrix, 5)
+        for k, x in enumerate(blocks):
+            best.add(pa.array([f"{k}-{i}" for i in range(len(x))]), pa.array(x.tolist()))
+        return [list(x) for x in best.ids], [list(x) for x in best.scores]
+
+    whole = found()
+    sizes, add = [], search.Best._add_tile
+    monkeypatch.setattr(search, "SCORES", 100)
+    monkeypatch.setattr(search.Best, "_add_tile", lambda self, q, ids, x, scores: sizes.append(scores.size) or add(self, q, ids, x, scores))
+    assert found() == whole and max(sizes) <= 100 and sum(sizes) == 40 * 90
+
+
+def test_tag_facets_do_not_sort_all_tags(spark):
+    rows = [(k, dt.datetime(2024, 1, 1 + k % 3), ["Tag", f" t{k % 4} ", "TAG"] if k % 2 else ["tag ", "", None]) for k in range(30)] + [(90, None, ["tAG"])]
+    stars = spark.createDataFrame(rows[:-1], "id long, starred_at timestamp, ai_tags array<string>").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = listing.tag_facets(stars)
+        assert [tuple(r) for r in found.collect()] == [("tag", 45), ("t1", 8), ("t3", 7)]  # star 2 is the first of the newest
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        late = spark.createDataFrame(rows, stars.schema)
+        assert listing.tag_facets(late).first().tag == "tAG"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hash_unpacks_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from reposift.functions import text
+
+    texts = pa.array(["é" * (k % 40) if k % 7 else None for k in range(300)]).slice(11)
+    monkeypatch.setattr(text, "SLICE_BYTES", 200)
+    parts = list(text.slices(texts))
+    assert pa.concat_arrays(parts).equals(texts) and len(parts) > 30 and max(sum(len((x or "").encode()) for x in p.to_pylist()) for p in parts) <= 280
+    assert list(text.slices(pa.array([], pa.string())))[0].to_pylist() == []
+
+
+def test_feed_has_more_files_for_more_documents(spark, monkeypatch):
+    from reposift.plans import fixtures
+
+    n = fixtures.load(spark, "/root/testdata/sf0.001", "documents").count()
+    assert fixtures.feed_files(spark, "/root/testdata/sf0.001") == 1
+    monkeypatch.setattr(fixtures, "FEED_ROWS", 7)
+    assert fixtures.feed_files(spark, "/root/testdata/sf0.001") == -(-n // 21)
