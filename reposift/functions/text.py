@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ LOCALE_NAMES = {
 
 #: Code units of a text that is hashed together with others, and of such a group.
 LONG_UNITS, MATRIX_UNITS = 8192, 1 << 21
+#: Bytes of the texts that a task unpacks at a time.
+SLICE_BYTES = 4 << 20
 
 
 def trim(text: Column) -> Column:
@@ -117,6 +123,14 @@ def djb2_units(texts: list[str | None], seed: int) -> list[str | None]:
     return [None if n < 0 else f"{h:x}" for h, n in zip(state.tolist(), size.tolist(), strict=True)]
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in stretches of about SLICE_BYTES, so that few are Python values at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    for lo, hi in pairwise(cuts):
+        yield texts.slice(lo, hi - lo)
+
+
 def djb2(text: Column, seed: int = 5381) -> Column:
     """32-bit xor variant of the djb2 hash over UTF-16 units, in lower-case hexadecimal.
 
@@ -124,9 +138,12 @@ def djb2(text: Column, seed: int = 5381) -> Column:
     as 32 bits are too few for large tables.
     """
 
-    @F.pandas_udf("string")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series(djb2_units(texts.tolist(), seed), dtype=object)
+    @F.arrow_udf("string")
+    def hashed(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(texts):
+            out += djb2_units(part.to_pylist(), seed)
+        return pa.array(out, pa.string())
 
     return hashed(text)
 
