@@ -18,6 +18,8 @@ from reposift.operators.failures import BACKOFF_MS, LONGEST_HINT, TRANSIENT
 
 BATCH = 16
 TRIES = 3
+#: Rows that leave a task together, about.
+ROWS_OUT = 1024
 
 
 class ModelError(Exception):
@@ -138,21 +140,25 @@ def infer(
         task = TaskContext.get()
         book = Ledger(ledger, task.partitionId(), task.taskAttemptId()) if ledger else None
         model = paced(fn, in_flight / per_second, sleep) if per_second else fn
+
+        def answers(values: list) -> list[tuple]:
+            if book is None:
+                return list(outcomes(model, values, tries, halve, sleep))
+            keys = [book.key(x) for x in values]
+            todo = list(dict.fromkeys(k for k in keys if k not in book.known))
+            first = {k: x for k, x in reversed(list(zip(keys, values, strict=True)))}
+            new = list(outcomes(model, [first[k] for k in todo], tries, halve, sleep)) if todo else []
+            book.add(todo, new)
+            book.known.update((k, x) for k, x in zip(todo, new, strict=True) if x[1] == "done")
+            missed = dict(zip(todo, new, strict=True))
+            return [book.known.get(k) or missed[k] for k in keys]
+
+        step = max(1, ROWS_OUT // batch) * batch
         for part in parts:
-            for lo in range(0, len(part), batch):
-                own = part.iloc[lo : lo + batch].reset_index(drop=True)
+            for lo in range(0, len(part), step):
+                own = part.iloc[lo : lo + step].reset_index(drop=True)
                 values = own[inputs].tolist()
-                if book is None:
-                    found = list(outcomes(model, values, tries, halve, sleep))
-                else:
-                    keys = [book.key(x) for x in values]
-                    todo = list(dict.fromkeys(k for k in keys if k not in book.known))
-                    first = {k: x for k, x in reversed(list(zip(keys, values, strict=True)))}
-                    new = list(outcomes(model, [first[k] for k in todo], tries, halve, sleep)) if todo else []
-                    book.add(todo, new)
-                    book.known.update((k, x) for k, x in zip(todo, new, strict=True) if x[1] == "done")
-                    missed = dict(zip(todo, new, strict=True))
-                    found = [book.known.get(k) or missed[k] for k in keys]
+                found = [x for k in range(0, len(values), batch) for x in answers(values[k : k + batch])]
                 made = pd.DataFrame(found, columns=[output, "status", "error_kind", "error_message", "tries"])
                 yield pd.concat((own, made), axis=1)
 
