@@ -992,7 +992,7 @@ def _streamed(spark, sf_dir, feed):
     files = fx.feed_files(spark, sf_dir)
     fx.envelopes(spark, sf_dir, feed, ("user_id",)).repartition(3 * files).write.text(inbox)
     stream = spark.readStream.schema(streaming.SCHEMA).option("maxFilesPerTrigger", files).json(inbox)
-    streaming.start(stream, tables, check, fx.now).awaitTermination()
+    streaming.start(stream, tables, check, fx.now, keep=1).awaitTermination()  # the queries read the newest version alone
     return tables
 
 

@@ -51,6 +51,19 @@ LAYOUTS = {
 }
 
 
+class Staged(NamedTuple):
+    """Rows that a job has written for itself by the buckets of a table."""
+
+    tables: Snapshots
+    entry: dict
+
+    def buckets(self) -> list[int]:
+        return sorted(map(int, self.entry["buckets"]))
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        return self.tables.rows(self.entry, buckets)
+
+
 class Conflict(Exception):
     """Other commits changed what a job used, as often as it was tried."""
 
@@ -115,7 +128,7 @@ class Change:
         placed = placed.repartitionByRange(BUCKET, *order).sortWithinPartitions(BUCKET, *order) if order else placed.hint("rebalance", BUCKET)
         folder = self.tables.save(table, placed, [BUCKET])
         kept = {k: v for k, v in old.get("buckets", {}).items() if int(k) not in set(buckets)}
-        new = {name.partition("=")[2]: [f"{folder}/{name}"] for name in self.tables.names(folder) if name.startswith(f"{BUCKET}=")}
+        new = self.tables.bucket_folders(folder)
         schema = self.tables.merged_schema(old.get("schema") if kept else None, rows.schema)
         self._put(table, {"schema": schema.json(), "keys": layout.keys, "groups": layout.groups, "spread": layout.spread, "buckets": kept | new})
 
@@ -124,6 +137,26 @@ class Change:
         folder = self.tables.save("staged", rows)
         return self.tables.rows({"schema": rows.schema.json(), "folders": [folder]})
 
+    def stage_buckets(self, table: str, rows: DataFrame) -> Staged:
+        """The rows written once, in the buckets of the table that they belong to, for a job's own use; no table names them."""
+        layout = self._bucketed(table)
+        folder = self.tables.save("staged", rows.withColumn(BUCKET, layout.bucket()), [BUCKET])
+        return Staged(self.tables, {"schema": rows.schema.json(), "keys": layout.keys, "buckets": self.tables.bucket_folders(folder)})
+
+    def steps(self, table: str, staged: Staged, most: int) -> list[list[int]]:
+        """The buckets of the staged rows, as many at a time as hold some `most` bytes with the table's own rows; one at least."""
+        found: list[list[int]] = []
+        room = 0
+        for k in staged.buckets():
+            folders = [x for entry in (staged.entry, self.entries.get(table, {})) for x in entry.get("buckets", {}).get(str(k), [])]
+            held = sum(map(self.tables.bytes, folders))
+            if not found or held > room:
+                found.append([])
+                room = most
+            found[-1].append(k)
+            room -= held
+        return found
+
     def _put(self, table: str, entry: dict) -> None:
         self.entries[table] = entry
         self.used.add(table)
@@ -149,6 +182,12 @@ class Snapshots:
         path, files = self._path(folder), self._files()
         return [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
 
+    def bytes(self, folder: str) -> int:
+        return self._files().getContentSummary(self._path(folder)).getLength()
+
+    def bucket_folders(self, folder: str) -> dict[str, list[str]]:
+        return {name.partition("=")[2]: [f"{folder}/{name}"] for name in self.names(folder) if name.startswith(f"{BUCKET}=")}
+
     def _read_text(self, path: str) -> str:
         stream = self._files().open(self._path(path))
         try:

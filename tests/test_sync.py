@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from reposift import schemas
 from reposift.operators import sync
 from reposift.sources import stars as source
+from reposift.sources.tables import Change, Layout
 
 T0 = dt.datetime(2024, 1, 10)
 
@@ -157,3 +158,47 @@ def test_stream_merges_once(spark, tmp_path):
     before = len(tables._versions("stars"))
     pull()
     assert len(tables._versions("stars")) == before
+
+
+def test_a_stream_keeps_no_old_files_and_merges_some_buckets_at_a_time(spark, tmp_path, monkeypatch):
+    from reposift.streaming import stars as streaming
+
+    monkeypatch.setattr(streaming, "STEP", 1)  # a bucket in each step
+    monkeypatch.setattr(streaming.keys, "FEW", 5)  # so that some steps look their keys up in a filter
+    tables = source.Snapshots(spark, str(tmp_path / "tables"), {"stars": Layout(("user_id", "id"), 3, 2)})
+    tables.write("stars", frame(spark, *(star(u, k, user_note=f"n{u}-{k}") for u in range(4) for k in range(1, 21))).withColumn("extra", F.lit(7)))
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    line = '{"user_id": %s, "starred_at": "2024-01-10T00:00:00Z", "repo": {"id": %d, "full_name": "o/r%d", "html_url": "https://example.org/x", "owner": {"login": "o"}, "stargazers_count": %d}}\n'
+    want = {(u, k): (star(u, k)["stargazers_count"], f"n{u}-{k}", 7) for u in range(4) for k in range(1, 21)}
+    for n, (users, ids) in enumerate([(range(4), range(1, 30, 2)), ([1], [5]), ([0, 9], range(4, 24)), (["null"], [3])]):
+        (inbox / f"{n}.json").write_text("".join(line % (u, k, k, 100 + n) for u in users for k in ids) + line % (1, 0, 0, 1))
+        for u, k in ((None if u == "null" else u, k) for u in users for k in ids):
+            want[u, k] = (100 + n, want.get((u, k), (0, None, 0))[1], None)
+        put = []
+        rewrite = Change.rewrite
+        monkeypatch.setattr(Change, "rewrite", lambda self, table, rows, buckets, *more: put.append(buckets) or rewrite(self, table, rows, buckets, *more))
+        streaming.start(streaming.read(spark, str(inbox)), tables, str(tmp_path / "check"), lambda: F.lit(str(T0)).cast("timestamp"), keep=1).awaitTermination()
+        monkeypatch.setattr(Change, "rewrite", rewrite)
+        assert {(r.user_id, r.id): (r.stargazers_count, r.user_note, r.extra) for r in tables.read("stars").collect()} == want
+        assert tables.read("stars").count() == len(want) and tables.read("quarantine").count() == n + 1 == tables.read("batches").count()
+        assert all(len(x) == 1 for x in put) and len({x[0] for x in put}) == len(put) >= 1 and (n or len(put) > 3)
+        named = {x.split("/")[2] for own in tables.manifest(tables.version())["tables"]["stars"]["buckets"].values() for x in own}
+        assert set(tables.names("data/stars")) == named and not tables.names("data/staged") and len(tables.commits()) == 1
+
+
+def test_a_step_holds_as_many_buckets_as_fit(spark, tmp_path):
+    tables = source.Snapshots(spark, str(tmp_path), {"stars": Layout(("user_id", "id"), 4)})
+    rows = frame(spark, *(star(u, k) for u in range(12) for k in range(5)))
+
+    def job(t):
+        staged = t.stage_buckets("stars", rows)
+        assert t.steps("stars", staged, 10**9) == [staged.buckets()] and t.steps("stars", staged, 1) == [[k] for k in staged.buckets()]
+        held = sum(tables.bytes(x) for k in staged.buckets()[:2] for x in staged.entry["buckets"][str(k)])
+        assert t.steps("stars", staged, held)[0] == staged.buckets()[:2]
+        t.write("stars", rows)
+        assert t.steps("stars", staged, held)[0] == staged.buckets()[:1]  # the table's own files count, too
+        assert t.steps("stars", t.stage_buckets("stars", rows.limit(0)), 1) == []
+        assert sorted(r.id for r in staged.read(staged.buckets()[:1]).collect()) == sorted(r.id for r in t.read("stars", staged.buckets()[:1]).collect())
+
+    tables.commit(job)
