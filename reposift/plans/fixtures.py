@@ -221,6 +221,13 @@ def feed_files(spark: SparkSession, sf_dir: str) -> int:
     return max(1, -(-load(spark, sf_dir, "documents").count() // (3 * FEED_ROWS)))
 
 
+def write_feed(spark: SparkSession, sf_dir: str, feed: DataFrame, folder: str) -> int:
+    """Write the envelopes of star rows as compressed files, by the tasks that have the rows; returns the number of files of a third of them."""
+    most = -(-load(spark, sf_dir, "documents").count() // (3 * feed_files(spark, sf_dir)))
+    envelopes(spark, sf_dir, feed, ("user_id",)).write.option("maxRecordsPerFile", max(1, most)).option("compression", "gzip").text(folder)
+    return max(1, -(-len(spark.read.text(folder).inputFiles()) // 3))
+
+
 def trimmed(column: str) -> Column:
     return text.trim(F.col(column))
 

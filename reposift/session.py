@@ -21,6 +21,21 @@ def session(app: str = "reposift", master: str | None = None, **conf: str) -> Sp
     return builder.config(map=settings).getOrCreate()
 
 
+def tidy(spark: SparkSession, **conf: str) -> SparkSession:
+    """A session of a job's own with the caller's settings and those of conf, whose queries delete their shuffle files when they end.
+
+    Else these stay until the driver happens to collect its garbage. Of a DataFrame that is run twice the
+    shuffles are made twice, so what a caller gets should belong to the caller's session.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.get(key, None) != value:
+            own.conf.set(key, value)
+    for key, value in ({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | conf).items():
+        own.conf.set(key, value)
+    return own
+
+
 def workspace(spark: SparkSession) -> str:
     """A new folder name for tables that a job keeps for itself, below the session's spark.checkpoint.dir.
 

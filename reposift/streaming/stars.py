@@ -26,8 +26,8 @@ from reposift.sources.tables import Change
 
 #: Envelopes with the user who pulled them.
 SCHEMA = T.StructType([T.StructField("user_id", T.LongType()), *schemas.ENVELOPE.fields])
-#: Bytes of the table and the batch that are merged at a time, for each core. A step shuffles about as many.
-STEP = 64 << 20
+#: Bytes of the table and the batch that are merged at a time, for each core. A step shuffles about twice as many.
+STEP = 32 << 20
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

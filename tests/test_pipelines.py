@@ -473,3 +473,42 @@ def test_feed_has_more_files_for_more_documents(spark, monkeypatch):
     assert fixtures.feed_files(spark, "/root/testdata/sf0.001") == 1
     monkeypatch.setattr(fixtures, "FEED_ROWS", 7)
     assert fixtures.feed_files(spark, "/root/testdata/sf0.001") == -(-n // 21)
+
+
+def test_the_feed_is_written_in_small_files_without_a_shuffle(spark, monkeypatch, tmp_path):
+    import gzip
+
+    from reposift.plans import fixtures
+
+    small = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fixtures, "FEED_ROWS", 7)
+    rows = fixtures.incoming(spark, small).coalesce(2)
+    lines = [r.value for r in fixtures.envelopes(spark, small, rows, ("user_id",)).collect()]
+    a_third = fixtures.write_feed(spark, small, rows, str(tmp_path / "in"))
+    files = {x.name: gzip.open(x, "rt").read().splitlines() for x in (tmp_path / "in").glob("*.gz")}
+    assert sorted(x for own in files.values() for x in own) == sorted(lines) and max(map(len, files.values())) <= 7
+    assert len({x[:10] for x in files}) <= 2 and a_third == -(-len(files) // 3)  # the two tasks with the rows have written them
+    assert fixtures.write_feed(spark, small, rows.limit(0), str(tmp_path / "none")) == 1
+
+
+def test_a_session_of_its_own_leaves_no_shuffle_files(spark):
+    from reposift.session import tidy
+
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        own = tidy(spark, **{"spark.sql.parquet.compression.codec": "zstd"})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert own.conf.get("spark.sql.shuffle.partitions") == "3" and own.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert (spark.conf.get(cleanup), own.conf.get(cleanup), own.conf.get("spark.sql.parquet.compression.codec")) == ("false", "true", "zstd")
+    grouped = lambda s: s.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count()
+    keys = lambda: set(held.keys().mkString(",").split(",")) - {""}
+    before = keys()
+    assert sorted(grouped(own).collect()) == sorted(grouped(own).collect())
+    again = grouped(own)
+    assert again.collect() == again.collect()
+    assert keys() <= before
+    grouped(spark).collect()
+    assert keys() - before
